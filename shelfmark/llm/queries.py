@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, packing, quality, simhash, url_filter, warc
+from . import ann, language_id, license_scan, line_dedup, packing, quality, simhash, sp_dropout, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,11 +39,24 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_sp_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_dropout.encode_documents(table(spark, sf_dir, "documents")).drop("ids")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.filter("vec_id % 100 = 0"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -61,8 +74,12 @@ def queries() -> dict[str, Query]:
         "op3_warc": op3_warc,
         "op4_quality": op4_quality,
         "op5_line_dedup": op5_line_dedup,
+        "op6_sp_dropout": op6_sp_dropout,
         "op7_simhash": op7_simhash,
+        "op8_license_scan": op8_license_scan,
+        "op9_ann": op9_ann,
         "op10_packing": op10_packing,
+        "pipeline": pipeline,
     }
 
 
