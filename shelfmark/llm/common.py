@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Rows in one Arrow batch sent to Python, so that a batch of long texts stays small.
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 #: Characters that a vectorised step handles at once.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 
 
 def shared_root(spark: SparkSession) -> str:

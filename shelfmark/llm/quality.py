@@ -37,7 +37,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: Bytes of text that are worked on at once (a longer text alone).
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 
 
 @dataclass
@@ -61,6 +61,7 @@ class WordBatch:
         self.ids = np.fromiter((seen[w] for ws in words for w in ws), np.int64, int(self.counts.sum()))
         self.owner = np.repeat(np.arange(len(texts)), self.counts)
         self.hashes = np.fromiter(map(zlib.crc32, seen), np.uint32, len(seen))
+        seen.default_factory = None  # else the table holds itself and waits for the cycle collector
 
     def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(owners, buckets) of single words, then of pairs inside a text."""
