@@ -33,7 +33,9 @@ VOCABULARY, DROPOUT, SEED = "piece_bpe_32k.model", 0.1, 17
 MARK = "▁"
 #: Characters merged in one go; a longer text is cut between runs.
 CHUNK = 1 << 19
-_NONE = np.iinfo(np.int64).max
+_NONE = np.iinfo(np.int32).max
+#: Slots of the quick pair table, as a power of two.
+TABLE_BITS = 19
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -67,8 +69,13 @@ class MergeModel:
         pairs = [(plain[p[:k]] * size + plain[p[k:]], rank[i], i) for p, i in plain.items() for k in range(1, len(p)) if p[:k] in plain and p[k:] in plain]
         pairs.sort()
         self.pair = np.array([p for p, _, _ in pairs], np.int64)
-        self.rank = np.array([r for _, r, _ in pairs], np.int64)
-        self.merged = np.array([i for _, _, i in pairs], np.int64)
+        self.rank = np.array([r for _, r, _ in pairs], np.int32)
+        self.merged = np.array([i for _, _, i in pairs], np.int32)
+        # places of pairs by hash; of pairs with one hash the last is found here, the others by bisection
+        self.quick = np.full(1 << TABLE_BITS, -1, np.int32)
+        slot = self._slot(self.pair)
+        self.quick[slot] = np.arange(len(self.pair))
+        self.crowded = np.bincount(slot, minlength=len(self.quick)) > 1
         # the id of each character, -1 where the model has none
         self.char_id = np.full(0x110000, -1, np.int32)
         for p, i in plain.items():
@@ -76,11 +83,24 @@ class MergeModel:
                 self.char_id[ord(p)] = i
         self.char_id[32] = self.mark = plain[MARK]
 
-    def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The place of each pair in the merge table, -1 where it does not merge."""
-        key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        return np.where(self.pair[at] == key, at, -1)
+    @staticmethod
+    def _slot(pair: np.ndarray) -> np.ndarray:
+        return (pair * np.int64(0x9E3779B97F4A7C15 - (1 << 64))) >> np.int64(64 - TABLE_BITS) & np.int64((1 << TABLE_BITS) - 1)
+
+    def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, places): the given pairs that merge, and their places in the merge table."""
+        key = left.astype(np.int64) * self.size + right
+        slot = self._slot(key)
+        at = self.quick[slot]
+        good = self.pair[at] == key
+        good &= at >= 0
+        hard = np.flatnonzero(~good & self.crowded[slot])
+        if len(hard):
+            found = np.minimum(np.searchsorted(self.pair, key[hard]), len(self.pair) - 1)
+            hit = self.pair[found] == key[hard]
+            at[hard[hit]], good[hard[hit]] = found[hit], True
+        good = np.flatnonzero(good)
+        return good, at[good]
 
 
 def document_key(seed: int, doc_id) -> int:
@@ -118,9 +138,8 @@ def segment(model: MergeModel, ids: np.ndarray, starts: np.ndarray, key: np.ndar
     limit = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
 
     def ranks(sym: np.ndarray, nxt: np.ndarray, k: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = model.lookup(sym, nxt)
-        good = np.flatnonzero(at >= 0)
-        r, m = np.full(len(sym), _NONE, np.int64), np.full(len(sym), -1, np.int64)
+        good, at = model.lookup(sym, nxt)
+        r, m = np.full(len(sym), _NONE, np.int32), np.full(len(sym), -1, np.int32)
         if dropout > 0 and len(good):
             h = k[good] ^ (p[good].astype(np.uint64) * _C[0]) ^ (sym[good].astype(np.uint64) * _C[1]) ^ (nxt[good].astype(np.uint64) * _C[2])
             h ^= h >> np.uint64(32)
@@ -128,12 +147,13 @@ def segment(model: MergeModel, ids: np.ndarray, starts: np.ndarray, key: np.ndar
             h ^= h >> np.uint64(29)
             h *= _C[0]
             h ^= h >> np.uint64(32)
-            good = good[h >= limit]
-        r[good], m[good] = model.rank[at[good]], model.merged[at[good]]
+            kept = h >= limit
+            good, at = good[kept], at[kept]
+        r[good], m[good] = model.rank[at], model.merged[at]
         return r, m
 
-    sym, slot, first = ids.copy(), np.arange(n), starts.copy()
-    rank, merged = np.full(n, _NONE, np.int64), np.full(n, -1, np.int64)
+    sym, slot, first = ids.astype(np.int32), np.arange(n, dtype=np.int32), starts.copy()
+    rank, merged = np.full(n, _NONE, np.int32), np.full(n, -1, np.int32)
     inner = np.flatnonzero(~first[1:]) if n else np.zeros(0, np.int64)
     rank[inner], merged[inner] = ranks(sym[inner], sym[inner + 1], key[inner], place[inner])
     while len(sym):
@@ -142,25 +162,24 @@ def segment(model: MergeModel, ids: np.ndarray, starts: np.ndarray, key: np.ndar
         low = np.minimum.reduceat(rank, begin)
         size = np.diff(np.r_[begin, len(sym)])
         alive = low < _NONE
-        if not alive.all():
-            keep = np.repeat(alive, size)
-            out[slot[~keep]] = sym[~keep]
-            sym, slot, first, rank, merged = sym[keep], slot[keep], first[keep], rank[keep], merged[keep]
-            low, size = low[alive], size[alive]
-            if not len(sym):
-                break
-            begin = np.r_[0, np.cumsum(size)[:-1]]
-        hit = np.flatnonzero(rank == np.repeat(low, size))
-        run = np.repeat(np.arange(len(begin)), size)[hit]
-        at = hit[np.r_[True, run[1:] != run[:-1]]]
+        hit = np.flatnonzero(rank == np.repeat(np.where(alive, low, -1), size))
+        run = np.searchsorted(begin, hit, "right")
+        at = hit[np.r_[True, run[1:] != run[:-1]]] if len(hit) else hit
         sym[at] = merged[at]
         stay = np.ones(len(sym), bool)
         stay[at + 1] = False
-        moved = at - np.arange(len(at))  # places after one removal for each run before
+        if not alive.all():
+            # runs without a merge are done
+            over = ~np.repeat(alive, size)
+            out[slot[over]] = sym[over]
+            stay &= ~over
+        at = np.cumsum(stay)[at] - 1  # where the merged symbols go
         sym, slot, first, rank, merged = sym[stay], slot[stay], first[stay], rank[stay], merged[stay]
+        if not len(sym):
+            break
         # only the pairs on both sides of a merged symbol have changed
         last = np.r_[first[1:], True]
-        changed = np.r_[moved, (moved - 1)[~first[moved]]]
+        changed = np.r_[at, (at - 1)[~first[at]]]
         ends = last[changed]
         rank[changed[ends]], merged[changed[ends]] = _NONE, -1
         c = changed[~ends]
