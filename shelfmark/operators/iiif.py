@@ -46,23 +46,23 @@ def _before_full(url: Column) -> Column:
 
 def canvases(manifests: DataFrame, key: str, body: str) -> DataFrame:
     """(key, version, seq, canvas, image, service): the primary image of each canvas and its image service."""
-    base = manifests.select(key, F.try_parse_json(F.col(body)).alias("m"))
-    seqs = elements(base, node(F.col("m"), "$.sequences"), [key], "s", "seq")
-    two = elements(seqs, node(F.col("s"), "$.canvases"), [key, "seq"], "c", "canvas")
-    resource = node(F.col("c"), "$.images[0].resource")
+    base = manifests.select(key, F.try_parse_json(F.col(body)).alias("_m"))
+    seqs = elements(base, node(F.col("_m"), "$.sequences"), [key], "_s", "seq")
+    two = elements(seqs, node(F.col("_s"), "$.canvases"), [key, "seq"], "_c", "canvas")
+    resource = node(F.col("_c"), "$.images[0].resource")
     choice = text_at(resource, "$['@type']") == "oa:Choice"
     chosen = F.when(choice, F.coalesce(node(resource, "$.default"), node(resource, "$.item[0]"), node(resource, "$.item"), resource)).otherwise(resource)
-    two = two.select(key, F.lit(2).alias("version"), "seq", "canvas", chosen.alias("r"))
-    image = F.coalesce(text_at(F.col("r"), "$['@id']"), text_at(F.col("r"), "$.id"))
-    two = two.select(key, "version", "seq", "canvas", image.alias("image"), F.coalesce(_service_id(F.col("r"), "service"), _before_full(image)).alias("service"))
+    two = two.select(key, F.lit(2).alias("version"), "seq", "canvas", chosen.alias("_r"))
+    image = F.coalesce(text_at(F.col("_r"), "$['@id']"), text_at(F.col("_r"), "$.id"))
+    two = two.select(key, "version", "seq", "canvas", image.alias("image"), F.coalesce(_service_id(F.col("_r"), "service"), _before_full(image)).alias("service"))
 
-    three = elements(base, node(F.col("m"), "$.items"), [key], "c", "canvas")
-    annotation = node(F.col("c"), "$.items[0].items[0].body")
+    three = elements(base, node(F.col("_m"), "$.items"), [key], "_c", "canvas")
+    annotation = node(F.col("_c"), "$.items[0].items[0].body")
     first = F.coalesce(node(annotation, "$[0]"), annotation)
     chosen = F.when(text_at(first, "$.type") == "Choice", F.coalesce(node(first, "$.items[0]"), first)).otherwise(first)
-    three = three.select(key, F.lit(3).alias("version"), F.lit(0).alias("seq"), "canvas", chosen.alias("r"))
-    image = text_at(F.col("r"), "$.id")
-    three = three.select(key, "version", "seq", "canvas", image.alias("image"), F.coalesce(_service_id(F.col("r"), "service", "services"), _before_full(image)).alias("service"))
+    three = three.select(key, F.lit(3).alias("version"), F.lit(0).alias("seq"), "canvas", chosen.alias("_r"))
+    image = text_at(F.col("_r"), "$.id")
+    three = three.select(key, "version", "seq", "canvas", image.alias("image"), F.coalesce(_service_id(F.col("_r"), "service", "services"), _before_full(image)).alias("service"))
     return two.unionByName(three)
 
 
@@ -102,10 +102,10 @@ def localized(variant: Column, path: str) -> Column:
 def manifest_metadata(manifests: DataFrame, key: str, body: str) -> DataFrame:
     """(key, label, attribution, metadata): the manifest's names; of repeated metadata keys the last value stays."""
     m = F.try_parse_json(F.col(body))
-    base = manifests.select(key, m.alias("m"))
-    label = localized(F.col("m"), "$.label")
-    attribution = F.coalesce(text_at(F.col("m"), "$.attribution"), localized(F.col("m"), "$.attribution.value"), text_at(F.col("m"), "$.requiredStatement"), localized(F.col("m"), "$.requiredStatement.value"))
-    listed = F.try_variant_get(F.col("m"), "$.metadata", "array<variant>")
+    base = manifests.select(key, m.alias("_m"))
+    label = localized(F.col("_m"), "$.label")
+    attribution = F.coalesce(text_at(F.col("_m"), "$.attribution"), localized(F.col("_m"), "$.attribution.value"), text_at(F.col("_m"), "$.requiredStatement"), localized(F.col("_m"), "$.requiredStatement.value"))
+    listed = F.try_variant_get(F.col("_m"), "$.metadata", "array<variant>")
     entries = F.transform(listed, lambda e: F.struct(F.coalesce(localized(e, "$.label"), F.lit("")).alias("k"), F.coalesce(localized(e, "$.value"), F.lit("")).alias("v")))
     entries = F.filter(entries, lambda e: e["k"] != "")
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
@@ -129,12 +129,12 @@ def rendering_rank(url: Column, kind: Column, allowed: tuple[str, ...] = RENDERI
 
 def renderings(manifests: DataFrame, key: str, body: str, allowed: tuple[str, ...] = RENDERING_TYPES) -> DataFrame:
     """(key, url, format, label, rank, ord): allowed renderings of the manifest, then of its sequences, best type first."""
-    base = manifests.select(key, F.try_parse_json(F.col(body)).alias("m"))
-    own = elements(base, node(F.col("m"), "$.rendering"), [key], "r", "pos").withColumn("seq", F.lit(-1))
-    seqs = elements(base, node(F.col("m"), "$.sequences"), [key], "s", "seq")
-    nested = elements(seqs, node(F.col("s"), "$.rendering"), [key, "seq"], "r", "pos")
-    rows = own.select(key, "seq", "pos", "r").unionByName(nested.select(key, "seq", "pos", "r"))
-    r = F.col("r")
+    base = manifests.select(key, F.try_parse_json(F.col(body)).alias("_m"))
+    own = elements(base, node(F.col("_m"), "$.rendering"), [key], "_r", "pos").withColumn("seq", F.lit(-1))
+    seqs = elements(base, node(F.col("_m"), "$.sequences"), [key], "_s", "seq")
+    nested = elements(seqs, node(F.col("_s"), "$.rendering"), [key, "seq"], "_r", "pos")
+    rows = own.select(key, "seq", "pos", "_r").unionByName(nested.select(key, "seq", "pos", "_r"))
+    r = F.col("_r")
     kind = F.lower(F.coalesce(text_at(r, "$.format"), text_at(r, "$.format[0]"), text_at(r, "$.type"), F.lit("")))
     rows = rows.select(key, "seq", "pos", F.coalesce(text_at(r, "$['@id']"), text_at(r, "$.id")).alias("url"), kind.alias("format"), localized(r, "$.label").alias("label"))
     rows = rows.withColumn("rank", rendering_rank(F.col("url"), F.col("format"), allowed)).filter("rank is not null")

@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.ids import first_group
 from ..functions.text import split_creators, strip_tags
@@ -383,7 +384,7 @@ class _Links(HTMLParser):
         self.href, self.text = None, []
 
 
-@F.pandas_udf("array<struct<href:string,label:string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("href", StringType()), StructField("label", StringType())])))
 def html_links(body: pd.Series) -> pd.Series:
     """The links of HTML pages as (href, text); a null page has none."""
 
