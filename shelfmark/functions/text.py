@@ -14,17 +14,19 @@ from pyspark.sql.types import StringType
 LETTERS = {"ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d", "ð": "d", "þ": "th"}
 # Device names that no file may have.
 RESERVED = ["con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10))]
+#: Folded natively: all below U+3000, Latin and other extensions, ligatures, and width forms.
+COVERED = ((0x80, 0x3000), (0xA640, 0xAC00), (0xF900, 0xFB50), (0xFE20, 0xFFF0))
 ILLEGAL = r'[<>:"/\\|?*\x00-\x1f]'
 
 
 @functools.cache
 def _folding() -> tuple[str, str, dict[str, str]]:
-    """Characters below U+3000 whose decomposition is one letter plus marks, those letters, and the longer ones.
+    """Characters of ``COVERED`` whose decomposition is one letter plus marks, those letters, and the longer ones.
 
     Combining marks end the first string without a partner, so ``translate`` drops them.
     """
     source, target, marks, longer = [], [], [], {}
-    for c in map(chr, range(0x80, 0x3000)):
+    for c in map(chr, (x for a, b in COVERED for x in range(a, b))):
         if unicodedata.combining(c):
             marks.append(c)
             continue
@@ -41,7 +43,7 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 def strip_accents(text: Column) -> Column:
     """Compatibility decomposition without its combining marks; null gives the empty text.
 
-    Covers all characters below U+3000; ``strip_accents_any`` covers the rest by an Arrow UDF.
+    Covers the characters of ``COVERED``; ``strip_accents_any`` covers the rest by an Arrow UDF.
     """
     text = F.coalesce(text.cast("string"), F.lit(""))
     source, target, longer = _folding()

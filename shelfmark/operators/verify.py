@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +16,35 @@ from ..functions.payload import magic_problem
 EXPECTED = ["completed", "partial"]
 
 
-def stored_files(spark: SparkSession, root: str) -> DataFrame:
-    """(work_dir, name, length, head): object files under ``<root>/<work>/objects``, unfinished ones left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    parts = F.regexp_extract("path", "^(.*)/objects/([^/]+)$", 1)
-    name = F.regexp_extract("path", "^(.*)/objects/([^/]+)$", 2)
-    out = files.select(parts.alias("work_dir"), name.alias("name"), "length", F.substring("content", 1, 512).alias("head"))
-    return out.filter((F.col("name") != "") & ~F.endswith("name", F.lit(".part")))
+def work_folders(spark: SparkSession, root: str) -> DataFrame:
+    """(work_dir): the folders right under ``root``, listed by Hadoop's file system."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [(s.getPath().toString(),) for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
+    return spark.createDataFrame(names, "work_dir string")
+
+
+def stored_files(folders: DataFrame, head: int = 512) -> DataFrame:
+    """(work_dir, name, length, head): files under each folder's ``objects``, unfinished ones left out.
+
+    Executors list the folders and read only the first bytes of each file; empty files count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, str, int, bytes]] = []
+            for folder in batch.column(0).to_pylist():
+                fs, path = pafs.FileSystem.from_uri(re.sub(r"^(\w+):/(?!/)", r"\1:///", folder))
+                for f in fs.get_file_info(pafs.FileSelector(f"{path}/objects", allow_not_found=True)):
+                    if f.type == pafs.FileType.File and not f.base_name.endswith(".part"):
+                        with fs.open_input_stream(f.path, compression=None) as stream:
+                            out.append((folder, f.base_name, f.size, stream.read(head)))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["work_dir", "name", "length", "head"])
+
+    return folders.select("work_dir").mapInArrow(run, "work_dir string, name string, length long, head binary")
 
 
 def normal_path(path: Column) -> Column:
