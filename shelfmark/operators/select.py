@@ -106,13 +106,24 @@ def display_top(candidates: DataFrame, work: str, most: int = 10) -> DataFrame:
     return candidates.withColumn("place", place).withColumn("more", more).filter(F.col("place") <= most)
 
 
-def search_result(works: DataFrame, candidates: DataFrame, selected: DataFrame, work: str) -> DataFrame:
+def search_result(works: DataFrame, candidates: DataFrame, gate: Column, work: str) -> DataFrame:
     """(work, status, selected …, n_candidates, candidates): one row per work.
 
-    ``status`` is match, no_match (hits but none passes) or no_candidates.
+    ``status`` is match, no_match (hits but none passes) or no_candidates.  The selected
+    record is that of ``select_best``, found in the same aggregation that lists the hits.
     """
-    listed = candidates.groupBy(work).agg(F.count(F.lit(1)).alias("n_candidates"), F.array_sort(F.collect_list(F.struct("provider_ix", "hit_ix", "provider_key", "source_id", "title", "title_score", "total"))).alias("candidates"))
-    best = selected.select(work, F.col("provider_key").alias("selected_provider"), F.col("source_id").alias("selected_source_id"), F.col("total").alias("selected_total"))
-    out = works.select(work).join(listed, work, "left").join(best, work, "left")
-    status = F.when(F.col("selected_provider").isNotNull(), "match").when(F.col("n_candidates").isNull(), "no_candidates").otherwise("no_match")
-    return out.withColumn("status", status).withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
+    order = F.struct("priority", -F.col("total"), *ARRIVAL)
+    best = F.min_by(F.struct("provider_key", "source_id", "total"), F.when(gate, order))
+    listed = F.array_sort(F.collect_list(F.struct("provider_ix", "hit_ix", "provider_key", "source_id", "title", "title_score", "total")))
+    found = candidates.groupBy(work).agg(F.count(F.lit(1)).alias("n_candidates"), best.alias("_best"), F.count_if(gate).alias("_passing"), listed.alias("candidates"))
+    out = works.select(work).join(found, work, "left")
+    status = F.when(F.col("_passing") > 0, "match").when(F.col("n_candidates").isNull(), "no_candidates").otherwise("no_match")
+    return out.select(
+        work,
+        status.alias("status"),
+        F.col("_best.provider_key").alias("selected_provider"),
+        F.col("_best.source_id").alias("selected_source_id"),
+        F.col("_best.total").alias("selected_total"),
+        F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"),
+        "candidates",
+    )

@@ -265,7 +265,7 @@ def top10_display(spark, sf_dir):
 )
 def search_work_lb(spark, sf_dir):
     scored = lower_bound_scores(spark, sf_dir)
-    found = sel.search_result(works(spark, sf_dir), scored, sel.select_best(scored, "entry_id", gate()), "entry_id")
+    found = sel.search_result(works(spark, sf_dir), scored, gate(), "entry_id")
     return found.select("entry_id", "status", "n_candidates", "selected_provider", "selected_source_id", "selected_total")
 
 
@@ -275,8 +275,7 @@ def search(spark: SparkSession, wanted: DataFrame, found: DataFrame, settings: S
     capped = sel.cap_hits(found, "entry_id", settings.max_candidates_per_provider)
     scored = sel.with_scores(capped.join(asked, "entry_id"), settings.creator_weight, settings.year_tolerance, settings.method)
     scored = sel.with_priority(scored, dim)
-    best = sel.select_best(scored, "entry_id", F.col("title_score") >= settings.min_title_score)
-    return sel.search_result(wanted, scored, best, "entry_id")
+    return sel.search_result(wanted, scored, F.col("title_score") >= settings.min_title_score, "entry_id")
 
 
 @query()

@@ -156,12 +156,18 @@ hits AS (
 )"""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where their files give fewer tasks; a large input stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def hits(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None) -> DataFrame:
     wanted = works(spark, sf_dir) if wanted is None else wanted
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "[.!?\n]+")).alias("pos", "title"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", F.posexplode(F.split("text", "[.!?\n]+")).alias("pos", "title"))
     sentences = with_once(docs.withColumn("title", F.trim("title")).filter("title <> ''"), "norm", normalize_text(F.col("title"))).filter("norm <> ''")
-    asked = wanted.filter("norm <> ''").select("entry_id", F.explode(shingles(F.split("norm", " "))).alias("run"))
-    offered = sentences.select("doc_id", "pos", "source", "lang", "title", "norm", F.explode(shingles(F.split("norm", " "))).alias("run"))
+    asked = with_once(wanted.filter("norm <> ''"), "words", F.split("norm", " ")).select("entry_id", F.explode(shingles(F.col("words"))).alias("run"))
+    offered = with_once(sentences, "words", F.split("norm", " ")).select("doc_id", "pos", "source", "lang", "title", "norm", F.explode(shingles(F.col("words"))).alias("run"))
     found = offered.join(asked, "run").groupBy("entry_id", "doc_id", "pos").agg(F.count(F.lit(1)).alias("shared"), *[F.first(c).alias(c) for c in ("source", "lang", "title", "norm")])
     w = Window.partitionBy("entry_id", "source").orderBy(F.col("shared").desc(), "doc_id", "pos")
     kept = found.withColumn("hit_ix", (F.row_number().over(w) - 1).cast("int")).filter("hit_ix < 5")

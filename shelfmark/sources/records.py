@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.ids import first_group
-from ..functions.text import split_creators, strip_tags
+from ..functions.text import split_creators, strip_tags, with_once
 from ..operators.iiif import node, text_at
 
 NO_LIST = "cast(array() as array<string>)"
@@ -278,7 +278,7 @@ def xml_parts(xml: Column, name: str) -> Column:
     return F.regexp_extract_all(xml, F.lit(rf"(?s)(<{tag}(?:\s[^>]*)?>.*?</{tag}>)"), F.lit(1))
 
 
-def declared(part: Column, xml: Column) -> Column:
+def declared(part: Column) -> Column:
     """An XML part as a document of its own: prefixes are dropped, as local names are all that is read."""
     bare = F.regexp_replace(F.regexp_replace(part, r"(</?)[\w.-]+:", "$1"), r"\s[\w.-]+:([\w.-]+\s*=)", " $1")
     return F.regexp_replace(bare, r"\sxmlns(?::[\w.-]+)?\s*=\s*(\"[^\"]*\"|'[^']*')", "")
@@ -299,7 +299,7 @@ def sru_records(responses: DataFrame, provider: str, key: str, body: str) -> Dat
     """Records of an SRU response: ``bnf_gallica``, ``british_library`` (Dublin Core), ``e_rara``, ``sbb_digital`` (MODS)."""
     name = "record" if provider in ("e_rara", "sbb_digital") else "recordData"
     rows = responses.select(key, F.posexplode(xml_parts(F.col(body), name)).alias("pos", "part"))
-    rows = rows.select(key, "pos", declared(F.col("part"), F.col("part")).alias("x"))
+    rows = with_once(rows, "x", declared(F.col("part"))).drop("part")
     x = F.col("x")
     if provider in ("bnf_gallica", "british_library"):
         dc = f"/{step('recordData')}/*"
@@ -314,7 +314,7 @@ def sru_records(responses: DataFrame, provider: str, key: str, body: str) -> Dat
         fields = record(xml_at(x, f"{dc}{step('title')}"), people, clean(xml_at(x, f"{dc}{step('date')}")), ark, None, link)
     else:
         mods = F.get(xml_parts(x, "mods"), F.lit(0))
-        rows = rows.withColumn("m", mods).filter("m is not null")
+        rows = with_once(rows, "m", mods).filter("m is not null")
         m, found = F.col("m"), _mods_fields(F.col("m"))
         if provider == "e_rara":
             ident = clean(xml_at(x, f"/{step('record', 'extraRecordData', 'id')}"))
@@ -337,7 +337,7 @@ GROUP_ORDER = ["MAX", "DEFAULT", "PRESENTATION", "MIN", "THUMBS"]
 
 def mets_files(responses: DataFrame, key: str, body: str) -> DataFrame:
     """(key, kind, use, url, ord): the PDFs, and the images of the best file group that has any (of all where none is known)."""
-    x = F.regexp_replace(declared(F.col(body), F.col(body)), r"<\?xml[^>]*\?>", "")
+    x = F.regexp_replace(declared(F.col(body)), r"<\?xml[^>]*\?>", "")
     groups = responses.select(key, F.posexplode(xml_parts(x, "fileGrp")).alias("g", "grp"))
     use = F.upper(F.regexp_extract("grp", r"^<fileGrp[^>]*\sUSE\s*=\s*[\"']([^\"']*)", 1))
     files = groups.select(key, "g", use.alias("use"), F.posexplode(xml_parts(F.col("grp"), "file")).alias("f", "file"))

@@ -42,8 +42,8 @@ def test_fallbacks_leave_out_the_selected_source(scored):
 
 def test_result_statuses(spark, scored):
     works = spark.createDataFrame([("1",), ("2",), ("4",)], "w string")
-    best = sel.select_best(scored[0], "w", F.col("title_score") >= 50)
-    assert {r.w: r.status for r in sel.search_result(works, scored[0], best, "w").collect()} == {"1": "match", "2": "no_match", "4": "no_candidates"}
+    got = {r.w: (r.status, r.selected_source_id) for r in sel.search_result(works, scored[0], F.col("title_score") >= 50, "w").collect()}
+    assert got == {"1": ("match", "b"), "2": ("no_match", None), "4": ("no_candidates", None)}
 
 
 def test_settings():
