@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, small_batches, stored, utf8, workspace
@@ -243,10 +243,10 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Of rows that share this doc_id the one with the smallest text hash stays; rows without
     doc_id all stay.
     """
-    from pyspark.sql import Window
-
     found = near_duplicates(docs, id_col, text_col, block)
-    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    order = Window.partitionBy("_head").orderBy(F.xxhash64(F.col(text_col)))
-    kept = docs.join(heads, F.col(id_col).cast("long") == F.col("_head")).withColumn("_place", F.row_number().over(order)).filter("_place = 1")
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias("head")).distinct()
+    # each row travels as one struct, so no column name of the table can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    order = Window.partitionBy("head").orderBy(F.xxhash64(F.col(f"row.`{text_col}`")))
+    kept = rows.join(heads, F.col(f"row.`{id_col}`").cast("long") == F.col("head")).withColumn("place", F.row_number().over(order)).filter("place = 1")
+    return kept.select("row.*").unionByName(docs.filter(F.col(id_col).isNull()))

@@ -18,6 +18,7 @@ rows get equal ids; dropout 0 is the model's own segmentation.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -33,9 +34,12 @@ VOCABULARY, DROPOUT, SEED = "piece_bpe_32k.model", 0.1, 17
 MARK = "▁"
 #: Characters merged in one go; a longer text is cut between runs.
 CHUNK = 1 << 19
+#: Symbols of a run from which on it is merged by a heap of its own; shorter runs merge side by side.
+LONG_RUN = 512
 _NONE = np.iinfo(np.int32).max
 #: Slots of the quick pair table, as a power of two.
 TABLE_BITS = 19
+_WORD = 2**64 - 1
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -76,6 +80,10 @@ class MergeModel:
         slot = self._slot(self.pair)
         self.quick[slot] = np.arange(len(self.pair))
         self.crowded = np.bincount(slot, minlength=len(self.quick)) > 1
+        self.place_of = {int(p): at for at, p in enumerate(self.pair)}
+        self.merges = np.zeros(size, bool)
+        self.merges[self.pair // size] = True
+        self.merges[self.pair % size] = True
         # the id of each character, -1 where the model has none
         self.char_id = np.full(0x110000, -1, np.int32)
         for p, i in plain.items():
@@ -127,6 +135,44 @@ def _symbols(model: MergeModel, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, place
 
 
+def _skips(key: int, place: int, left: int, right: int, limit: int) -> bool:
+    """The keyed hash of one candidate, as the vectorised step has it."""
+    h = key ^ (place * int(_C[0]) & _WORD) ^ (left * int(_C[1]) & _WORD) ^ (right * int(_C[2]) & _WORD)
+    h ^= h >> 32
+    h = h * int(_C[3]) & _WORD
+    h ^= h >> 29
+    h = h * int(_C[0]) & _WORD
+    return h ^ (h >> 32) < limit
+
+
+def _agenda(model: MergeModel, sym: list[int], key: int, place: list[int], limit: int) -> list[int]:
+    """The final id at each place of one run (-1 where merged away), by a heap of candidates."""
+    after, before = [*range(1, len(sym)), -1], list(range(-1, len(sym) - 1))
+    heap: list[tuple[int, int, int, int, int]] = []
+
+    def push(i: int) -> None:
+        if i < 0 or after[i] < 0:
+            return
+        left, right = sym[i], sym[after[i]]
+        at = model.place_of.get(left * model.size + right)
+        if at is not None and not (limit and _skips(key, place[i], left, right, limit)):
+            heapq.heappush(heap, (int(model.rank[at]), i, left, right, int(model.merged[at])))
+
+    for i in range(len(sym)):
+        push(i)
+    while heap:
+        _, i, left, right, new = heapq.heappop(heap)
+        j = after[i]
+        if sym[i] != left or j < 0 or sym[j] != right:
+            continue
+        sym[i], sym[j], after[i] = new, -1, after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        push(before[i])
+        push(i)
+    return sym
+
+
 def segment(model: MergeModel, ids: np.ndarray, starts: np.ndarray, key: np.ndarray, place: np.ndarray, dropout: float) -> np.ndarray:
     """The final id at each symbol's place, -1 where a symbol went into the one before it.
 
@@ -152,10 +198,20 @@ def segment(model: MergeModel, ids: np.ndarray, starts: np.ndarray, key: np.ndar
         r[good], m[good] = model.rank[at], model.merged[at]
         return r, m
 
-    sym, slot, first = ids.astype(np.int32), np.arange(n, dtype=np.int32), starts.copy()
-    rank, merged = np.full(n, _NONE, np.int32), np.full(n, -1, np.int32)
-    inner = np.flatnonzero(~first[1:]) if n else np.zeros(0, np.int64)
-    rank[inner], merged[inner] = ranks(sym[inner], sym[inner + 1], key[inner], place[inner])
+    # a symbol that merges with nothing ends its run
+    alone = ~model.merges[ids]
+    starts = starts | alone
+    starts[1:] |= alone[:-1]
+    begin = np.flatnonzero(starts)
+    size = np.diff(np.r_[begin, n])
+    for a, b in zip(begin[size > LONG_RUN], (begin + size)[size > LONG_RUN], strict=True):
+        out[a:b] = _agenda(model, ids[a:b].tolist(), int(key[a]), place[a:b].tolist(), int(limit) if dropout > 0 else 0)
+    short = np.repeat(size <= LONG_RUN, size)
+    slot = np.flatnonzero(short).astype(np.int32)
+    sym, first = ids[slot].astype(np.int32), starts[slot]
+    rank, merged = np.full(len(sym), _NONE, np.int32), np.full(len(sym), -1, np.int32)
+    inner = np.flatnonzero(~first[1:]) if len(sym) else np.zeros(0, np.int64)
+    rank[inner], merged[inner] = ranks(sym[inner], sym[inner + 1], key[slot[inner]], place[slot[inner]])
     while len(sym):
         begin = np.flatnonzero(first)
         # the best rank of each run, and the leftmost place that has it

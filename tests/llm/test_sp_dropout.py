@@ -91,6 +91,23 @@ def test_long_texts_are_cut_between_runs(monkeypatch):
     assert [g.tolist() for g in spd.encode(MODEL, texts, keys, 0.3)] == whole
 
 
+def test_long_runs_take_the_heap(monkeypatch):
+    texts = ["ab" * 900 + " cd", "éa" * 700, "x" * 2000, "日本語a" * 300, "there" * 400 + "\n" + "here" * 400]
+    keys = [spd.document_key(5, i) for i in range(len(texts))]
+    for share in (0.0, 0.3):
+        got = [g.tolist() for g in spd.encode(MODEL, texts, keys, share)]
+        assert got == [spec(t, k, share) for t, k in zip(texts, keys, strict=True)]
+        monkeypatch.setattr(spd, "LONG_RUN", 10**9)
+        assert got == [g.tolist() for g in spd.encode(MODEL, texts, keys, share)]
+        monkeypatch.setattr(spd, "LONG_RUN", 512)
+    assert [spd.decode(MODEL, np.array(g)).decode() for g in got] == texts
+
+
+def test_one_run_of_a_megabyte():
+    text = "abcdefgh" * 40_000
+    assert spd.decode(MODEL, spd.encode(MODEL, [text], [1])[0]).decode() == text
+
+
 def test_documents(spark):
     rows = [(i, t, "k") for i, t in enumerate(TEXTS)] + [(50, None, "k"), (51, "", "k"), (52, "same text here", "k"), (52, "same text here", "k"), (53, "same text here", "k"), (None, "no id ▁", "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
