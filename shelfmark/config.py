@@ -109,6 +109,17 @@ def network_policy(config: dict, provider: str) -> dict:
     return NETWORK_DEFAULTS | {"delay_ms": old or 0, "jitter_ms": 0} | own
 
 
+# Providers that need a key, and the variable that holds it.
+KEY_VARIABLES = {"europeana": "EUROPEANA_API_KEY", "dpla": "DPLA_API_KEY", "ddb": "DDB_API_KEY", "google_books": "GOOGLE_BOOKS_API_KEY"}
+
+
+def with_keys(providers: list[str], names: dict[str, str] | None = None, environment=os.environ) -> tuple[list[str], list[str]]:
+    """(usable providers, those whose key is missing); ``names`` may rename the variables."""
+    variables = KEY_VARIABLES | {k: v for k, v in (names or {}).items() if k in KEY_VARIABLES}
+    missing = [p for p in providers if p in variables and not environment.get(variables[p])]
+    return [p for p in providers if p not in missing], missing
+
+
 def provider_order(enabled: list[str], hierarchy: list[str]) -> list[str]:
     """Listed and enabled providers in list order, then the other enabled ones in their own order."""
     first = [p for p in dict.fromkeys(hierarchy) if p in enabled]

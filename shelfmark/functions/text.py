@@ -157,10 +157,14 @@ def split_creators(text: Column) -> Column:
 
 def distinct_by_normal_form(values: Column) -> Column:
     """The first raw value of each normalised form, in order; empty forms go."""
-    keyed = F.transform(values, lambda v, i: F.struct(normalize_text(v).alias("k"), i.alias("i"), v.alias("v")))
-    keyed = F.filter(keyed, lambda x: x["k"] != "")
-    kept = F.filter(keyed, lambda x: ~F.exists(keyed, lambda y: (y["k"] == x["k"]) & (y["i"] < x["i"])))
-    return F.transform(kept, lambda x: x["v"])
+    both = F.struct(values.alias("v"), F.transform(values, normalize_text).alias("k"))
+
+    def firsts(x: Column) -> Column:
+        keys = F.filter(F.array_distinct(x["k"]), lambda k: k != "")
+        return F.transform(keys, lambda k: F.element_at(x["v"], F.array_position(x["k"], k).cast("int")))
+
+    # bound as the one element of an array, the keys are computed once
+    return F.transform(F.array(both), firsts)[0]
 
 
 def split_creator_cell(text: Column) -> Column:
@@ -177,7 +181,14 @@ def split_list(text: Column) -> Column:
 def escape_cql(text: Column) -> Column:
     """A text inside a double-quoted CQL literal."""
     out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.trim(F.regexp_replace(out, r"[\r\n\t]+", " "))
+    return F.regexp_replace(out, r"[\r\n\t]+", " ")
+
+
+def escape_sparql(text: Column) -> Column:
+    """A text inside a quoted SPARQL literal, with either quote."""
+    out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
+    out = F.replace(F.replace(out, F.lit("'"), F.lit("\\'")), F.lit('"'), F.lit('\\"'))
+    return F.translate(out, "\r\n\t", "   ")
 
 
 def strip_tags(text: Column) -> Column:

@@ -183,14 +183,14 @@ def queue_retry(spark, sf_dir):
     return queue(spark, sf_dir).select("id", status.alias("status"), n.alias("retry_count"))
 
 
-@query("SELECT min(try_cast(reset_time AS TIMESTAMP)) AS next_ready FROM queue WHERE status IN ('pending', 'retrying')", QUEUE)
+@query("SELECT strftime(min(try_cast(reset_time AS TIMESTAMP)), '%Y-%m-%d %H:%M:%S') AS next_ready FROM queue WHERE status IN ('pending', 'retrying')", QUEUE)
 def next_reset(spark, sf_dir):
-    return dq.next_ready(queue(spark, sf_dir))
+    return dq.next_ready(queue(spark, sf_dir)).select(F.date_format("next_ready", "yyyy-MM-dd HH:mm:ss").alias("next_ready"))
 
 
-@query("SELECT id FROM queue WHERE (entry_id, title) IN (SELECT CAST(c_custkey AS VARCHAR), 't' || c_custkey FROM customer WHERE c_custkey % 2 = 0)", QUEUE)
+@query("SELECT id FROM queue WHERE (entry_id, title) IN (SELECT CAST(c_custkey AS VARCHAR), 't' || c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')", QUEUE)
 def deferred_ownership(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("entry_id"), F.concat(F.lit("t"), F.col("c_custkey")).alias("short_title"))
+    c = table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").cast("string").alias("entry_id"), F.concat(F.lit("t"), F.col("c_custkey")).alias("short_title"))
     return dq.owned(queue(spark, sf_dir), c).select("id")
 
 
@@ -246,9 +246,9 @@ def backoff_schedule(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", dates.backoff(F.col("event_id") % 12 + 1, 1.5, 1.5, 60.0).alias("wait"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN least(100.0, event_id % 150 - 10) WHEN event_id % 3 = 1 THEN 60.0 END AS wait FROM (SELECT * FROM events WHERE event_id % 150 >= 10)")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN greatest(0.0, least(100.0, event_id % 150 - 10)) WHEN event_id % 3 = 1 THEN 60.0 END AS wait FROM events")
 def retry_after(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id % 150 >= 10")
+    e = table(spark, sf_dir, "events")
     header = F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 150 - 10).cast("string")).when(F.col("event_id") % 3 == 1, "Mon, 15 Jan 2024 12:01:00 GMT").otherwise("later")
     return e.select("event_id", dates.retry_after(header, now(), 100.0).alias("wait"))
 

@@ -30,12 +30,38 @@ def limiter_fold(spark, sf_dir):
     return out.select("event_id", F.round("started", 3).alias("started"), F.round("waited", 3).alias("waited"))
 
 
-@query()
+# one row after the other within each provider, as the folds do
+CHAIN = f"""WITH RECURSIVE {REQUESTS.strip()},
+chain AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY t, event_id) AS n FROM requests),
+"""
+
+
+@query(
+    CHAIN
+    + """walk AS (
+  SELECT provider, n, event_id, TRUE AS admitted, 'closed' AS state, CASE WHEN ok THEN 0 ELSE 1 END AS failures, CAST(0.0 AS DOUBLE) AS since FROM chain WHERE n = 1
+  UNION ALL
+  SELECT provider, n, event_id, admitted,
+    CASE WHEN NOT admitted THEN 'open' WHEN ok THEN 'closed' WHEN was_open OR before + 1 >= 3 THEN 'open' ELSE 'closed' END,
+    CASE WHEN NOT admitted THEN before WHEN ok THEN 0 ELSE before + 1 END,
+    CASE WHEN NOT admitted THEN since WHEN ok THEN 0.0 WHEN was_open OR before + 1 >= 3 THEN t ELSE since END
+  FROM (SELECT c.provider, c.n, c.event_id, c.t, c.ok, w.failures AS before, w.since, w.state = 'open' AS was_open, w.state <> 'open' OR c.t - w.since >= 3000.0 AS admitted
+    FROM walk w JOIN chain c ON c.provider = w.provider AND c.n = w.n + 1))
+SELECT event_id, provider, admitted, state, CAST(failures AS INTEGER) AS failures FROM walk"""
+)
 def breaker_fold(spark, sf_dir):
     return st.breaker(requests(spark, sf_dir), "provider", "t", "event_id", "ok", 3, 3000.0).select("event_id", "provider", "admitted", "state", "failures")
 
 
-@query()
+@query(
+    CHAIN
+    + """walk AS (
+  SELECT provider, n, event_id, TRUE AS allowed, 1 AS used, t AS begun FROM chain WHERE n = 1
+  UNION ALL
+  SELECT provider, n, event_id, rolled OR used < 10, CASE WHEN rolled THEN 1 WHEN used < 10 THEN used + 1 ELSE used END, CASE WHEN rolled THEN t ELSE begun END
+  FROM (SELECT c.provider, c.n, c.event_id, c.t, w.used, w.begun, c.t < w.begun OR c.t - w.begun >= 86400 AS rolled FROM walk w JOIN chain c ON c.provider = w.provider AND c.n = w.n + 1))
+SELECT event_id, provider, allowed, CAST(used AS INTEGER) AS used FROM walk"""
+)
 def quota_fold(spark, sf_dir):
     return st.quota(requests(spark, sf_dir), "provider", "t", "event_id", 10, 24).select("event_id", "provider", "allowed", "used")
 

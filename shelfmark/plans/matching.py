@@ -77,12 +77,12 @@ def sanitize_name(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.sanitize_filename(F.col("url")).alias("filename"))
 
 
-CREATORS = "people AS (SELECT doc_id, replace(substr(text, 1, 60), '.', ';') AS cell, replace(substr(text, 1, 60), ' ', ', ') AS listing FROM documents)"
+CREATORS = "people AS (SELECT doc_id, replace(text, '.', ';') AS cell, replace(trim(regexp_extract(text, '^[^.!?\n]*', 0), ' '), ' ', ', ') AS listing FROM documents)"
 
 
 def people(spark, sf_dir):
-    head = F.substring("text", 1, 60)
-    return table(spark, sf_dir, "documents").select("doc_id", F.replace(head, F.lit("."), F.lit(";")).alias("cell"), F.replace(head, F.lit(" "), F.lit(", ")).alias("listing"))
+    title = F.trim(F.regexp_extract("text", "^[^.!?\n]*", 0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("."), F.lit(";")).alias("cell"), F.replace(title, F.lit(" "), F.lit(", ")).alias("listing"))
 
 
 @query("SELECT doc_id, len(c) AS n, array_to_string(c, '|') AS creators FROM (SELECT doc_id, list_filter(list_transform(string_split(cell, ';'), lambda x: trim(x, ' ')), lambda x: x <> '') AS c FROM people)", CREATORS)

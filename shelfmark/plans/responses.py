@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dialects
 from ..sources import records as rec
 from .registry import query
 from .views import table
@@ -176,11 +177,11 @@ def html_links(spark, sf_dir):
     return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min("a.href").alias("first_href"))
 
 
-@query("SELECT page_id, 'bsb' || (page_id // 2) AS source_id, 'T' || page_id AS title FROM pages WHERE page_id % 2 = 0")
+@query("SELECT page_id, 'bsb' || (page_id // 2) AS source_id, 'T' || page_id AS title FROM pages")
 def viewer_links(spark, sf_dir):
     i = F.col("page_id")
     body = F.concat(F.lit('<p><a href="/en/view/bsb'), F.floor(i / 2), F.lit('?q=1"> T'), i, F.lit(' </a><a href="/view/bsb'), F.floor(i / 2), F.lit('">again</a><a href="/about">x</a>'))
-    pages = table(spark, sf_dir, "pages").filter(i % 2 == 0).select("page_id", body.alias("body"))
+    pages = table(spark, sf_dir, "pages").select("page_id", body.alias("body"))
     return rec.viewer_links(pages, "page_id", "body").select("page_id", "source_id", "title")
 
 
@@ -197,3 +198,25 @@ def catalogue_ids(spark, sf_dir):
     value = F.when(k % 4 == 0, F.concat(F.lit("https://datos.bne.es/resource/a"), k, F.lit("/"))).when(k % 4 == 1, F.concat(F.lit(" bi"), k)).when(k % 4 == 2, F.concat(F.lit("https://other.es/a"), k)).otherwise("no id")
     link = F.when(k % 2 == 0, F.concat(F.lit("https://digital.example.org/PPN"), k, F.lit("X/1")))
     return table(spark, sf_dir, "orders").select(k.alias("k"), value.alias("v"), link.alias("l")).select("k", rec.catalogue_id(F.col("v")).alias("resource"), rec.ppn_of_url(F.col("l")).alias("ppn"))
+
+
+ASKED = "asked AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'internet_archive' WHEN 1 THEN 'bnf_gallica' WHEN 2 THEN 'europeana' WHEN 3 THEN 'british_library' WHEN 4 THEN 'e_rara' ELSE 'mdz' END AS p, title || ' \"q\"' AS t, CASE WHEN doc_id % 4 > 0 THEN person END AS c FROM base)"
+RAW, CQL = "replace(t, '\"', ' ')", "replace(replace(t, '\\', '\\\\'), '\"', '\\\"')"
+
+
+@query(
+    f"""SELECT doc_id, CASE p
+      WHEN 'internet_archive' THEN 'title:("' || {RAW} || '")' || coalesce(' AND creator:("' || c || '")', '') || ' AND mediatype:(texts)'
+      WHEN 'bnf_gallica' THEN 'gallica all "' || {CQL} || '"' || coalesce(' and dc.creator all "' || c || '"', '')
+      WHEN 'europeana' THEN 'title:"' || {RAW} || '"' || coalesce(' AND who:"' || c || '"', '')
+      WHEN 'british_library' THEN 'title all "' || {CQL} || '"' || coalesce(' and creator all "' || c || '"', '')
+      WHEN 'e_rara' THEN '"' || {CQL} || '"' || coalesce(' and "' || c || '"', '')
+      ELSE t || coalesce(' ' || c, '') END AS q FROM asked""",
+    BASE, ASKED,
+)
+def search_dialects(spark, sf_dir):
+    """Search texts in the providers' query dialects."""
+    names = ["internet_archive", "bnf_gallica", "europeana", "british_library", "e_rara", "mdz"]
+    d = F.col("doc_id")
+    provider = F.element_at(F.array(*map(F.lit, names)), (d % 6 + 1).cast("int"))
+    return base(spark, sf_dir).select("doc_id", dialects.search_text(provider, F.concat("title", F.lit(' "q"')), F.when(d % 4 > 0, F.col("person"))).alias("q"))
