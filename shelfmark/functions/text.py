@@ -163,8 +163,7 @@ def distinct_by_normal_form(values: Column) -> Column:
         keys = F.filter(F.array_distinct(x["k"]), lambda k: k != "")
         return F.transform(keys, lambda k: F.element_at(x["v"], F.array_position(x["k"], k).cast("int")))
 
-    # bound as the one element of an array, the keys are computed once
-    return F.transform(F.array(both), firsts)[0]
+    return let(both, firsts)
 
 
 def split_creator_cell(text: Column) -> Column:
@@ -173,6 +172,51 @@ def split_creator_cell(text: Column) -> Column:
     return distinct_by_normal_form(F.coalesce(parts, F.array().cast("array<string>")))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def clean_title(text: Column) -> Column:
+    """A scraped title: cut before a second year, without a repeated closing parenthesis, at most 100 characters."""
+    year = r"\b(?:19|20)\d{2}\b"
+
+    def first_year_only(s: Column) -> Column:
+        head = F.regexp_extract(s, rf"(?U)^(.*?{year}.*?){year}", 1)
+        return F.when(F.length(head) > 20, F.trim(head)).otherwise(s)
+
+    def without_last_parenthesis(s: Column) -> Column:
+        at = F.length(s) - F.length(F.substring_index(s, "(", -1)) - 1
+        head = F.trim(F.left(s, at))
+        several = F.length(s) - F.length(F.replace(s, F.lit("("), F.lit(""))) > 1
+        return F.when(several & F.endswith(s, F.lit(")")) & (at > 20) & (F.length(head) > 15), head).otherwise(s)
+
+    def short(s: Column) -> Column:
+        head = F.trim(F.left(s, F.lit(100)))
+        at = F.length(head) - F.length(F.substring_index(head, " ", -1)) - 1
+        return F.when(F.length(s) <= 100, s).when(at > 40, F.trim(F.left(head, at))).otherwise(head)
+
+    s = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    s = let(let(s, first_year_only), without_last_parenthesis)
+    return let(F.rtrim(s, F.lit(" -:;|/")), short)
+
+
+# Link texts that are no titles.
+NO_TITLES = ["download", "download options", "download mirror"]
+
+
+def title_candidates(texts: Column) -> Column:
+    """Cleaned titles among scraped texts, one for each normal form, in order; digests and link texts go."""
+    spaced = F.transform(texts, lambda t: F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), r"(?U)\s+", " ")))
+    both = F.struct(spaced.alias("v"), F.transform(spaced, normalize_text).alias("k"))
+
+    def chosen(x: Column) -> Column:
+        keys = F.filter(F.array_distinct(x["k"]), lambda k: (F.length(k) >= 3) & ~k.rlike("^[0-9a-f]{32}$") & ~k.isin(NO_TITLES))
+        return F.transform(keys, lambda k: F.element_at(x["v"], F.array_position(x["k"], k).cast("int")))
+
+    return F.filter(F.transform(let(both, chosen), clean_title), lambda t: t != "")
+
+
 def split_list(text: Column) -> Column:
     """Items of a comma-separated text, trimmed, without repeats."""
     return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda c: F.trim(c)), lambda c: c != ""))

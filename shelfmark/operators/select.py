@@ -106,6 +106,17 @@ def display_top(candidates: DataFrame, work: str, most: int = 10) -> DataFrame:
     return candidates.withColumn("place", place).withColumn("more", more).filter(F.col("place") <= most)
 
 
+def best_titles(titles: DataFrame, key: str, query: str, title: str, order: str) -> DataFrame:
+    """(key, title, token_score, simple_score): of each record's titles the one that fits best by either score.
+
+    The first of equals counts; titles that score nothing are never chosen.
+    """
+    scored = with_title_score(with_title_score(titles, query, title, "_token"), query, title, "_simple", "simple")
+    scored = scored.withColumn("_both", F.greatest("_token", "_simple")).filter("_both > 0")
+    best = F.max_by(F.struct(F.col(title).alias("title"), F.col("_token").alias("token_score"), F.col("_simple").alias("simple_score")), F.struct("_both", -F.col(order)))
+    return scored.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
+
+
 def search_result(works: DataFrame, candidates: DataFrame, gate: Column, work: str) -> DataFrame:
     """(work, status, selected …, n_candidates, candidates): one row per work.
 

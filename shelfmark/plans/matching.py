@@ -103,6 +103,32 @@ def creator_dedupe(spark, sf_dir):
     return people(spark, sf_dir).select("doc_id", F.array_join(text.split_creator_cell(F.col("listing")), "|").alias("creators"))
 
 
+# titles as listings give them, with years, parentheses and separators after them
+SCRAPED = "scraped AS (SELECT doc_id, title || CASE doc_id % 4 WHEN 0 THEN ' 1999 and  2001 more' WHEN 1 THEN ' (first) (second)' WHEN 2 THEN ' - /' ELSE '' END AS t FROM titles)"
+CLEAN = r"""
+c0 AS (SELECT doc_id, trim(regexp_replace(t, '\s+', ' ', 'g'), ' ') AS s FROM scraped),
+c1 AS (SELECT doc_id, CASE WHEN length(h) > 20 THEN trim(h, ' ') ELSE s END AS s FROM (SELECT *, regexp_extract(s, '^(.*?\b(?:19|20)\d{2}\b.*?)\b(?:19|20)\d{2}\b', 1) AS h FROM c0)),
+c2 AS (SELECT doc_id, CASE WHEN length(s) - length(replace(s, '(', '')) > 1 AND s LIKE '%)' AND p > 20 AND length(trim(left(s, p), ' ')) > 15 THEN trim(left(s, p), ' ') ELSE s END AS s
+  FROM (SELECT *, length(s) - length(regexp_extract(s, '([^(]*)$', 1)) - 1 AS p FROM c1)),
+c3 AS (SELECT doc_id, rtrim(s, ' -:;|/') AS s FROM c2),
+c4 AS (SELECT doc_id, s, trim(left(s, 100), ' ') AS h FROM c3),
+c5 AS (SELECT *, length(h) - length(regexp_extract(h, '([^ ]*)$', 1)) - 1 AS p FROM c4)"""
+
+
+@query("SELECT doc_id, CASE WHEN length(s) <= 100 THEN s WHEN p > 40 THEN trim(left(h, p), ' ') ELSE h END AS title FROM c5", TITLES, SCRAPED, CLEAN)
+def clean_titles(spark, sf_dir):
+    d = F.col("doc_id")
+    tail = F.when(d % 4 == 0, " 1999 and  2001 more").when(d % 4 == 1, " (first) (second)").when(d % 4 == 2, " - /").otherwise("")
+    return titles(spark, sf_dir).select("doc_id", text.clean_title(F.concat("title", tail)).alias("title"))
+
+
+@query()
+def best_titles(spark, sf_dir):
+    """Of the sentences found for each work and document source, the one that fits the wanted title best."""
+    pairs = token_pairs(spark, sf_dir)
+    return sel.best_titles(pairs, "entry_id", "short_title", "title", "provider_ix")
+
+
 TOKEN_PAIRS = f"""
 pairs AS (
   SELECT h.entry_id, h.source_id, {tokens_sql("w.norm")} AS a, {tokens_sql("h.title_norm")} AS b FROM hits h JOIN works w USING (entry_id)

@@ -79,6 +79,11 @@ def normalized(r: Column) -> dict[str, Column]:
     )
 
 
+def chosen_source_id(source_id: Column, raw: Column) -> Column:
+    """A selected record's id: its own, else the raw record's identifier or ark."""
+    return F.coalesce(F.nullif(source_id, F.lit("")), scalar(raw, "$.identifier"), scalar(raw, "$.ark_id"))
+
+
 def _internet_archive(r: Column):
     name = scalar(r, "$.identifier")
     return record(scalar(r, "$.title"), text_list(r, "$.creator"), scalar(r, "$.year"), name, None, url("https://archive.org/details/", name))

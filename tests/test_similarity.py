@@ -51,3 +51,11 @@ def test_creators(spark):
     df = spark.createDataFrame([(0, "Ibsen, Henrik", ["Henrik Ibsen", "Zola"]), (1, None, ["x"]), (2, "x", None), (3, "x", []), (4, "Zola", ["Emile", "Zolla"])], "i int, w string, c array<string>")
     got = [r[0] for r in df.orderBy("i").select(creator_score(F.col("w"), F.col("c"))).collect()]
     assert got == [100, 0, 0, 0, max(token_set("Zola", "Emile"), token_set("Zola", "Zolla"))]
+
+
+def test_best_titles(spark):
+    from shelfmark.operators.select import best_titles
+
+    rows = [("r", "Voyage to the moon", t, i) for i, t in enumerate(["zzz", "Voyage moon", "Moon voyage", "Voyage to the moon, 1865"])] + [("q", "abc", "", 0)]
+    got = best_titles(spark.createDataFrame(rows, "k string, q string, t string, i int"), "k", "q", "t", "i").collect()
+    assert [(r.k, r.title, r.token_score) for r in got] == [("r", "Voyage moon", 100)]

@@ -78,3 +78,11 @@ def test_penalties_and_waits(spark):
     now = F.lit("2024-01-15 12:00:00").cast("timestamp")
     got = run(spark, ["5", "-3", "900", "Mon, 15 Jan 2024 12:00:30 GMT", "soon", None], dates.retry_after(F.col("v"), now, 100.0))
     assert [g[0] for g in got] == [5.0, 0.0, 100.0, 30.0, None, None]
+
+
+def test_scraped_titles(spark):
+    raw = ["A long enough title 1999 and more 2001 rest", "Short 1999 2001", "A History of the World Bread (Paris) (2nd ed.)", "x" * 60 + " " + "y" * 60, "Title - /", None]
+    want = ["A long enough title 1999 and more", "Short 1999 2001", "A History of the World Bread (Paris)", "x" * 60, "Title", ""]
+    assert [g[0] for g in run(spark, raw, text.clean_title(F.col("v")))] == want
+    texts = F.array(F.col("v"), F.lit("  Émile  Zola"), F.lit("emile zola"), F.lit("d41d8cd98f00b204e9800998ecf8427e"), F.lit("Download"), F.lit("ab"))
+    assert run(spark, ["A Title "], text.title_candidates(texts)) == [(["A Title", "Émile Zola"],)]
