@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Rows in one Arrow batch sent to Python, so that a batch of long texts stays small.
 BATCH_ROWS = 512
+#: Narrow rows in one file of a stored table.
+ROWS_PER_FILE = 200_000
 #: Characters that a vectorised step handles at once.
 CHUNK_CHARS = 1 << 19
 
@@ -53,9 +55,13 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Writes ``df`` as Parquet and reads it back: the lineage ends at files all executors share."""
-    df.write.mode("overwrite").parquet(path)
+def stored(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet and reads it back: the lineage ends at files all executors share.
+
+    ``rows``, about how many narrow rows there are, keeps small tables in few files.
+    """
+    out = df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
+    out.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -190,19 +190,19 @@ def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def components(edges: DataFrame, path: str, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, path: str, nodes: int | None = None, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each component, for nodes that have an edge.
 
     Each round turns every node's larger neighbours to its smallest neighbour, then every
     node's smaller neighbours likewise, and ends when the edges are stars.  A round is two
-    partial aggregations and two joins over written tables.
+    partial aggregations and two joins over written tables.  ``nodes`` is about their number.
     """
 
     def key(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
     # an edge is kept as (larger, smaller)
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{path}/round-0")
+    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{path}/round-0", nodes)
     mark = key(now)
     for i in range(1, rounds + 1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -211,7 +211,7 @@ def components(edges: DataFrame, path: str, rounds: int = 60) -> DataFrame:
         small_low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         turned = large.join(small_low, large.a == small_low.n)
         small = turned.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_low.select(F.col("n").alias("a"), F.col("m").alias("b")))
-        new = stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{path}/round-{i}")
+        new = stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{path}/round-{i}", mark[0])
         new_mark = key(new)
         if new_mark == mark:
             break
@@ -225,15 +225,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp, component_id): every row with its fingerprint and its component's smallest doc_id."""
     path = workspace(docs.sparkSession, "simhash")
     rows = stored(fingerprints(docs, id_col, text_col), f"{path}/rows")
-    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), f"{path}/classes")
+    n = rows.count()
+    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), f"{path}/classes", n)
     edges = links(classes.filter("rep is not null"), block)
     # one doc_id may stand in several classes; its edges then meet in the same node
-    stars = components(edges, path)
+    stars = components(edges, path, n)
     same = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").limit(1)
     if not same.isEmpty():
         shared = rows.join(classes, "fp").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        stars = components(stored(edges.unionByName(shared), f"{path}/all-edges"), f"{path}/again")
-    owned = stored(classes.join(stars, classes.rep == stars.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), f"{path}/owned")
+        stars = components(stored(edges.unionByName(shared), f"{path}/all-edges", n), f"{path}/again", n)
+    owned = stored(classes.join(stars, classes.rep == stars.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), f"{path}/owned", n)
     return rows.join(owned, "fp").select("doc_id", "fp", "component_id")
 
 

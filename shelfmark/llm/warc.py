@@ -34,6 +34,7 @@ CHUNK = 1 << 16
 ARCHIVE_BYTES = 256 << 20
 #: Parts into which the pages of one payload are dealt.
 SALTS = 16
+MANIFEST_FILES = 4
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -246,7 +247,8 @@ def write_archives(plan: DataFrame, folder: str, level: int = 6, archive_bytes:
         columns = list(zip(*done, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.int64()], strict=True)], ["archive", "records", "bytes"])
 
-    return stored(plan.mapInArrow(run, "archive string, records long, bytes long"), f"{folder}/manifest")
+    # one short row for each archive: a few files hold them all
+    return stored(plan.mapInArrow(run, "archive string, records long, bytes long").repartition(MANIFEST_FILES), f"{folder}/manifest")
 
 
 def read_archives(manifest: DataFrame, keep_payload: bool = False) -> DataFrame:
