@@ -241,12 +241,12 @@ def exhausted_providers(spark, sf_dir):
     return dq.exhausted_providers(quotas(spark, sf_dir), now()).select("provider_key", "is_next")
 
 
-@query("SELECT event_id, least(1.5 * pow(1.5, event_id % 12), 60.0) AS wait FROM events")
+@query("SELECT event_id, CAST(least(1.5 * pow(1.5, event_id % 12), 60.0) AS DOUBLE) AS wait FROM events")
 def backoff_schedule(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", dates.backoff(F.col("event_id") % 12 + 1, 1.5, 1.5, 60.0).alias("wait"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN greatest(0.0, least(100.0, event_id % 150 - 10)) WHEN event_id % 3 = 1 THEN 60.0 END AS wait FROM events")
+@query("SELECT event_id, CAST(CASE WHEN event_id % 3 = 0 THEN greatest(0.0, least(100.0, event_id % 150 - 10)) WHEN event_id % 3 = 1 THEN 60.0 END AS DOUBLE) AS wait FROM events")
 def retry_after(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     header = F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 150 - 10).cast("string")).when(F.col("event_id") % 3 == 1, "Mon, 15 Jan 2024 12:01:00 GMT").otherwise("later")
