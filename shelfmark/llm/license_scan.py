@@ -1,10 +1,12 @@
 """License scanning by conditional compression.
 
-A text's sentences and lines that hold a licensing word become candidate blocks.  Each block
-is compressed alone and with every template as a raw zstandard dictionary; the templates are
-ranked by the reduction.  The winners are confirmed by their exact wording: the block and
-each wording of the license are aligned word by word, and a block stands only if the
-wording's decisive words (names and versions) are all there and few other words differ.
+A text's sentences and lines that hold a licensing word become candidate blocks.  In each
+block every wording is aligned word by word, at whatever place it fits best: few of its
+words may be missing, few other words may stand between, and its decisive words (names and
+versions) must all be there.  The place is then compressed alone and with the template as a
+raw zstandard dictionary, both as lower-case words; it stands only with enough reduction.
+Of several places the one with the fewest differences wins, then the longer wording, then
+the greater reduction.
 
 Defined cases: a null or empty text has no block and no finding; a text may hold several
 licenses and the same one several times; ties in reduction go to the template that stands
@@ -14,10 +16,12 @@ first; repeated rows get equal results; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, strings
 
-#: Least reduction of a block by a template, templates confirmed for each block, least share of a wording found.
-LEAST_REDUCTION, WINNERS, LEAST_WORDING = 0.2, 4, 0.8
+#: Least reduction of a place by a template, least share of a wording found.
+LEAST_REDUCTION, LEAST_WORDING = 0.2, 0.8
 #: Sentences longer than this many words are looked at in windows that overlap by half.
 WINDOW_WORDS = 400
 
@@ -115,6 +119,53 @@ def blocks(text: str) -> list[str]:
     return out
 
 
+def places(wording: list[str], have: list[str], decisive: list[str]) -> list[tuple[int, int, int, int]]:
+    """(missing, extra, start, end) of every place of ``have`` that states ``wording``, none overlapping a nearer one.
+
+    The nearest alignment that ends at each word comes from one pass over the wording, with
+    start and end free; a decisive word that the wording holds once cannot be missing.
+    """
+    m, n = len(wording), len(have)
+    once = {w for w in decisive if wording.count(w) == 1}
+    # one number holds differences, missing words and, as the later start is nearer, the start from the end
+    differs, lacks = 1 << 40, 1 << 24
+    at = np.arange(n + 1, dtype=np.int64)
+    words_at = {w: np.array([x == w for x in have]) for w in set(wording)}
+    best = n - at
+    for w in wording:
+        skipped = np.full(n + 1, 1 << 61, np.int64) if w in once else best + differs + lacks
+        skipped[1:] = np.minimum(skipped[1:], np.where(words_at[w], best[:-1], 1 << 61))
+        best = np.minimum.accumulate(skipped - at * differs) + at * differs
+    most = round(m * (1 - LEAST_WORDING), 9)
+    out: list[tuple[int, int, int, int]] = []
+    for end in np.flatnonzero(best < (2 * most + 1) * differs).tolist():
+        value = int(best[end])
+        missing, start = value % differs // lacks, n - value % lacks
+        extra = value // differs - missing
+        if missing <= most and extra <= most and all(w in have[start:end] for w in decisive):
+            out.append((missing, extra, start, end))
+    kept: list[tuple[int, int, int, int]] = []
+    for x in sorted(out, key=lambda x: (x[0] + x[1], x[0], x[2])):
+        if all(x[3] <= k[2] or k[3] <= x[2] for k in kept):
+            kept.append(x)
+    return kept
+
+
+class Template(NamedTuple):
+    name: str
+    with_dict: zstandard.ZstdCompressor
+    #: Wording, its words with their counts, and the decisive words it holds.
+    wordings: list[tuple[list[str], dict[str, int], list[str]]]
+
+    def stated(self, have: Counter) -> list[tuple[list[str], list[str]]]:
+        """The wordings (with decisive words) of which these words could state enough, in whatever order."""
+        out = []
+        for wording, counts, decisive in self.wordings:
+            if all(w in have for w in decisive) and sum(min(c, have[w]) for w, c in counts.items() if w in have) >= LEAST_WORDING * len(wording):
+                out.append((wording, decisive))
+        return out
+
+
 class Scanner:
     """The templates as compression dictionaries and as wordings."""
 
@@ -123,55 +174,43 @@ class Scanner:
         self.alone = zstandard.ZstdCompressor(compression_params=params)
         self.templates = []
         for name, cited, decisive, opening in licenses:
-            wordings = [c.format(n) for n in cited for c in CITATIONS] + ([opening] if opening else [])
-            raw = zstandard.ZstdCompressionDict("\n".join(wordings).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, zstandard.ZstdCompressor(dict_data=raw, compression_params=params), [words(w) for w in wordings], decisive))
+            wordings = [words(w) for w in [c.format(n) for n in cited for c in CITATIONS] + ([opening] if opening else [])]
+            raw = zstandard.ZstdCompressionDict("\n".join(map(" ".join, wordings)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known = [(w, dict(Counter(w)), [d for d in decisive if d in w]) for w in wordings]
+            self.templates.append(Template(name, zstandard.ZstdCompressor(dict_data=raw, compression_params=params), known))
 
     def ranked(self, block: str) -> list[tuple[float, int]]:
         """(reduction, template) by falling reduction."""
-        raw = block.encode("utf-8", "replace")
+        raw = " ".join(words(block)).encode("utf-8", "replace")
         alone = len(self.alone.compress(raw))
-        cuts = [(1 - len(with_dict.compress(raw)) / alone, at) for at, (_, with_dict, _, _) in enumerate(self.templates)]
+        cuts = [(1 - len(t.with_dict.compress(raw)) / alone, at) for at, t in enumerate(self.templates)]
         return sorted(cuts, key=lambda x: (-x[0], x[1]))
 
-    def differences(self, block: str, template: int) -> tuple[int, int] | None:
-        """(missing, extra) words of the nearest wording, or None where the block does not state it."""
-        have = words(block)
-        best = None
-        for wording in self.templates[template][2]:
-            if not wording:
-                continue
-            match = SequenceMatcher(None, wording, have, autojunk=False)
-            same = [m for m in match.get_matching_blocks() if m.size]
-            found = sum(m.size for m in same)
-            if found < LEAST_WORDING * len(wording):
-                continue
-            # words between the first and the last match that the wording does not have
-            span = same[-1].b + same[-1].size - same[0].b
-            matched = {w for m in same for w in wording[m.a : m.a + m.size]}
-            decisive = [w for w in self.templates[template][3] if w in wording]
-            if any(w not in matched for w in decisive):
-                continue
-            result = (len(wording) - found, span - found)
-            if result[1] > len(wording) * (1 - LEAST_WORDING):
-                continue
-            if best is None or (sum(result), -len(wording)) < best[1]:
-                best = (result, (sum(result), -len(wording)))
-        return best[0] if best else None
+    def reduction(self, have: list[str], at: int) -> float:
+        """The reduction of these words by a template."""
+        raw = " ".join(have).encode("utf-8", "replace")
+        return 1 - len(self.templates[at].with_dict.compress(raw)) / len(self.alone.compress(raw))
+
+    def stated(self, have: list[str]) -> list[tuple[int, int, float, int, int, int, int]]:
+        """(differences, -words, -reduction, template, missing, start, end) of every place that states a wording, nearest first.
+
+        The reduction is that of the place alone, so what the words around it say does not count.
+        """
+        held, out = Counter(have), []
+        for at, t in enumerate(self.templates):
+            for wording, decisive in t.stated(held):
+                for missing, extra, start, end in places(wording, have, decisive):
+                    if (reduction := self.reduction(have[start:end], at)) >= LEAST_REDUCTION:
+                        out.append((missing + extra, -len(wording), -reduction, at, missing, start, end))
+        return sorted(out)
 
     def scan(self, text: str) -> tuple[int, list[Finding]]:
-        """(blocks looked at, findings): of each block the ranked winner whose wording differs least."""
+        """(blocks looked at, findings): of each block the wording that differs least."""
         candidates, found = blocks(text), []
         for n, block in enumerate(candidates):
-            confirmed = []
-            for reduction, at in self.ranked(block)[:WINNERS]:
-                if reduction < LEAST_REDUCTION:
-                    break
-                if (d := self.differences(block, at)) is not None:
-                    confirmed.append((sum(d), -reduction, at, d))
-            if confirmed:
-                _, reduction, at, d = min(confirmed)
-                found.append(Finding(n, self.templates[at][0], -reduction, *d))
+            if confirmed := self.stated(words(block)):
+                differ, _, reduction, at, missing, _, _ = confirmed[0]
+                found.append(Finding(n, self.templates[at].name, -reduction, missing, differ - missing))
         return len(candidates), found
 
 

@@ -43,3 +43,16 @@ def test_documents(spark):
     got = ls.scan_documents(docs).collect()
     assert len(got) == 7 and [r.licenses for r in sorted(got, key=lambda r: r.doc_id or 0)] == ["", "", "", "", "MIT", "MIT", "MIT"]
     assert ls.scan_documents(docs.limit(0)).count() == 0
+
+
+def prose(n):
+    """A sentence's worth of plain words, none of them a licensing word."""
+    plain = "the river was calm and wide when under a grey morning sky all of them walked along to an old mill that stood beside its western bank".split()
+    return " ".join(plain[i * i % len(plain)] + ("" if i % 3 else str(i)) for i in range(n))
+
+
+@pytest.mark.parametrize("n", [20, 50, 100, 200, 400])
+def test_long_sentences_keep_their_citations(n):
+    for name, cited, _, _ in ls.LICENSES:
+        sentence = f"The library that {prose(n - 14)} is released under the {cited[0]}."
+        assert [(f.license, f.exact) for f in SCANNER.scan(sentence)[1]] == [(name, True)], (name, n)
