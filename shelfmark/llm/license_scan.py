@@ -5,8 +5,9 @@ block every wording is aligned word by word, at whatever place it fits best: few
 words may be missing, few other words may stand between, and its decisive words (names and
 versions) must all be there.  The place is then compressed alone and with the template as a
 raw zstandard dictionary, both as lower-case words; it stands only with enough reduction.
-Of several places the one with the fewest differences wins, then the longer wording, then
-the greater reduction.
+All templates are looked at, and every place is a finding that overlaps no better one: one
+with fewer differences, then of a longer wording, then with a greater reduction.  Names that
+follow in a list ("the MIT License or the ISC License") are findings too.
 
 Defined cases: a null or empty text has no block and no finding; a text may hold several
 licenses and the same one several times; ties in reduction go to the template that stands
@@ -66,6 +67,8 @@ LICENSES: tuple[tuple[str, tuple[str, ...], tuple[str, ...], str], ...] = (
 )
 #: Sentences in which a name is cited.
 CITATIONS = ("Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "Distributed under the terms of the {}.")
+#: Words that join a further name to a citation.
+JOINERS = {"or", "and", "the", "either", "both", "also", "under", "alternatively", "optionally"}
 #: Words of full names that stand for the short decisive words.
 SYNONYMS = {"attribution": "by", "sharealike": "sa", "noncommercial": "nc", "noderivatives": "nd"}
 CUE = re.compile(r"licen[cs]|unlicense|copyright|permission|warrant|redistribut|public domain|creative commons|\bcc0?[ -]|gnu |free software|source code form", re.IGNORECASE)
@@ -120,10 +123,10 @@ def blocks(text: str) -> list[str]:
 
 
 def places(wording: list[str], have: list[str], decisive: list[str]) -> list[tuple[int, int, int, int]]:
-    """(missing, extra, start, end) of every place of ``have`` that states ``wording``, none overlapping a nearer one.
+    """(missing, extra, start, end) of the places of ``have`` that state ``wording``, the nearest that ends at each word.
 
-    The nearest alignment that ends at each word comes from one pass over the wording, with
-    start and end free; a decisive word that the wording holds once cannot be missing.
+    They come from one pass over the wording, with start and end free; a decisive word that
+    the wording holds once cannot be missing.
     """
     m, n = len(wording), len(have)
     once = {w for w in decisive if wording.count(w) == 1}
@@ -144,11 +147,7 @@ def places(wording: list[str], have: list[str], decisive: list[str]) -> list[tup
         extra = value // differs - missing
         if missing <= most and extra <= most and all(w in have[start:end] for w in decisive):
             out.append((missing, extra, start, end))
-    kept: list[tuple[int, int, int, int]] = []
-    for x in sorted(out, key=lambda x: (x[0] + x[1], x[0], x[2])):
-        if all(x[3] <= k[2] or k[3] <= x[2] for k in kept):
-            kept.append(x)
-    return kept
+    return out
 
 
 class Template(NamedTuple):
@@ -173,9 +172,13 @@ class Scanner:
         params = zstandard.ZstdCompressionParameters.from_level(9, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.alone = zstandard.ZstdCompressor(compression_params=params)
         self.templates = []
+        self.names: dict[str, list[tuple[tuple[str, ...], int]]] = {}
+        self.memory: dict[tuple[int, bytes], float] = {}
         for name, cited, decisive, opening in licenses:
             wordings = [words(w) for w in [c.format(n) for n in cited for c in CITATIONS] + ([opening] if opening else [])]
             raw = zstandard.ZstdCompressionDict("\n".join(map(" ".join, wordings)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            for n in {tuple(words(x.lower().removeprefix("the "))) for x in cited}:
+                self.names.setdefault(n[0], []).append((n, len(self.templates)))
             known = [(w, dict(Counter(w)), [d for d in decisive if d in w]) for w in wordings]
             self.templates.append(Template(name, zstandard.ZstdCompressor(dict_data=raw, compression_params=params), known))
 
@@ -189,10 +192,14 @@ class Scanner:
     def reduction(self, have: list[str], at: int) -> float:
         """The reduction of these words by a template."""
         raw = " ".join(have).encode("utf-8", "replace")
-        return 1 - len(self.templates[at].with_dict.compress(raw)) / len(self.alone.compress(raw))
+        if (out := self.memory.get((at, raw))) is None:
+            out = 1 - len(self.templates[at].with_dict.compress(raw)) / len(self.alone.compress(raw))
+            if len(self.memory) < 10_000:
+                self.memory[at, raw] = out
+        return out
 
     def stated(self, have: list[str]) -> list[tuple[int, int, float, int, int, int, int]]:
-        """(differences, -words, -reduction, template, missing, start, end) of every place that states a wording, nearest first.
+        """(differences, -words, -reduction, template, missing, start, end) of every place that states a wording.
 
         The reduction is that of the place alone, so what the words around it say does not count.
         """
@@ -202,15 +209,42 @@ class Scanner:
                 for missing, extra, start, end in places(wording, have, decisive):
                     if (reduction := self.reduction(have[start:end], at)) >= LEAST_REDUCTION:
                         out.append((missing + extra, -len(wording), -reduction, at, missing, start, end))
-        return sorted(out)
+        return out
+
+    def joined(self, have: list[str], at: int) -> list[tuple[int, int, int]]:
+        """(start, end, template) of the names that follow the place ending at ``at`` in an "or" or "and" list."""
+        out, whole = [], 0
+        while True:
+            start = at
+            while start < len(have) and have[start] in JOINERS:
+                start += 1
+            here = [(len(n), t) for n, t in self.names.get(have[start], ()) if tuple(have[start : start + len(n)]) == n] if start < len(have) else []
+            if not here:
+                return out[:whole]
+            size, template = max(here)
+            out.append((start, start + size, template))
+            if {"or", "and"} & set(have[at:start]):
+                whole = len(out)
+            at = start + size
 
     def scan(self, text: str) -> tuple[int, list[Finding]]:
-        """(blocks looked at, findings): of each block the wording that differs least."""
+        """(blocks looked at, findings): in each block every place that overlaps no nearer one, then the names joined to it."""
         candidates, found = blocks(text), []
         for n, block in enumerate(candidates):
-            if confirmed := self.stated(words(block)):
-                differ, _, reduction, at, missing, _, _ = confirmed[0]
-                found.append(Finding(n, self.templates[at].name, -reduction, missing, differ - missing))
+            have = words(block)
+            taken = bytearray(len(have))
+            places = []
+            for differ, _, reduction, at, missing, start, end in sorted(self.stated(have)):
+                if not any(taken[start:end]):
+                    taken[start:end] = b"\1" * (end - start)
+                    places.append((start, end, Finding(n, self.templates[at].name, -reduction, missing, differ - missing)))
+            for _, end, _ in list(places):
+                for start, stop, at in self.joined(have, end):
+                    if any(taken[start:stop]):
+                        break
+                    taken[start:stop] = b"\1" * (stop - start)
+                    places.append((start, stop, Finding(n, self.templates[at].name, self.reduction(have[start:stop], at), 0, 0)))
+            found += [f for _, _, f in sorted(places, key=lambda x: x[0])]
         return len(candidates), found
 
 

@@ -56,3 +56,16 @@ def test_long_sentences_keep_their_citations(n):
     for name, cited, _, _ in ls.LICENSES:
         sentence = f"The library that {prose(n - 14)} is released under the {cited[0]}."
         assert [(f.license, f.exact) for f in SCANNER.scan(sentence)[1]] == [(name, True)], (name, n)
+
+
+def test_every_license_of_a_sentence_is_found():
+    found = lambda t: [f.license for f in SCANNER.scan(t)[1]]
+    assert found("Licensed under the MIT License or the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
+    assert found("Licensed under the Apache License, Version 2.0 and/or the MIT License.") == ["Apache-2.0", "MIT"]
+    assert found("Released under the MIT License, the ISC License or CC0 1.0, as you like.") == ["MIT", "ISC", "CC0-1.0"]
+    assert found("It is licensed under the ISC License and its data are licensed under the CC BY 4.0 with thanks.") == ["ISC", "CC-BY-4.0"]
+    assert found("Licensed under the MIT License or The Unlicense.") == ["MIT", "Unlicense"]
+    assert found("Released under the MIT License, the wide river says.") == ["MIT"]
+    six = ["MIT", "Apache-2.0", "GPL-3.0", "MPL-2.0", "ISC", "CC0-1.0"]
+    cited = {x[0]: x[1][0] for x in ls.LICENSES}
+    assert found("Parts are " + ", parts are ".join(f"licensed under the {cited[x]}" for x in six) + ".") == six
