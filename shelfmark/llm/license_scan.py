@@ -1,7 +1,7 @@
 """License scanning by conditional compression.
 
-A text's sentences and lines that hold a licensing word become candidate blocks.  In each
-block every wording is aligned word by word, at whatever place it fits best: few of its
+The words around each licensing word, as far as the longest wording reaches and across line
+and sentence ends, become candidate blocks.  In each block every wording is aligned word by word, at whatever place it fits best: few of its
 words may be missing, few other words may stand between, and its decisive words (names and
 versions) must all be there.  The place is then compressed alone and with the template as a
 raw zstandard dictionary, both as lower-case words; it stands only with enough reduction.
@@ -32,8 +32,6 @@ from .common import small_batches, strings
 
 #: Least reduction of a place by a template, least share of a wording found.
 LEAST_REDUCTION, LEAST_WORDING = 0.2, 0.8
-#: Sentences longer than this many words are looked at in windows that overlap by half.
-WINDOW_WORDS = 400
 
 # Names under which licenses are cited, the words that decide between them, and opening wordings.
 LICENSES: tuple[tuple[str, tuple[str, ...], tuple[str, ...], str], ...] = (
@@ -71,9 +69,8 @@ CITATIONS = ("Licensed under the {}.", "Licensed under {}.", "Released under the
 JOINERS = {"or", "and", "the", "either", "both", "also", "under", "alternatively", "optionally"}
 #: Words of full names that stand for the short decisive words.
 SYNONYMS = {"attribution": "by", "sharealike": "sa", "noncommercial": "nc", "noderivatives": "nd"}
-CUE = re.compile(r"licen[cs]|unlicense|copyright|permission|warrant|redistribut|public domain|creative commons|\bcc0?[ -]|gnu |free software|source code form", re.IGNORECASE)
+CUE = re.compile(r"licen[cs]|unlicense|copyright|permission|warrant|redistribut|released under|under the terms|public domain|creative commons|(?<![^\W_])(?:cc0?|gnu)(?![^\W_])|free software|source code form".replace(" ", r"[\W_]+"), re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
-_SENTENCE = re.compile(r"[^\n.!?;]*(?:[.!?;](?!\s)[^\n.!?;]*)*[.!?;]?")
 
 
 @dataclass(frozen=True)
@@ -93,32 +90,34 @@ def words(text: str) -> list[str]:
     return [SYNONYMS.get(w, w) for w in _WORD.findall(text.lower())]
 
 
-def blocks(text: str) -> list[str]:
-    """The candidate blocks: sentences with a licensing word, joined with neighbours that have one too."""
+#: Words that the longest wording may take, with the other words it may hold.
+REACH = max(int(len(words(w)) * (2 - LEAST_WORDING)) for x in LICENSES for w in [x[3], *[c.format(n) for n in x[1] for c in CITATIONS]])
+
+
+def blocks(text: str, reach: int | None = None) -> list[tuple[int, list[str]]]:
+    """The candidate blocks as (place of the first word, words): all within ``reach`` words of a licensing word.
+
+    Line ends and sentence ends do not count.  Words near several licensing words form one
+    run, looked at in windows that overlap by more than ``reach`` words.
+    """
+    reach = REACH if reach is None else reach
     if not CUE.search(text):
         return []
-    out: list[str] = []
-    joined: list[str] = []
-    for line in text.split("\n"):
-        if not CUE.search(line):
-            joined = []
-            continue
-        for m in _SENTENCE.finditer(line):
-            part = m[0].strip()
-            if not part:
-                continue
-            if not CUE.search(part):
-                joined = []
-                continue
-            held = part.split()
-            if len(held) > WINDOW_WORDS:
-                out += [" ".join(held[i : i + WINDOW_WORDS]) for i in range(0, len(held), WINDOW_WORDS // 2)]
-                joined = []
-                continue
-            out.append(part)
-            joined = [*joined, part] if sum(map(len, joined)) < 8 * WINDOW_WORDS else [part]
-            if len(joined) > 1:
-                out.append(" ".join(joined))
+    have = words(text)
+    joined = " ".join(have)
+    out: list[tuple[int, list[str]]] = []
+    starts = np.cumsum([0] + [len(w) + 1 for w in have])
+    cues = np.searchsorted(starts, [m.start() for m in CUE.finditer(joined)], "right") - 1
+    runs: list[list[int]] = []
+    for at in cues.tolist():
+        first, last = max(at - reach, 0), min(at + reach + 1, len(have))
+        if runs and first <= runs[-1][1]:
+            runs[-1][1] = last
+        else:
+            runs.append([first, last])
+    for first, last in runs:
+        for at in range(first, max(last - reach - 1, first + 1), reach):
+            out.append((at, have[at : min(at + 2 * reach + 1, last)]))
     return out
 
 
@@ -228,24 +227,29 @@ class Scanner:
             at = start + size
 
     def scan(self, text: str) -> tuple[int, list[Finding]]:
-        """(blocks looked at, findings): in each block every place that overlaps no nearer one, then the names joined to it."""
-        candidates, found = blocks(text), []
-        for n, block in enumerate(candidates):
-            have = words(block)
-            taken = bytearray(len(have))
-            places = []
-            for differ, _, reduction, at, missing, start, end in sorted(self.stated(have)):
-                if not any(taken[start:end]):
-                    taken[start:end] = b"\1" * (end - start)
-                    places.append((start, end, Finding(n, self.templates[at].name, -reduction, missing, differ - missing)))
-            for _, end, _ in list(places):
-                for start, stop, at in self.joined(have, end):
-                    if any(taken[start:stop]):
-                        break
-                    taken[start:stop] = b"\1" * (stop - start)
-                    places.append((start, stop, Finding(n, self.templates[at].name, self.reduction(have[start:stop], at), 0, 0)))
-            found += [f for _, _, f in sorted(places, key=lambda x: x[0])]
-        return len(candidates), found
+        """(blocks looked at, findings): every place that overlaps no nearer one, then the names joined to it, in the text's order."""
+        candidates = blocks(text)
+        if not candidates:
+            return 0, []
+        have = words(text)
+        stated = {}
+        for n, (first, block) in enumerate(candidates):
+            for *nearness, start, end in self.stated(block):
+                # blocks overlap, so a place may be seen twice
+                stated.setdefault((*nearness, first + start, first + end), n)
+        taken = bytearray(len(have))
+        found = []
+        for (differ, _, reduction, at, missing, start, end), n in sorted(stated.items()):
+            if not any(taken[start:end]):
+                taken[start:end] = b"\1" * (end - start)
+                found.append((start, end, Finding(n, self.templates[at].name, -reduction, missing, differ - missing)))
+        for _, end, first in list(found):
+            for start, stop, at in self.joined(have, end):
+                if any(taken[start:stop]):
+                    break
+                taken[start:stop] = b"\1" * (stop - start)
+                found.append((start, stop, Finding(first.block, self.templates[at].name, self.reduction(have[start:stop], at), 0, 0)))
+        return len(candidates), [f for _, _, f in sorted(found, key=lambda x: x[0])]
 
 
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

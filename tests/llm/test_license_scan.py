@@ -1,5 +1,7 @@
 """License scans: every template finds itself, edited wordings are told apart, plain text stays clean."""
 
+import textwrap
+
 import pytest
 import zstandard
 
@@ -69,3 +71,21 @@ def test_every_license_of_a_sentence_is_found():
     six = ["MIT", "Apache-2.0", "GPL-3.0", "MPL-2.0", "ISC", "CC0-1.0"]
     cited = {x[0]: x[1][0] for x in ls.LICENSES}
     assert found("Parts are " + ", parts are ".join(f"licensed under the {cited[x]}" for x in six) + ".") == six
+
+
+@pytest.mark.parametrize("name", [x[0] for x in ls.LICENSES if x[3]])
+def test_openings_are_found_on_one_line_and_wrapped(name):
+    opening = next(x[3] for x in ls.LICENSES if x[0] == name)
+    wrapped = textwrap.wrap(opening, 75)
+    for text in (opening, opening.upper(), "\n".join(wrapped), "\r\n".join(wrapped), "\n".join(f" * {x}" for x in textwrap.wrap(opening, 40))):
+        found = SCANNER.scan(f"The river was calm.\n{text}\nThe end of it.")[1]
+        assert [(f.license, f.exact) for f in found] == [(name, True)], text
+
+
+def test_blocks_hold_every_place_near_a_cue():
+    for n in (1, 30, 300, 2000):
+        have = [f"w{i}" if i % 50 else "license" for i in range(n)]
+        held = ls.blocks(" ".join(have))
+        for i in range(0, max(n - ls.REACH, 1), 7):
+            assert any(at <= i and i + ls.REACH <= at + len(part) or n < ls.REACH for at, part in held)
+        assert all(have[at : at + len(part)] == part for at, part in held)
