@@ -10,7 +10,7 @@ from ..functions import dates, text
 from ..functions.similarity import creator_score, with_title_score, with_token_bounds
 from ..operators import select as sel
 from .registry import query
-from .views import HIERARCHY, HITS, PROVIDERS, SENTENCES, WORKS, hits, norm_sql, providers, table, tokens_sql, works
+from .views import HIERARCHY, HITS, PROVIDERS, SENTENCES, TWIN_HITS, WORKS, hits, norm_sql, providers, table, tokens_sql, works
 
 TITLES = f"titles AS (SELECT doc_id, trim(regexp_extract(text, '^[^.!?\n]*', 0), ' ') AS title, lang, source, text FROM documents)"
 NORM = norm_sql("title")
@@ -125,7 +125,7 @@ def clean_titles(spark, sf_dir):
 @query()
 def best_titles(spark, sf_dir):
     """Of the sentences found for each work and document source, the one that fits the wanted title best."""
-    pairs = token_pairs(spark, sf_dir)
+    pairs = token_pairs(spark, sf_dir, most=None)
     return sel.best_titles(pairs, "entry_id", "short_title", "title", "provider_ix")
 
 
@@ -149,11 +149,11 @@ bounds AS (
 )"""
 
 
-def token_pairs(spark, sf_dir):
+def token_pairs(spark, sf_dir, most=TWIN_HITS):
     w = works(spark, sf_dir)
     wanted = w.select("entry_id", text.tokens(F.col("norm")).alias("a"), "query_year", "main_author", "short_title")
     # the works of a search are its small side; Spark broadcasts them by their size
-    return hits(spark, sf_dir, w).join(wanted, "entry_id").withColumn("b", text.tokens(F.col("title_norm")))
+    return hits(spark, sf_dir, w, most).join(wanted, "entry_id").withColumn("b", text.tokens(F.col("title_norm")))
 
 
 @query("SELECT entry_id, source_id, shared, n_query, n_title FROM bounds", WORKS, SENTENCES, HITS, TOKEN_PAIRS)
@@ -175,17 +175,17 @@ def subset_match(spark, sf_dir):
 
 @query()
 def token_set_ratio(spark, sf_dir):
-    return with_title_score(token_pairs(spark, sf_dir), "short_title", "title", "score").select("entry_id", "source_id", "score")
+    return with_title_score(token_pairs(spark, sf_dir, most=None), "short_title", "title", "score").select("entry_id", "source_id", "score")
 
 
 @query()
 def simple_ratio(spark, sf_dir):
-    return with_title_score(token_pairs(spark, sf_dir), "short_title", "title", "score", "simple").select("entry_id", "source_id", "score")
+    return with_title_score(token_pairs(spark, sf_dir, most=None), "short_title", "title", "score", "simple").select("entry_id", "source_id", "score")
 
 
 @query()
 def best_creator_score(spark, sf_dir):
-    pairs = token_pairs(spark, sf_dir)
+    pairs = token_pairs(spark, sf_dir, most=None)
     return pairs.select("entry_id", "source_id", creator_score(F.col("main_author"), F.array("lang", "title")).alias("score"))
 
 
@@ -308,7 +308,7 @@ def search(spark: SparkSession, wanted: DataFrame, found: DataFrame, settings: S
 def search_work(spark, sf_dir):
     """The flagship: each wanted work with its status, its selected record and its candidates."""
     wanted = works(spark, sf_dir)
-    found = hits(spark, sf_dir, wanted).withColumn("creators", F.array("lang"))
+    found = hits(spark, sf_dir, wanted, most=None).withColumn("creators", F.array("lang"))
     out = search(spark, wanted, found, Selection(min_title_score=GATE, year_tolerance=15), providers(spark))
     return out.select("entry_id", "status", "n_candidates", "selected_provider", "selected_source_id", "selected_total", F.to_json("candidates").alias("candidates"))
 
@@ -316,7 +316,7 @@ def search_work(spark, sf_dir):
 @query("SELECT source AS provider_key, CAST(row_number() OVER (ORDER BY coalesce(priority, 9999), CAST(substr(source, 4) AS INTEGER)) - 1 AS INTEGER) AS priority FROM (SELECT DISTINCT source FROM documents) LEFT JOIN providers ON provider_key = source", PROVIDERS)
 def ordered_providers(spark, sf_dir):
     # providers are a dimension of a few dozen names
-    names = [r.source for r in table(spark, sf_dir, "documents").select("source").distinct().orderBy(F.substring("source", 4, 9).cast("int")).limit(10_000).collect()]
+    names = [r.source for r in table(spark, sf_dir, "documents").select("source").distinct().orderBy(F.substring("source", 4, 9).cast("int")).collect()]
     return spark.createDataFrame([(p, i) for i, p in enumerate(provider_order(names, HIERARCHY))], "provider_key string, priority int")
 
 

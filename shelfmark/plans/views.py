@@ -2,8 +2,9 @@
 
 ``ledger`` is a works table over orders, ``outcomes`` are status events over events,
 ``works`` are wanted titles from benchmark texts, and ``hits`` are captured search hits:
-sentences of documents that share three words in a row with a wanted title, at most five
-for each work and provider.  The hits come from an equi-join on the three words, so their
+sentences of documents that share three words in a row with a wanted title, numbered by
+``hit_ix`` for each work and provider.  The SQL twin keeps five of each, and so do the
+queries it is held against; the others take all.  The hits come from an equi-join on the three words, so their
 number follows the input.
 """
 
@@ -162,7 +163,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def hits(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None) -> DataFrame:
+#: Hits of each work and provider in the SQL twin.
+TWIN_HITS = 5
+
+
+def hits(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None, most: int | None = TWIN_HITS) -> DataFrame:
+    """The hits of the wanted works: the ``most`` first of each work and provider, or all."""
     wanted = works(spark, sf_dir) if wanted is None else wanted
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", F.posexplode(F.split("text", "[.!?\n]+")).alias("pos", "title"))
     sentences = with_once(docs.withColumn("title", F.trim("title")).filter("title <> ''"), "norm", normalize_text(F.col("title"))).filter("norm <> ''")
@@ -170,7 +176,9 @@ def hits(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None) -> D
     offered = with_once(sentences, "words", F.split("norm", " ")).select("doc_id", "pos", "source", "lang", "title", "norm", F.explode(shingles(F.col("words"))).alias("run"))
     found = offered.join(asked, "run").groupBy("entry_id", "doc_id", "pos").agg(F.count(F.lit(1)).alias("shared"), *[F.first(c).alias(c) for c in ("source", "lang", "title", "norm")])
     w = Window.partitionBy("entry_id", "source").orderBy(F.col("shared").desc(), "doc_id", "pos")
-    kept = found.withColumn("hit_ix", (F.row_number().over(w) - 1).cast("int")).filter("hit_ix < 5")
+    kept = found.withColumn("hit_ix", (F.row_number().over(w) - 1).cast("int"))
+    if most is not None:
+        kept = kept.filter(F.col("hit_ix") < most)
     d = F.col("doc_id")
     year = (1600 + d % 400).cast("string")
     return kept.select(
