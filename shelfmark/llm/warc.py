@@ -10,7 +10,7 @@ block digests verified as the bytes pass.
 Equal payloads of at least ``min_bytes`` are recorded once: the record with the smallest
 page_id is the response, the others are revisits that name it.  Defined cases: a null html
 is an empty payload; a null url becomes ``urn:page:<page_id>``; rows that repeat the first
-page_id are all responses; a row without page_id can revisit but is never revisited; an
+page_id are all responses; a url of any length is written and read back whole; a row without page_id can revisit but is never revisited; an
 empty table gives no archive and no record; other columns are ignored.
 """
 
@@ -31,6 +31,8 @@ from .common import small_batches, stored, utf8, workspace
 
 MIN_BYTES = 100
 CHUNK = 1 << 16
+#: Longest header block that is read: three bytes for each of the 2^31 bytes that a url may have at most, and the other fields.
+HEADER_BYTES = 3 * (1 << 31) + CHUNK
 ARCHIVE_BYTES = 256 << 20
 #: Parts into which the pages of one payload are dealt.
 SALTS = 16
@@ -116,19 +118,20 @@ class _Members:
                 return out
         return b""
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
+    def until(self, mark: bytes, most: int = HEADER_BYTES) -> bytes:
         """Bytes up to and with ``mark``; what follows stays buffered."""
-        held = b""
-        while (at := held.find(mark)) < 0:
-            if len(held) > most:
+        held, seen = bytearray(), 0
+        while (at := held.find(mark, max(seen - len(mark) + 1, 0))) < 0:
+            seen = len(held)
+            if seen > most:
                 raise WarcError("a header is too long")
             more = self.piece()
             if not more:
                 raise WarcError("the record ends inside a header")
             held += more
         at += len(mark)
-        self.buffer = held[at:] + self.buffer
-        return held[:at]
+        self.buffer = bytes(held[at:]) + self.buffer
+        return bytes(held[:at])
 
     def exactly(self, n: int) -> Iterator[bytes]:
         while n:

@@ -59,3 +59,17 @@ def test_members_stand_alone_and_damage_is_found():
     for bad in (archive[:-9], warc.gzip_member(raws[0].replace(b"oneone", b"twoone")), warc.gzip_member(raws[0][:-30]), warc.gzip_member(b"junk\r\n\r\n"), b"junk"):
         with pytest.raises(warc.WarcError):
             list(warc.read_records(io.BytesIO(bad)))
+
+
+def test_urls_of_any_length_come_back(spark):
+    url = "http://a/" + "long" * (600 << 10)
+    rows = [(1, url, LONG), (2, url, LONG), (3, "http://b/", "x")]
+    folder_rows = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.url) for r in folder_rows) == [(p, u) for p, u, _ in rows]
+
+
+def test_a_header_without_end_is_refused():
+    members = warc._Members(io.BytesIO(gzip.compress(b"WARC/1.1\r\n" + b"x" * 300_000)))
+    assert members.next_member()
+    with pytest.raises(warc.WarcError, match="too long"):
+        members.until(b"\r\n\r\n", most=100_000)
