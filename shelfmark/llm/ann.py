@@ -8,8 +8,9 @@ distance and verifies true distances until the chi-square test holds: a point be
 frontier would be among the k nearest with probability below ``1 - confidence``.  The k
 best of each shard meet in one window of at most k rows a shard.
 
-The query set is dealt to every shard in blocks; no pair of rows is ever materialised
-beyond the k best.  Nothing is fitted, so there is no sample.
+Every shard gets the query set after its rows and reads it batch by batch, so a task holds
+the rows of a shard and one batch of queries; no pair of rows is ever materialised beyond
+the k best.  Nothing is fitted, so there is no sample.
 
 Defined cases: vectors that are null, empty, all zero or hold null or non-finite numbers
 take no part; only vectors of equal length are compared; rows that repeat an id with equal
@@ -19,11 +20,17 @@ than k candidates gets them all; ties go to the smaller id; other columns are ig
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 PROJECTIONS, CONFIDENCE, SEED = 16, 0.98, 20_240
 LEAF = 64
 #: Rows of a shard when the table is large, and when it is small but many cores wait.
@@ -114,6 +121,7 @@ def usable(vector: Column) -> Column:
 def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", confidence: float = CONFIDENCE, projections: int = PROJECTIONS, shards: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): about the k nearest rows of each query, its own row left out."""
     spark = rows.sparkSession
+    small_batches(spark)
 
     def clean(df: DataFrame) -> DataFrame:
         df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -123,26 +131,54 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_
     if shards is None:
         n, cores = rows.count(), spark.sparkContext.defaultParallelism
         shards = max(1, -(-n // LARGE_SHARD), min(4 * cores, -(-n // SMALL_SHARD)))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    asked = queries.groupBy("id").agg(F.min("vector").alias("vector")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def run(points: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for size, part in points.groupby(points["vector"].map(len)):
-            vectors = np.stack(part["vector"].to_numpy()).astype(np.float64)
-            ids = part["id"].to_numpy()
-            if len(np.unique(ids)) < len(ids):
-                once = {(i, v.tobytes()): at for at, (i, v) in enumerate(zip(ids.tolist(), vectors, strict=True))}
-                ids, vectors = ids[list(once.values())], vectors[list(once.values())]
-            shard = Shard(ids, vectors, projection(size, projections), confidence)
-            for q, v in zip(asking["id"], asking["vector"], strict=True):
-                if len(v) == size:
-                    # one more, as the query's own row may be found (more where its id repeats)
-                    own = int((ids == q).sum())
-                    found = [x for x in shard.nearest(np.asarray(v, np.float64), k + max(own, 1)) if x[1] != q][:k]
-                    out += [(q, i, d) for d, i in found]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    best = dealt.groupBy("shard").cogroup(asked.groupBy("shard")).applyInPandas(run, "query_id long, vec_id long, score double")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("asks", F.lit(False))
+    asked = queries.groupBy("id").agg(F.min("vector").alias("vector")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asks", F.lit(True))
+
+    def index(ids: np.ndarray, held: list[pa.Array]) -> dict[int, tuple[Shard, Counter]]:
+        """The tree of each length of vector, with the rows of each id."""
+        out = {}
+        sizes = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in held])
+        flat = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in held])
+        first = np.r_[0, np.cumsum(sizes)[:-1]]
+        for size in np.unique(sizes).tolist():
+            here = np.flatnonzero(sizes == size)
+            vectors, of = flat[first[here][:, None] + np.arange(size)], ids[here]
+            if len(np.unique(of)) < len(of):
+                once = list({(i, v.tobytes()): at for at, (i, v) in enumerate(zip(of.tolist(), vectors, strict=True))}.values())
+                of, vectors = of[once], vectors[once]
+            out[size] = (Shard(of, vectors, projection(size, projections), confidence), Counter(of.tolist()))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a shard's rows come first, then its queries, of which one batch is held at a time
+        now, ids, held, trees = None, [], [], None
+        for batch in batches:
+            keys = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:2]], axis=1)
+            cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)]
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if i == j:
+                    continue
+                (shard, asks), part = keys[i].tolist(), batch.slice(i, j - i)
+                if shard != now:
+                    now, ids, held, trees = shard, [], [], None
+                if not asks:
+                    ids.append(part.column(2).to_numpy())
+                    held.append(part.column(3))
+                    continue
+                if trees is None:
+                    trees = index(np.concatenate(ids), held) if held else {}
+                    ids, held = [], []
+                out = []
+                for q, v in zip(part.column(2).to_pylist(), part.column(3), strict=True):
+                    v = v.values.to_numpy(zero_copy_only=False)
+                    if len(v) in trees:
+                        tree, own = trees[len(v)]
+                        # one more, as the query's own row may be found (more where its id repeats)
+                        out += [(q, x, d) for d, x in [x for x in tree.nearest(v, k + max(own[q], 1)) if x[1] != q][:k]]
+                columns = list(zip(*out, strict=True)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.float64()], strict=True)], ["query_id", "vec_id", "score"])
+
+    met = dealt.unionByName(asked).select("shard", "asks", "id", "vector").repartition("shard").sortWithinPartitions("shard", "asks")
+    best = met.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

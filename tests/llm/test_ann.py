@@ -56,3 +56,18 @@ def test_clusters_keep_recall(spark):
 def test_quantile():
     draws = (np.random.default_rng(0).standard_normal((200_000, 16)) ** 2).sum(axis=1)
     assert abs((draws < ann.chi_square_quantile(0.98, 16)).mean() - 0.98) < 0.002
+
+
+def test_one_large_shard_keeps_recall_and_reads_queries_in_batches(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    plain = [(r.vec_id, r.embedding) for r in rows.collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        # groups held whole in pandas would not be streamed
+        monkeypatch.setattr("pyspark.sql.pandas.group_ops.PandasCogroupedOps.applyInPandas", None)
+        got = ann.search(rows, rows.filter("vec_id % 20 = 0"), shards=1).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    want = brute(plain, [x for x in plain if x[0] % 20 == 0])
+    assert len(got) == 10 * len(want)
+    assert sum(any(i == r.vec_id for _, i in want[r.query_id]) for r in got) / len(got) >= 0.95
