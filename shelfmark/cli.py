@@ -18,12 +18,12 @@ import sys
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from .config import Selection, load_config, min_title_score, override_providers
+from .config import Selection, load_config, min_title_score, split_names
 from .functions import ids
 from .functions.dates import extract_year
-from .functions.text import normalize_text, with_once
+from .functions.text import normalize_text, strip, with_once
 from .operators import ledger as lg
-from .operators.select import stated
+from .operators.select import provider_ranks, stated
 from .session import session
 from .sources.works import query_frame, read_works, year_column
 
@@ -82,14 +82,20 @@ def search(spark, args, config) -> int:
         works = chosen(spark, works, args).filter(~lg.blank(F.col("short_title")))
     works = with_once(works, "norm", normalize_text(F.col("short_title")))
     hits = spark.read.parquet(args.hits)
-    known = sorted(r.provider_key for r in hits.select("provider_key").distinct().limit(10_000).collect())
-    names, unknown = override_providers(known, known, args.providers, args.enable_provider, args.disable_provider)
-    for name in unknown:
-        print(f"unknown provider: {name}", file=sys.stderr)
+    only, asked, dropped = (split_names(x) for x in (args.providers, args.enable_provider, args.disable_provider))
+    named = only + asked + dropped
+    there = {r.provider_key for r in hits.filter(F.col("provider_key").isin(named)).select("provider_key").distinct().collect()} if named else set()
+    for name in named:
+        if name not in there:
+            print(f"unknown provider: {name}", file=sys.stderr)
+    if only:
+        hits = hits.filter(F.col("provider_key").isin(only + asked))
+    if dropped:
+        hits = hits.filter(~F.col("provider_key").isin(dropped))
     settings = Selection.of(config)
     settings.min_title_score = min_title_score(config, None, settings.min_title_score)
-    listed = spark.createDataFrame([(p, n) for n, p in enumerate(settings.provider_hierarchy or names)], "provider_key string, priority int")
-    found = run(spark, works, hits.filter(F.col("provider_key").isin(names)), settings, listed).cache()
+    listed = provider_ranks(hits.select("provider_key"), settings.provider_hierarchy, "provider_key")
+    found = run(spark, works, hits, settings, listed).cache()
     if args.json:
         for line in found.toJSON().toLocalIterator():
             print(line)
@@ -117,7 +123,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.verb == "search":
             return search(spark, args, config)
         if args.verb == "identify":
-            rows = spark.createDataFrame([(x,) for x in args.identifiers], "identifier string").select(F.trim("identifier").alias("identifier"))
+            rows = spark.createDataFrame([(x,) for x in args.identifiers], "identifier string").select(strip(F.col("identifier")).alias("identifier"))
             providers = F.array(F.lit(args.provider)) if args.provider else ids.providers_of_identifier(F.col("identifier"))
             found = ids.with_manifest_urls(rows.select("identifier", F.explode(providers).alias("provider")), "identifier", "provider").orderBy("identifier", "provider", "manifest_ord").collect()
             for r in found:

@@ -56,7 +56,7 @@ def load_config(path: str | os.PathLike | None, example: str | os.PathLike | Non
     raise FileNotFoundError(str(path))
 
 
-#: A settings key that another provider key may stand for.
+# A settings key that another provider key may stand for.
 ALIASES = {"bnf_gallica": "gallica"}
 
 
@@ -126,16 +126,18 @@ def provider_order(enabled: list[str], hierarchy: list[str]) -> list[str]:
     return first + [p for p in dict.fromkeys(enabled) if p not in first]
 
 
+def split_names(text: str | None) -> list[str]:
+    """The names of a comma-separated list, once each."""
+    return list(dict.fromkeys(x.strip() for x in (text or "").split(",") if x.strip()))
+
+
 def override_providers(enabled: list[str], known: list[str], only: str | None = None, enable: str | None = None, disable: str | None = None) -> tuple[list[str], list[str]]:
     """(providers, unknown names): an explicit list replaces, ``enable`` appends, ``disable`` removes."""
 
-    def items(text: str | None) -> list[str]:
-        return list(dict.fromkeys(x.strip() for x in (text or "").split(",") if x.strip()))
-
-    asked = items(only) + items(enable) + items(disable)
-    out = items(only) if items(only) else list(enabled)
-    out = list(dict.fromkeys([p for p in out + items(enable) if p in known]))
-    return [p for p in out if p not in items(disable)], [p for p in dict.fromkeys(asked) if p not in known]
+    asked = split_names(only) + split_names(enable) + split_names(disable)
+    out = split_names(only) or list(enabled)
+    out = list(dict.fromkeys([p for p in out + split_names(enable) if p in known]))
+    return [p for p in out if p not in split_names(disable)], [p for p in dict.fromkeys(asked) if p not in known]
 
 
 def resolve_settings(rows: DataFrame, settings: DataFrame, provider_col: str, names: list[str]) -> DataFrame:

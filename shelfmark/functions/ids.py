@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .text import strip
+
 # What a manifest URL looks like (case ignored).
 MANIFEST_PATTERNS = [
     r"manifest\.json$",
@@ -81,7 +83,7 @@ def first_group(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def is_manifest_url(url: Column) -> Column:
-    u = F.trim(url)
+    u = strip(url)
     return F.coalesce(u.rlike("^https?://") & u.rlike("(?i)" + "|".join(MANIFEST_PATTERNS)), F.lit(False))
 
 
@@ -130,7 +132,7 @@ def with_provider_of_host(df: DataFrame, url_col: str, id_col: str) -> DataFrame
 
 def providers_of_identifier(identifier: Column) -> Column:
     """Every provider whose pattern the identifier fits, in order, once each."""
-    s = F.trim(identifier)
+    s = strip(identifier)
     hits = F.array(*[F.when(s.rlike(p), F.lit(k)) for p, k in IDENTIFIER_PATTERNS])
     return F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 # Fragments of a content type and the extension each gives, in order.
 TYPE_EXTENSIONS = [
     ("application/pdf", ".pdf"), ("application/x-pdf", ".pdf"), ("application/epub+zip", ".epub"), ("image/jpeg", ".jpg"),
@@ -43,7 +45,7 @@ def content_length(header: Column) -> Column:
 def extension_of_type(content_type: Column) -> Column:
     """The extension of a Content-Type header; empty for generic and unknown types."""
     low = F.lower(F.coalesce(content_type, F.lit("")))
-    out = F.when(F.trim(F.substring_index(low, ";", 1)).isin(GENERIC_TYPES), "")
+    out = F.when(strip(F.substring_index(low, ";", 1)).isin(GENERIC_TYPES), "")
     for fragment, extension in TYPE_EXTENSIONS:
         out = out.when(F.contains(low, F.lit(fragment)), extension)
     return out.otherwise("")
@@ -103,11 +105,11 @@ def magic_problem(head: Column, extension: Column) -> Column:
 
 def disposition_filename(header: Column) -> Column:
     """The file name of a Content-Disposition header; an extended value is decoded."""
-    parts = F.transform(F.slice(F.split(header, ";"), 2, 1000), lambda p: F.trim(p))
+    parts = F.transform(F.slice(F.split(header, ";"), F.lit(2), F.size(F.split(header, ";"))), strip)
 
     def named(key: str) -> Column:
-        own = F.filter(parts, lambda p: F.lower(F.trim(F.substring_index(p, "=", 1))) == key)
-        value = F.get(F.transform(own, lambda p: F.trim(F.trim(F.regexp_replace(p, "^[^=]*=", "")), F.lit('"'))), F.size(own) - 1)
+        own = F.filter(parts, lambda p: F.lower(strip(F.substring_index(p, "=", 1))) == key)
+        value = F.get(F.transform(own, lambda p: F.trim(strip(F.regexp_replace(p, "^[^=]*=", "")), F.lit('"'))), F.size(own) - 1)
         return F.nullif(value, F.lit(""))
 
     found = F.coalesce(named("filename*"), named("filename"))

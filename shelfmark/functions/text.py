@@ -16,9 +16,16 @@ LETTERS = {"ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d",
 RESERVED = ["con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10))]
 #: Folded natively: all below U+3000, Latin and other extensions, ligatures, and width forms.
 COVERED = ((0x80, 0x3000), (0xA640, 0xAC00), (0xF900, 0xFB50), (0xFE20, 0xFFF0))
+#: All blanks and line ends of Unicode, as a text's ends may hold them.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ILLEGAL = r'[<>:"/\\|?*\x00-\x1f]'
 
 
+def strip(text: Column) -> Column:
+    """The text without blanks and line ends at its ends."""
+    return F.trim(text, F.lit(BLANKS))
+
+
 @functools.cache
 def _folding() -> tuple[str, str, dict[str, str]]:
     """Characters of ``COVERED`` whose decomposition is one letter plus marks, those letters, and the longer ones.
@@ -151,7 +158,7 @@ def work_directory(entry_id: Column, title: Column, creator: Column | None = Non
 
 def split_creators(text: Column) -> Column:
     """Creators of a ``;``-separated text, never split at commas; null gives an empty list."""
-    parts = F.transform(F.split(text, ";"), lambda c: F.trim(c))
+    parts = F.transform(F.split(text, ";"), strip)
     return F.coalesce(F.filter(parts, lambda c: c != ""), F.array().cast("array<string>"))
 
 
@@ -168,7 +175,7 @@ def distinct_by_normal_form(values: Column) -> Column:
 
 def split_creator_cell(text: Column) -> Column:
     """Creators of a listing cell, split at ``, ; / |`` and deduplicated by normal form."""
-    parts = F.filter(F.transform(F.split(text, "[,;/|]+"), lambda c: F.trim(c)), lambda c: c != "")
+    parts = F.filter(F.transform(F.split(text, "[,;/|]+"), strip), lambda c: c != "")
     return distinct_by_normal_form(F.coalesce(parts, F.array().cast("array<string>")))
 
 
@@ -219,7 +226,7 @@ def title_candidates(texts: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Items of a comma-separated text, trimmed, without repeats."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, ","), lambda c: F.trim(c)), lambda c: c != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, ","), strip), lambda c: c != ""))
 
 
 def escape_cql(text: Column) -> Column:

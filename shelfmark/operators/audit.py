@@ -51,13 +51,14 @@ def index_rows(works: DataFrame, selected: DataFrame, key: str, now: Column, sta
 
 
 def changed_status(documents: DataFrame, status: Column, now: Column, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Documents with a new status, time of change, and further top-level cells."""
-    parsed = F.from_json("document", "map<string,string>")
-    cells = [F.lit("status"), status, F.lit("updated_at"), iso(now)]
-    for name, value in (extra or {}).items():
-        cells += [F.lit(name), value.cast("string")]
-    old = F.map_filter(parsed, lambda k, v: ~k.isin("status", "updated_at", *(extra or {})))
-    return documents.withColumn("document", F.to_json(F.map_concat(old, F.create_map(*cells))))
+    """Documents with a new status, time of change, and further top-level cells; all other cells keep their values and kinds.
+
+    What is no JSON object stays as it is.
+    """
+    new = {"status": status, "updated_at": iso(now)} | (extra or {})
+    old = F.map_filter(F.try_variant_get(F.try_parse_json("document"), "$", "map<string,variant>"), lambda k, v: ~k.isin(*new))
+    cells = [x for name, value in new.items() for x in (F.lit(name), F.variant_get(F.parse_json(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})), "$.v", "variant"))]
+    return documents.withColumn("document", F.coalesce(F.to_json(F.map_concat(old, F.create_map(*cells)), {"ignoreNullFields": "false"}), F.col("document")))
 
 
 def rendering_provenance(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import NATIVE_PROVIDERS
 from .iiif import first_pages, image_url_ladder, page_sources, renderings
 
-#: Image URLs tried before a service's info.json is read, renderings tried for one manifest.
+# Image URLs tried before a service's info.json is read, renderings tried for one manifest.
 SPECULATIVE, RENDERING_TRIES = 3, 10
 PLAN = ["work", "stage", "ord", "attempt", "url", "name"]
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import is_manifest_url
+from ..functions.text import strip
 
 COMPLETED, FAILED, DEFERRED, PENDING = "completed", "failed", "deferred", "pending"
 # Spellings of a yes and of a no.
@@ -14,19 +15,20 @@ YES, NO = ["true", "1", "yes", "y", "wahr"], ["false", "0", "no", "n", "falsch"]
 
 def parse_status(cell: Column) -> Column:
     """The status that a cell's text stands for; what is not understood is pending."""
-    s = F.lower(F.trim(cell.cast("string")))
-    n = s.try_cast("double")
+    s = F.lower(strip(cell.cast("string")))
+    # a cast to double would take a type letter at the end
+    n = F.when(~s.rlike("[df]$"), s.try_cast("double"))
     return F.when(s.isin(YES), COMPLETED).when(s.isin(NO), FAILED).when(s == DEFERRED, DEFERRED).when(n == 1, COMPLETED).when(n == 0, FAILED).otherwise(PENDING)
 
 
 def blank(text: Column) -> Column:
-    return F.trim(F.coalesce(text.cast("string"), F.lit(""))) == ""
+    return strip(F.coalesce(text.cast("string"), F.lit(""))) == ""
 
 
 def direct_link(configured: Column, standard: Column, general: Column | None = None) -> Column:
     """The first of the columns that holds a manifest URL, trimmed."""
     columns = [configured, standard] + ([general] if general is not None else [])
-    return F.coalesce(*[F.when(is_manifest_url(c), F.trim(c)) for c in columns])
+    return F.coalesce(*[F.when(is_manifest_url(c), strip(c)) for c in columns])
 
 
 def parsed_works(works: DataFrame, link: Column | None = None) -> DataFrame:

@@ -49,6 +49,25 @@ def with_priority(candidates: DataFrame, providers: DataFrame) -> DataFrame:
     return candidates.join(dim, F.col("provider_key") == F.col("_p"), "left").drop("_p").withColumn("priority", F.coalesce("priority", F.lit(UNLISTED)))
 
 
+def provider_ranks(names: DataFrame, hierarchy: list[str], order: str) -> DataFrame:
+    """(provider_key, priority): each provider once, those of the hierarchy first and in its order, the others by ``order``.
+
+    The window sorts one short row for each distinct name.
+    """
+    listed = {p: i for i, p in enumerate(dict.fromkeys(hierarchy))}
+    place = F.lit(UNLISTED)
+    for p, i in listed.items():
+        place = F.when(F.col("provider_key") == p, i).otherwise(place)
+    once = names.groupBy("provider_key").agg(F.min(order).alias("_o")).filter("provider_key is not null")
+    w = Window.orderBy(place, "_o", "provider_key")
+    return once.select("provider_key", (F.row_number().over(w) - 1).alias("priority"))
+
+
+def known_only(selected: DataFrame, providers: DataFrame) -> DataFrame:
+    """Selected records of a known provider; a work whose best candidate is of another has no selection."""
+    return selected.join(providers.select("provider_key"), "provider_key", "left_semi")
+
+
 def cap_hits(candidates: DataFrame, work: str, most: int | str) -> DataFrame:
     """The first hits of each work and provider; ``most`` is a number or a column of the row's own limit."""
     w = Window.partitionBy(work, "provider_key").orderBy("hit_ix")
@@ -100,20 +119,22 @@ def first_success(attempts: DataFrame, work: str, ok: str) -> DataFrame:
 
 def display_top(candidates: DataFrame, work: str, most: int = 10) -> DataFrame:
     """The candidates shown to a reader: best title score first, arrival on ties, and the number left out."""
-    w = Window.partitionBy(work)
-    place = F.row_number().over(w.orderBy(F.col("title_score").desc(), *ARRIVAL))
-    more = F.greatest(F.lit(0), F.count(F.lit(1)).over(w) - most)
-    return candidates.withColumn("place", place).withColumn("more", more).filter(F.col("place") <= most)
+    place = F.row_number().over(Window.partitionBy(work).orderBy(F.col("title_score").desc(), *ARRIVAL))
+    # counted apart, so that the rank limit can cut rows before the sort
+    counts = candidates.groupBy(F.col(work).alias("_w")).agg(F.greatest(F.lit(0), F.count(F.lit(1)) - most).alias("more"))
+    shown = candidates.withColumn("place", place).filter(F.col("place") <= most)
+    return shown.join(counts, F.col(work) == F.col("_w")).drop("_w")
 
 
-def best_titles(titles: DataFrame, key: str, query: str, title: str, order: str) -> DataFrame:
+def best_titles(titles: DataFrame, key: str, query: str, title: str, order: str | list[str]) -> DataFrame:
     """(key, title, token_score, simple_score): of each record's titles the one that fits best by either score.
 
-    The first of equals counts; titles that score nothing are never chosen.
+    The first of equals by the columns of ``order`` counts, then the smaller title; titles that score nothing are never chosen.
     """
+    order = [order] if isinstance(order, str) else order
     scored = with_title_score(with_title_score(titles, query, title, "_token"), query, title, "_simple", "simple")
     scored = scored.withColumn("_both", F.greatest("_token", "_simple")).filter("_both > 0")
-    best = F.max_by(F.struct(F.col(title).alias("title"), F.col("_token").alias("token_score"), F.col("_simple").alias("simple_score")), F.struct("_both", -F.col(order)))
+    best = F.min_by(F.struct(F.col(title).alias("title"), F.col("_token").alias("token_score"), F.col("_simple").alias("simple_score")), F.struct(-F.col("_both"), *order, title))
     return scored.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
 
 

@@ -16,27 +16,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def fold_sorted(events: DataFrame, key: str, order: list[str], start: Callable[[object], object], step: Callable[[object, dict], tuple[object, dict]], out: str) -> DataFrame:
-    """One output row for each event: ``step(state, event)`` gives the next state and the row's new columns.
+def fold_sorted(events: DataFrame, key: str, order: list[str], reads: list[str], start: Callable[[], object], step: Callable[..., tuple], out: str) -> DataFrame:
+    """One output row for each event: ``step(state, *cells)`` gives the next state and the row's new columns.
 
-    ``out`` is the DDL of the new columns, which follow the event's own.
+    ``reads`` names the cells, ``out`` is the DDL of the new columns, which follow the
+    event's own.  Events without a key are one key's events.
     """
     names = [p.strip().split(" ")[0] for p in out.split(",")]
+    kinds = events.schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for frame in frames:
             rows = []
-            for event in frame.to_dict("records"):
-                if state is None or event[key] != current:
-                    current, state = event[key], start(event[key])
-                state, new = step(state, event)
-                rows.append([new[n] for n in names])
+            for now, *cells in zip(frame.pop("_fold_key").tolist(), *[frame[c].tolist() for c in reads], strict=True):
+                if now != current:
+                    current, state = now, start()
+                state, *new = step(state, *cells)
+                rows.append(new)
             extra = pd.DataFrame(rows, columns=names, index=frame.index)
             yield pd.concat([frame, extra], axis=1)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-    return events.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{schema}, {out}")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields)
+    # as text, a null key is equal to itself in Python too
+    keyed = events.withColumn("_fold_key", F.to_json(F.struct(key)))
+    return keyed.repartition("_fold_key").sortWithinPartitions("_fold_key", *order).mapInPandas(run, f"{schema}, {out}")
 
 
 @dataclass
@@ -46,7 +50,7 @@ class Breaker:
     threshold: int = 3
     cooldown: float = 300.0
 
-    def start(self, _key=None) -> tuple[str, int, float]:
+    def start(self) -> tuple[str, int, float]:
         return ("closed", 0, 0.0)
 
     def step(self, state, ok: bool, t: float) -> tuple[tuple[str, int, float], bool]:
@@ -68,11 +72,11 @@ def breaker(events: DataFrame, key: str, time: str, tie: str, ok: str, threshold
     """Adds ``admitted``, ``state`` and ``failures`` after each request (``time`` in seconds)."""
     machine = Breaker(threshold, cooldown)
 
-    def step(state, e):
-        state, admitted = machine.step(state, bool(e[ok]), float(e[time]))
-        return state, {"admitted": admitted, "state": state[0], "failures": state[1]}
+    def step(state, fine, t):
+        state, admitted = machine.step(state, bool(fine), float(t))
+        return state, admitted, state[0], state[1]
 
-    return fold_sorted(events, key, [time, tie], machine.start, step, "admitted boolean, state string, failures int")
+    return fold_sorted(events, key, [time, tie], [ok, time], machine.start, step, "admitted boolean, state string, failures int")
 
 
 def limiter(events: DataFrame, key: str, time: str, tie: str, interval: float) -> DataFrame:
@@ -95,7 +99,7 @@ class Quota:
     limit: int
     seconds: float
 
-    def start(self, _key=None) -> tuple[float | None, int]:
+    def start(self) -> tuple[float | None, int]:
         return (None, 0)
 
     def step(self, state, t: float) -> tuple[tuple[float | None, int], bool]:
@@ -111,44 +115,83 @@ def quota(events: DataFrame, key: str, time: str, tie: str, limit: int, hours: f
     """Adds ``allowed``, ``used`` and ``period_start`` to download requests in time order."""
     machine = Quota(limit, hours * 3600)
 
-    def step(state, e):
-        state, allowed = machine.step(state, float(e[time]))
-        return state, {"allowed": allowed, "used": state[1], "period_start": state[0]}
+    def step(state, t):
+        state, allowed = machine.step(state, float(t))
+        return state, allowed, state[1], state[0]
 
-    return fold_sorted(events, key, [time, tie], machine.start, step, "allowed boolean, used int, period_start double")
+    return fold_sorted(events, key, [time, tie], [time], machine.start, step, "allowed boolean, used int, period_start double")
 
 
 def budget(items: DataFrame, work: str, kind: str, size: str, order: str, per_work: dict[str, int | None], total: dict[str, int | None] | None = None, stop: bool = False) -> DataFrame:
     """Adds ``admitted``: greedy admission in ``order``, where what is refused uses nothing up.
 
-    Limits are bytes by kind, null for none.  Per-work limits alone are a fold of each work.
-    A limit on a kind's total binds all works in one order, so kinds whose items could
-    exceed it are folded kind by kind; the others need only their works.  With ``stop`` the
-    first refusal by a total refuses every later item of the kind.
+    Limits are bytes by kind, null for none; ``order`` is unique.  Items of no size use
+    nothing and are admitted.  Per-work limits alone are a fold of each work.  Where a
+    refusal by a total only skips the item, kinds whose items could exceed it are folded
+    kind by kind, with one number kept for each work of the kind.  With ``stop`` the first
+    refusal by a total ends the run: every later item of any kind is refused.  Until then
+    the works decide alone, so running sums of what they admit find that item.
     """
     total = {k: v for k, v in (total or {}).items() if v is not None}
+
+    def by_work(state, what, n):
+        used, limit, n = state.get(what, 0), per_work.get(what), int(n)
+        ok = n <= 0 or limit is None or used + n <= limit
+        return state | {what: used + max(n, 0)} if ok else state, ok
+
+    def works(rows: DataFrame) -> DataFrame:
+        return fold_sorted(rows, work, [order], [kind, size], dict, by_work, "admitted boolean")
+
+    if stop and total:
+        limit = F.create_map(*[F.lit(x) for k, v in total.items() for x in (k, v)])[F.col(kind)]
+        alone = works(items)
+        before = running_sum(alone, [kind], order, F.when(F.col("admitted"), F.greatest(F.col(size), F.lit(0))).otherwise(0), "_before")
+        trip = before.filter((F.col(size) > 0) & (F.col("_before") + F.col(size) > limit)).agg(F.min(order).alias("_trip")).first()["_trip"]
+        return alone if trip is None else alone.withColumn("admitted", F.col("admitted") & ((F.col(order) < F.lit(trip)) | (F.col(size) <= 0)))
     sums = {r[kind]: r["s"] for r in items.filter(F.col(kind).isin(list(total))).groupBy(kind).agg(F.sum(size).alias("s")).collect()} if total else {}
     tight = [k for k, v in total.items() if (sums.get(k) or 0) > v]
 
-    def by_work(state, e):
-        used, limit, n = state.get(e[kind], 0), per_work.get(e[kind]), int(e[size])
-        ok = limit is None or used + n <= limit
-        return (state | {e[kind]: used + n} if ok else state), {"admitted": ok}
-
-    def by_kind(state, e):
-        works, used, tripped = state
-        n, limit, most = int(e[size]), per_work.get(e[kind]), total[e[kind]]
-        mine = works.get(e[work], 0)
-        fits_total = used + n <= most and not tripped
-        ok = fits_total and (limit is None or mine + n <= limit)
-        if ok:
-            works[e[work]] = mine + n
-        return (works, used + n * ok, tripped or (stop and not fits_total)), {"admitted": ok}
+    def by_kind(state, where, what, n):
+        held, used = state
+        n, limit, most = int(n), per_work.get(what), total[what]
+        mine = held.get(where, 0)
+        ok = n <= 0 or (used + n <= most and (limit is None or mine + n <= limit))
+        if ok and n > 0:
+            held[where] = mine + n
+            used += n
+        return (held, used), ok
 
-    loose = fold_sorted(items.filter(~F.col(kind).isin(tight)) if tight else items, work, [order], lambda _: {}, by_work, "admitted boolean")
     if not tight:
-        return loose
-    return loose.unionByName(fold_sorted(items.filter(F.col(kind).isin(tight)), kind, [order], lambda _: ({}, 0, False), by_kind, "admitted boolean"))
+        return works(items)
+    loose = works(items.filter(~F.coalesce(F.col(kind).isin(tight), F.lit(False))))
+    return loose.unionByName(fold_sorted(items.filter(F.col(kind).isin(tight)), kind, [order], [work, kind, size], lambda: ({}, 0), by_kind, "admitted boolean"))
+
+
+#: Ranges of the order that a long running sum is cut into.
+RANGES = 128
+
+
+def ranges(rows: DataFrame, order: str, parts: int = RANGES) -> Column:
+    """The number of the order's range that a row lies in; the bounds are approximate quantiles, a few numbers."""
+    cuts = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000).alias("q")).first()["q"] or []
+    cuts = sorted(set(cuts))
+    return F.when(F.col(order).isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order)))) if cuts else F.lit(0)
+
+
+def running_sum(rows: DataFrame, keys: list[str], order: str, value: Column, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the key's rows before this one; ``order`` is unique.
+
+    The order is cut into ranges that are summed apart, so a key's rows never meet in one task.
+    """
+    cut = rows.withColumns({"_range": ranges(rows, order), "_value": value})
+    parts = cut.groupBy(*keys, "_range").agg(F.sum("_value").alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    here = F.coalesce(F.sum("_value").over(Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut.withColumn("_here", here).join(parts, same).withColumn(out, F.col("_earlier") + F.col("_here")).select(*rows.columns, out)
 
 
 def islands(events: DataFrame, key: str, order: list[str], bad: Column) -> DataFrame:

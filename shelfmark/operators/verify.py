@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.payload import magic_problem
+from ..functions.text import strip
 
 #: Statuses whose files are expected to be there.
 EXPECTED = ["completed", "partial"]
@@ -47,17 +48,27 @@ def stored_files(folders: DataFrame, head: int = 512) -> DataFrame:
     return folders.select("work_dir").mapInArrow(run, "work_dir string, name string, length long, head binary")
 
 
-def normal_path(path: Column) -> Column:
-    """A path in one spelling, so that index and folder rows meet."""
-    return F.lower(F.rtrim(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/+", "/"), F.lit("/")))
+def normal_path(path: Column, windows: bool = False) -> Column:
+    """A path in one spelling, so that index and folder rows meet; case and backslashes fold on Windows alone."""
+    if windows:
+        path = F.lower(F.translate(path, "\\", "/"))
+    scheme = F.regexp_extract(path, "^[A-Za-z][A-Za-z0-9+.-]*://", 0)
+    rest = F.regexp_replace(F.substr(path, F.length(scheme) + 1), "/(?:\\./|/)*", "/")
+    return F.concat(scheme, F.when(rest == "/", rest).otherwise(F.rtrim(rest, F.lit("/"))))
 
 
-def works_to_verify(index: DataFrame, folders: DataFrame) -> DataFrame:
-    """(path, status, origin): index rows of expected statuses, and folders that the index does not name."""
-    listed = index.select(normal_path(F.col("work_dir")).alias("path"), F.lower(F.trim("status")).alias("status"))
-    found = folders.select(normal_path(F.col("work_dir")).alias("path"), F.lower(F.trim("status")).alias("found_status"))
-    both = listed.groupBy("path").agg(F.max("status").alias("status")).join(found.groupBy("path").agg(F.max("found_status").alias("found_status")), "path", "full_outer")
-    out = both.select("path", F.coalesce("status", "found_status").alias("status"), F.when(F.col("status").isNotNull(), "index").otherwise("folder").alias("origin"))
+def works_to_verify(index: DataFrame, folders: DataFrame, windows: bool = False) -> DataFrame:
+    """(path, status, origin): index rows of expected statuses, and folders that the index does not name.
+
+    ``path`` is as the index, or else the folder, spells it; of several spellings the first in order.
+    """
+
+    def side(rows: DataFrame, path: str, status: str) -> DataFrame:
+        keyed = rows.select(normal_path(F.col("work_dir"), windows).alias("_key"), F.col("work_dir").alias("p"), F.lower(strip(F.col("status"))).alias("s"))
+        return keyed.groupBy("_key").agg(F.min("p").alias(path), F.max("s").alias(status))
+
+    both = side(index, "path", "status").join(side(folders, "found", "found_status"), "_key", "full_outer")
+    out = both.select(F.coalesce("path", "found").alias("path"), F.coalesce("status", "found_status").alias("status"), F.when(F.col("status").isNotNull(), "index").otherwise("folder").alias("origin"))
     return out.filter(F.col("status").isin(EXPECTED))
 
 

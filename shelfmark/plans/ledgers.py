@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..operators import audit as audit_ops
 from ..operators import ledger as lg
 from ..operators import queue as dq
 from ..operators import verify as vf
 from .registry import query
-from .views import LEDGER, OUTCOMES, STATUS_SQL, ledger, outcomes, table
+from .views import BLANK, LEDGER, OUTCOMES, STATUS_SQL, ledger, outcomes, table
 
-MANIFEST = "(regexp_matches(trim({0}, ' '), '^https?://') AND regexp_matches(trim({0}, ' '), '(?i)/manifest$|/iiif/presentation/|api\\.digitale-sammlungen\\.de/iiif/presentation'))"
-DIRECT = f"CASE WHEN {MANIFEST.format('direct_link')} THEN trim(direct_link, ' ') WHEN {MANIFEST.format('link')} THEN trim(link, ' ') END"
+MANIFEST = f"(regexp_matches(trim({{0}}, {BLANK}), '^https?://') AND regexp_matches(trim({{0}}, {BLANK}), '(?i)/manifest$|/iiif/presentation/|api\\.digitale-sammlungen\\.de/iiif/presentation'))"
+DIRECT = f"CASE WHEN {MANIFEST.format('direct_link')} THEN trim(direct_link, {BLANK}) WHEN {MANIFEST.format('link')} THEN trim(link, {BLANK}) END"
 S = f"statused AS (SELECT *, {STATUS_SQL} AS status FROM ledger)"
 
 
-@query(f"SELECT entry_id, direct FROM (SELECT *, {DIRECT} AS direct FROM ledger) WHERE trim(entry_id) <> '' AND (trim(short_title) <> '' OR direct IS NOT NULL)", LEDGER)
+@query(f"SELECT entry_id, direct FROM (SELECT *, {DIRECT} AS direct FROM ledger) WHERE trim(entry_id) <> '' AND (trim(short_title, {BLANK}) <> '' OR direct IS NOT NULL)", LEDGER)
 def works_validate(spark, sf_dir):
     return lg.parsed_works(ledger(spark, sf_dir)).select("entry_id", "direct")
 
@@ -46,7 +47,7 @@ def pending_failed(spark, sf_dir):
     return lg.pending(ledger(spark, sf_dir), "failed").select("entry_id")
 
 
-@query("SELECT entry_id FROM (SELECT * FROM ledger WHERE entry_id IN (SELECT entry_id FROM outcomes) ORDER BY _row_ix LIMIT 500) WHERE trim(short_title) <> ''", LEDGER, OUTCOMES)
+@query(f"SELECT entry_id FROM (SELECT * FROM ledger WHERE entry_id IN (SELECT entry_id FROM outcomes) ORDER BY _row_ix LIMIT 500) WHERE trim(short_title, {BLANK}) <> ''", LEDGER, OUTCOMES)
 def entry_id_semi(spark, sf_dir):
     """The limit counts rows with blank titles, which go only after it."""
     rows = lg.first_rows(lg.only_entries(ledger(spark, sf_dir), outcomes(spark, sf_dir)), 500)
@@ -255,13 +256,13 @@ def retry_after(spark, sf_dir):
 
 @query(
     """SELECT coalesce(i.path, f.path) AS path, coalesce(i.status, f.status) AS status, CASE WHEN i.status IS NOT NULL THEN 'index' ELSE 'folder' END AS origin
-    FROM (SELECT '/w/' || o_custkey AS path, max(CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'partial' ELSE 'failed' END) AS status FROM orders GROUP BY 1) i
+    FROM (SELECT CASE WHEN o_custkey % 4 = 0 THEN '/W/' ELSE '/w/' END || o_custkey AS path, max(CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'partial' ELSE 'failed' END) AS status FROM orders GROUP BY 1) i
     FULL JOIN (SELECT '/w/' || (user_id * 13) AS path, max(CASE WHEN event_id % 2 = 0 THEN 'completed' ELSE 'deferred' END) AS status FROM events GROUP BY 1) f USING (path)
     WHERE coalesce(i.status, f.status) IN ('completed', 'partial')"""
 )
 def verify_union(spark, sf_dir):
     s = F.col("o_orderstatus")
-    index = table(spark, sf_dir, "orders").select(F.concat(F.lit("\\W//"), F.col("o_custkey"), F.lit("/")).alias("work_dir"), F.when(s == "F", " Completed").when(s == "O", "partial").otherwise("failed").alias("status"))
+    index = table(spark, sf_dir, "orders").select(F.concat(F.when(F.col("o_custkey") % 4 == 0, "/W/").otherwise("/w/"), F.col("o_custkey")).alias("work_dir"), F.when(s == "F", "\tCompleted\n").when(s == "O", "partial").otherwise("failed").alias("status"))
     folders = table(spark, sf_dir, "events").select(F.concat(F.lit("/w/"), F.col("user_id") * 13).alias("work_dir"), F.when(F.col("event_id") % 2 == 0, "completed").otherwise("deferred").alias("status"))
     return vf.works_to_verify(index, folders)
 
@@ -288,3 +289,28 @@ def verify_works(spark, sf_dir):
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE reason IS NULL) AS ok, count(*) FILTER (WHERE reason IS NOT NULL) AS partial FROM checked", FILES)
 def verify_totals(spark, sf_dir):
     return vf.verdict_totals(checked(spark, sf_dir))
+
+
+@query(
+    """SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'partial' ELSE 'completed' END AS status, CAST(o_orderkey AS VARCHAR) AS entry_id, 'a"' || o_clerk AS title, '2024-01-15T12:00:00Z' AS updated_at, CAST(o_custkey AS BIGINT) AS pages,
+      2 AS n_candidates, 1.5::DOUBLE AS first_score, CASE WHEN o_orderkey % 2 = 0 THEN TRUE END AS kept, '[1,2]' AS files, FALSE AS unfinished
+    FROM (SELECT *, CAST(o_orderpriority AS VARCHAR) AS o_clerk FROM orders)"""
+)
+def document_status(spark, sf_dir):
+    """Work documents after a change of status: nested cells keep their values and kinds."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    candidates = F.array(F.struct(F.lit("x").alias("provider"), F.struct(F.lit(1.5).alias("total")).alias("scores")), F.struct(F.lit("y").alias("provider"), F.struct(F.lit(2.5).alias("total")).alias("scores")))
+    given = F.struct(k.cast("string").alias("entry_id"), F.concat(F.lit('a"'), "o_orderpriority").alias("title"))
+    old = F.to_json(F.struct(given.alias("input"), F.lit("pending").alias("status"), F.lit("2023").alias("updated_at"), F.col("o_custkey").alias("pages"), candidates.alias("candidates"), F.when(k % 2 == 0, True).alias("kept")))
+    docs = o.select(k.alias("k"), old.alias("document"))
+    status = F.when(F.col("k") % 5 == 0, "partial").otherwise("completed")
+    new = audit_ops.changed_status(docs, status, now(), {"files": F.array(F.lit(1), F.lit(2))})
+    v = F.parse_json("document")
+    at = lambda path, kind: F.try_variant_get(v, path, kind)
+    left = audit_ops.unfinished(new).select(F.col("k").alias("_k"))
+    out = new.join(left, F.col("k") == F.col("_k"), "left")
+    return out.select(
+        "k", at("$.status", "string").alias("status"), at("$.input.entry_id", "string").alias("entry_id"), at("$.input.title", "string").alias("title"), at("$.updated_at", "string").alias("updated_at"), at("$.pages", "bigint").alias("pages"),
+        F.size(at("$.candidates", "array<variant>")).alias("n_candidates"), at("$.candidates[0].scores.total", "double").alias("first_score"), at("$.kept", "boolean").alias("kept"), F.get_json_object("document", "$.files").alias("files"), F.col("_k").isNotNull().alias("unfinished"),
+    )

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Selection, provider_order, resolve_settings, resolved_threshold
+from ..config import Selection, resolve_settings, resolved_threshold
 from ..functions import dates, text
 from ..functions.similarity import creator_score, with_title_score, with_token_bounds
 from ..operators import select as sel
 from .registry import query
-from .views import HIERARCHY, HITS, PROVIDERS, SENTENCES, TWIN_HITS, WORKS, hits, norm_sql, providers, table, tokens_sql, works
+from .views import BLANK, HIERARCHY, HITS, PROVIDERS, SENTENCES, TWIN_HITS, WORKS, hits, norm_sql, providers, table, tokens_sql, works
 
 TITLES = f"titles AS (SELECT doc_id, trim(regexp_extract(text, '^[^.!?\n]*', 0), ' ') AS title, lang, source, text FROM documents)"
 NORM = norm_sql("title")
@@ -85,7 +85,7 @@ def people(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("."), F.lit(";")).alias("cell"), F.replace(title, F.lit(" "), F.lit(", ")).alias("listing"))
 
 
-@query("SELECT doc_id, len(c) AS n, array_to_string(c, '|') AS creators FROM (SELECT doc_id, list_filter(list_transform(string_split(cell, ';'), lambda x: trim(x, ' ')), lambda x: x <> '') AS c FROM people)", CREATORS)
+@query(f"SELECT doc_id, len(c) AS n, array_to_string(c, '|') AS creators FROM (SELECT doc_id, list_filter(list_transform(string_split(cell, ';'), lambda x: trim(x, {BLANK})), lambda x: x <> '') AS c FROM people)", CREATORS)
 def creator_split(spark, sf_dir):
     c = text.split_creators(F.col("cell"))
     return people(spark, sf_dir).select("doc_id", F.size(c).cast("long").alias("n"), F.array_join(c, "|").alias("creators"))
@@ -94,7 +94,7 @@ def creator_split(spark, sf_dir):
 @query(
     f"""SELECT doc_id, coalesce(string_agg(v, '|' ORDER BY i), '') AS creators FROM people p LEFT JOIN (
       SELECT doc_id AS d, v, i, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS n FROM (
-        SELECT doc_id, trim(v, ' ') AS v, i, {norm_sql("v")} AS k FROM (
+        SELECT doc_id, trim(v, {BLANK}) AS v, i, {norm_sql("v")} AS k FROM (
           SELECT doc_id, unnest(a) AS v, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split_regex(listing, '[,;/|]+') AS a FROM people)))
       WHERE v <> '' AND k <> '') x ON d = doc_id AND n = 1 GROUP BY doc_id""",
     CREATORS,
@@ -126,7 +126,7 @@ def clean_titles(spark, sf_dir):
 def best_titles(spark, sf_dir):
     """Of the sentences found for each work and document source, the one that fits the wanted title best."""
     pairs = token_pairs(spark, sf_dir, most=None)
-    return sel.best_titles(pairs, "entry_id", "short_title", "title", "provider_ix")
+    return sel.best_titles(pairs, "entry_id", "short_title", "title", ["provider_ix", "hit_ix", "source_id"])
 
 
 TOKEN_PAIRS = f"""
@@ -315,9 +315,8 @@ def search_work(spark, sf_dir):
 
 @query("SELECT source AS provider_key, CAST(row_number() OVER (ORDER BY coalesce(priority, 9999), CAST(substr(source, 4) AS INTEGER)) - 1 AS INTEGER) AS priority FROM (SELECT DISTINCT source FROM documents) LEFT JOIN providers ON provider_key = source", PROVIDERS)
 def ordered_providers(spark, sf_dir):
-    # providers are a dimension of a few dozen names
-    names = [r.source for r in table(spark, sf_dir, "documents").select("source").distinct().orderBy(F.substring("source", 4, 9).cast("int")).collect()]
-    return spark.createDataFrame([(p, i) for i, p in enumerate(provider_order(names, HIERARCHY))], "provider_key string, priority int")
+    names = table(spark, sf_dir, "documents").select(F.col("source").alias("provider_key"), F.substring("source", 4, 9).cast("int").alias("ix"))
+    return sel.provider_ranks(names, HIERARCHY, "ix")
 
 
 SETTINGS = "settings AS (SELECT * FROM (VALUES ('gallica', '45', 3), ('src1', '60', 2), ('src2', 'high', NULL), ('bnf', '1', 1)) t(provider_key, min_title_score, max_results))"

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import ids, payload
+from ..functions.text import strip
 from .registry import query
-from .views import table
+from .views import BLANK, table
 
 
 def q(text: str) -> str:
@@ -45,14 +46,46 @@ def links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", link.otherwise(F.col("url")).alias("link"))
 
 
-@query(f"SELECT page_id, regexp_matches(link, '^https?://') AND regexp_matches(link, '(?i)({q('|'.join(ids.MANIFEST_PATTERNS))})') AS is_manifest FROM links", LINKS)
+#: URLs of every kind and, written by hand, whether each is a manifest and whose it is; ``{0}`` is the page's number.
+URL_KINDS = [
+    ("https://x.example.org/a/{0}/manifest.json", True, "direct_iiif"), ("\thttps://x.example.org/b/{0}/manifest\n", True, "direct_iiif"), ("https://iiif.archive.org/iiif/b{0}/manifest/x", True, "internet_archive"),
+    ("https://iiif.archivelab.org/iiif/b{0}/manifest?v=2", True, "internet_archive"), ("https://gallica.bnf.fr/iiif/ark:/12148/b{0}", True, "bnf_gallica"), ("https://api.digitale-sammlungen.de/iiif/presentation", True, "mdz"),
+    ("https://www.digitale-sammlungen.de/x/{0}/manifest?", True, "mdz"), ("https://babel.hathitrust.org/cgi/imgsrv/manifest/mdp.{0}", True, "hathitrust"), ("https://www.LOC.gov/item/{0}/Manifest?x", True, "loc"),
+    ("https://iiif.wellcomecollection.org/presentation/v2/b{0}", True, "wellcome"), ("https://api.bl.uk/metadata/iiif/ark:/81055/{0}", True, "british_library"), ("https://www.e-rara.ch/i3f/v21/{0}/manifest?", True, "e_rara"),
+    ("https://digital.slub-dresden.de/data/{0}/manifest?", True, "slub"), ("https://content.staatsbibliothek-berlin.de/dc/{0}/manifest?", True, "sbb_digital"), ("https://x.example.org/iiif/{0}/manifest?", True, "direct_iiif"),
+    ("https://x.example.org/presentation/v3/{0}/manifest?", True, "direct_iiif"), ("\xa0http://x.example.org/iiif/presentation/{0} ", True, "direct_iiif"), ("https://x.example.org/iiif/b{0}/manifest?", False, "direct_iiif"),
+    ("ftp://x.example.org/{0}/manifest", False, "direct_iiif"), ("HTTPS://x.example.org/{0}/manifest", False, "direct_iiif"), ("https://www.europeana.eu/item/{0}", False, "europeana"), ("https://polona.pl/item/{0}", False, "polona"),
+    ("https://api.ddb.de/{0}", False, "ddb"), ("https://www.deutsche-digitale-bibliothek.de/item/{0}", False, "ddb"), ("https://bdh.bne.es/{0}", False, "bne"), ("manifest {0}", False, "direct_iiif"), ("", False, "direct_iiif"),
+]
+#: Links of records and, written by hand, the manifests that they lead to.
+RECORD_KINDS = [
+    ("https://digi.ub.uni-heidelberg.de/diglit/h{0}?x=1", "https://digi.ub.uni-heidelberg.de/diglit/iiif/h{0}/manifest.json"), ("http://resolver.sub.uni-goettingen.de/purl?PPN{0}&a=1", "https://manifests.sub.uni-goettingen.de/iiif/presentation/PPN{0}/manifest"),
+    ("http://mdz-nbn-resolving.de/urn:nbn:de:bvb:12-bsb{0}-5", "https://api.digitale-sammlungen.de/iiif/presentation/v2/bsb{0}/manifest"), ("https://www.digitale-sammlungen.de/view/bsb{0}", "https://api.digitale-sammlungen.de/iiif/presentation/v2/bsb{0}/manifest"),
+    ("https://www.digitale-sammlungen.de/view/ {0}", None), ("https://example.org/{0}", None),
+]
+
+
+def kind_sql(values: list, key: str = "page_id") -> str:
+    """The value of a row's kind in SQL."""
+    shown = ["NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"replace('{v}', '{{0}}', CAST({key} AS VARCHAR))" for v in values]
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(shown)) + " END"
+
+
+def of_kind(values: list[str], key):
+    """The text of a row's kind."""
+    return F.replace(F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int")), F.lit("{0}"), key.cast("string"))
+
+
+@query(f"SELECT o_orderkey AS k, {kind_sql([m for _, m, _ in URL_KINDS], 'o_orderkey')} AS is_manifest FROM orders")
 def is_manifest_url(spark, sf_dir):
-    return links(spark, sf_dir).select("page_id", ids.is_manifest_url(F.col("link")).alias("is_manifest"))
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.alias("k"), ids.is_manifest_url(of_kind([u for u, _, _ in URL_KINDS], k)).alias("is_manifest"))
 
 
-@query("SELECT page_id, CASE " + " ".join(f"WHEN contains(lower(link), '{f}') THEN '{p}'" for f, p in ids.URL_FRAGMENTS) + " ELSE 'direct_iiif' END AS provider FROM links", LINKS)
+@query(f"SELECT o_orderkey AS k, {kind_sql([p for _, _, p in URL_KINDS], 'o_orderkey')} AS provider FROM orders")
 def provider_from_url(spark, sf_dir):
-    return links(spark, sf_dir).select("page_id", ids.provider_of_url(F.col("link")).alias("provider"))
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.alias("k"), ids.provider_of_url(of_kind([u for u, _, _ in URL_KINDS], k)).alias("provider"))
 
 
 HOSTS = "hosts AS (SELECT * FROM (VALUES " + ", ".join(f"('{h}', '{p}', {i})" for i, (p, hs) in enumerate(ids.PROVIDER_HOSTS.items()) for h in hs) + ") t(host, provider_key, ord))"
@@ -74,9 +107,9 @@ def item_id(spark, sf_dir):
 
 
 # identifiers of many kinds, made from order numbers
-KINDS = ["bsb{0}", "BPT6K{0}a", "btv1b{0}", "cb{0}x", "ark:/12148/bpt6k{0}", "mdp.{0}", "uc1.{0}", "wu.{0}", "vdc_{0}", "bsb{0}-1", "isbn:{0}-3", " bsb{0} "]
-NAMES = "names AS (SELECT o_orderkey AS k, CASE o_orderkey % 12 " + " ".join(f"WHEN {i} THEN replace('{t}', '{{0}}', CAST(o_orderkey AS VARCHAR))" for i, t in enumerate(KINDS)) + " END AS name FROM orders)"
-DETECT = "list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(trim(name, ' '), '{p}') THEN '{k}' END" for p, k in ids.IDENTIFIER_PATTERNS) + "], lambda x: x IS NOT NULL))"
+KINDS = ["bsb{0}", "BPT6K{0}a", "btv1b{0}", "cb{0}x", "ark:/12148/bpt6k{0}", "mdp.{0}", "uc1.{0}", "wu.{0}", "vdc_{0}", "bsb{0}-1", "isbn:{0}-3", " bsb{0} ", "bsb{0}\n", "\tbsb{0} \xa0", "bpt6k{0}\r\n", "bsb{0} x"]
+NAMES = "names AS (SELECT o_orderkey AS k, CASE o_orderkey % 16 " + " ".join(f"WHEN {i} THEN replace('{t}', '{{0}}', CAST(o_orderkey AS VARCHAR))" for i, t in enumerate(KINDS)) + " END AS name FROM orders)"
+DETECT = "list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(trim(name, {BLANK}), '{p}') THEN '{k}' END" for p, k in ids.IDENTIFIER_PATTERNS) + "], lambda x: x IS NOT NULL))"
 
 
 def names(spark, sf_dir):
@@ -84,7 +117,7 @@ def names(spark, sf_dir):
     name = None
     for i, t in enumerate(KINDS):
         v = F.replace(F.lit(t), F.lit("{0}"), k.cast("string"))
-        name = F.when(k % 12 == i, v) if name is None else name.when(k % 12 == i, v)
+        name = F.when(k % len(KINDS) == i, v) if name is None else name.when(k % len(KINDS) == i, v)
     return table(spark, sf_dir, "orders").select(k.alias("k"), name.alias("name"))
 
 
@@ -98,11 +131,11 @@ TEMPLATES = "templates AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', {i}, '{
 
 @query(
     f"""SELECT k, ord AS manifest_ord, replace(template, '{{id}}', CASE WHEN provider = 'bnf_gallica' THEN regexp_replace(name, '^ark:/12148/', '') ELSE name END) AS manifest_url
-    FROM (SELECT k, trim(name, ' ') AS name, unnest({DETECT}) AS provider FROM names) JOIN templates USING (provider)""",
+    FROM (SELECT k, trim(name, {BLANK}) AS name, unnest({DETECT}) AS provider FROM names) JOIN templates USING (provider)""",
     NAMES, TEMPLATES,
 )
 def manifest_urls(spark, sf_dir):
-    found = names(spark, sf_dir).select("k", F.trim("name").alias("name"), F.explode(ids.providers_of_identifier(F.col("name"))).alias("provider"))
+    found = names(spark, sf_dir).select("k", strip(F.col("name")).alias("name"), F.explode(ids.providers_of_identifier(F.col("name"))).alias("provider"))
     return ids.with_manifest_urls(found, "name", "provider").select("k", "manifest_ord", "manifest_url")
 
 
@@ -135,9 +168,10 @@ def credential_params(spark, sf_dir):
     return links(spark, sf_dir).select("page_id", ids.carries_credential(F.col("link")).alias("secret"))
 
 
-@query("SELECT page_id, coalesce(" + ", ".join(f"CASE WHEN regexp_matches(link, '{p}') THEN replace('{t}', '{{}}', regexp_extract(link, '{p}', 1)) END" for p, t in ids.RECORD_LINKS) + ") AS manifest FROM links", LINKS)
+@query(f"SELECT o_orderkey AS k, {kind_sql([m for _, m in RECORD_KINDS], 'o_orderkey')} AS manifest FROM orders")
 def record_link_manifest(spark, sf_dir):
-    return links(spark, sf_dir).select("page_id", ids.manifest_of_record_link(F.col("link")).alias("manifest"))
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.alias("k"), ids.manifest_of_record_link(of_kind([u for u, _ in RECORD_KINDS], k)).alias("manifest"))
 
 
 TYPES = ["application/pdf", "Application/EPUB+zip; charset=x", "image/JPEG", "application/octet-stream", "text/html; charset=utf-8", "x/unknown", "binary/octet-stream ;a", "application/xml", "image/jp2", ""]
@@ -196,13 +230,13 @@ def content_length(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", payload.content_length(header).alias("length"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a' || event_id || '.pdf' WHEN 1 THEN 'é b' || event_id || '.pdf' WHEN 2 THEN 'x.pdf' END AS filename FROM events")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a' || event_id || '.pdf' WHEN 1 THEN 'é b' || event_id || '.pdf' WHEN 2 THEN 'x.pdf' ELSE 'late.pdf' END AS filename FROM events")
 def disposition_filename(spark, sf_dir):
     i = F.col("event_id")
     header = (
         F.when(i % 4 == 0, F.concat(F.lit('attachment; filename="a'), i, F.lit('.pdf"')))
         .when(i % 4 == 1, F.concat(F.lit("attachment; filename=y.pdf; filename*=UTF-8''%C3%A9%20b"), i, F.lit(".pdf")))
         .when(i % 4 == 2, "inline;FileName = x.pdf")
-        .otherwise("inline")
+        .otherwise("inline" + "".join(f"; p{n}={n}" for n in range(1200)) + ";\tfilename=late.pdf\n")
     )
     return table(spark, sf_dir, "events").select("event_id", header.alias("h")).select("event_id", payload.disposition_filename(F.col("h")).alias("filename"))

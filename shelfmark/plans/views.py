@@ -20,22 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Blanks and line ends of Unicode in SQL.
+BLANK = "'\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000'"
 LEDGER = """
 ledger AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS entry_id, o_orderkey AS _row_ix,
-    CASE WHEN o_orderkey % 17 = 0 THEN ' ' ELSE o_orderpriority || ' ' || o_orderstatus || ' ' || o_orderkey END AS short_title,
-    CASE o_orderkey % 11 WHEN 0 THEN 'True' WHEN 1 THEN 'FALSE' WHEN 2 THEN '1' WHEN 3 THEN ' wahr ' WHEN 4 THEN 'Falsch' WHEN 5 THEN ''
-      WHEN 7 THEN 'deferred' WHEN 8 THEN '1.0' WHEN 9 THEN '0.0' WHEN 10 THEN 'maybe' END AS retrievable,
-    CASE o_orderkey % 5 WHEN 0 THEN ' https://api.digitale-sammlungen.de/iiif/presentation/v2/bsb' || o_orderkey || '/manifest ' WHEN 1 THEN 'https://example.org/' || o_orderkey END AS direct_link,
+    CASE WHEN o_orderkey % 17 = 0 THEN ' ' WHEN o_orderkey % 19 = 0 THEN chr(9) || chr(13) || chr(10) || chr(160) ELSE o_orderpriority || ' ' || o_orderstatus || ' ' || o_orderkey END AS short_title,
+    CASE WHEN o_orderkey % 13 = 3 THEN 'true' || chr(9) WHEN o_orderkey % 13 = 5 THEN chr(10) || 'FALSE' || chr(160) WHEN o_orderkey % 13 = 7 THEN '1d' ELSE CASE o_orderkey % 11 WHEN 0 THEN 'True' WHEN 1 THEN 'FALSE' WHEN 2 THEN '1' WHEN 3 THEN ' wahr ' WHEN 4 THEN 'Falsch' WHEN 5 THEN ''
+      WHEN 7 THEN 'deferred' WHEN 8 THEN '1.0' WHEN 9 THEN '0.0' WHEN 10 THEN 'maybe' END END AS retrievable,
+    CASE WHEN o_orderkey % 25 = 0 THEN chr(9) || 'https://api.digitale-sammlungen.de/iiif/presentation/v2/bsb' || o_orderkey || '/manifest' || chr(13) || chr(10) ELSE CASE o_orderkey % 5 WHEN 0 THEN ' https://api.digitale-sammlungen.de/iiif/presentation/v2/bsb' || o_orderkey || '/manifest ' WHEN 1 THEN 'https://example.org/' || o_orderkey END END AS direct_link,
     CASE o_orderkey % 7 WHEN 0 THEN 'https://host.example.org/iiif/' || o_orderkey || '/manifest' END AS link,
     CAST(NULL AS VARCHAR) AS download_provider, CAST(NULL AS VARCHAR) AS download_timestamp
   FROM orders
 )"""
-STATUS_SQL = """CASE WHEN lower(trim(retrievable)) IN ('true', '1', 'yes', 'y', 'wahr') THEN 'completed'
-  WHEN lower(trim(retrievable)) IN ('false', '0', 'no', 'n', 'falsch') THEN 'failed'
-  WHEN lower(trim(retrievable)) = 'deferred' THEN 'deferred'
-  WHEN try_cast(lower(trim(retrievable)) AS DOUBLE) = 1 THEN 'completed'
-  WHEN try_cast(lower(trim(retrievable)) AS DOUBLE) = 0 THEN 'failed' ELSE 'pending' END"""
+STATUS_SQL = f"""CASE WHEN lower(trim(retrievable, {BLANK})) IN ('true', '1', 'yes', 'y', 'wahr') THEN 'completed'
+  WHEN lower(trim(retrievable, {BLANK})) IN ('false', '0', 'no', 'n', 'falsch') THEN 'failed'
+  WHEN lower(trim(retrievable, {BLANK})) = 'deferred' THEN 'deferred'
+  WHEN try_cast(lower(trim(retrievable, {BLANK})) AS DOUBLE) = 1 THEN 'completed'
+  WHEN try_cast(lower(trim(retrievable, {BLANK})) AS DOUBLE) = 0 THEN 'failed' ELSE 'pending' END"""
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,11 +47,12 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = none
     for r, text in marks.items():
         mark = F.when(k % 11 == r, text).otherwise(mark)
-    link = F.when(k % 5 == 0, F.concat(F.lit(" https://api.digitale-sammlungen.de/iiif/presentation/v2/bsb"), k, F.lit("/manifest "))).when(k % 5 == 1, F.concat(F.lit("https://example.org/"), k))
+    mark = F.when(k % 13 == 3, "true\t").when(k % 13 == 5, "\nFALSE\xa0").when(k % 13 == 7, "1d").otherwise(mark)
+    link = F.when(k % 25 == 0, F.concat(F.lit("\thttps://api.digitale-sammlungen.de/iiif/presentation/v2/bsb"), k, F.lit("/manifest\r\n"))).when(k % 5 == 0, F.concat(F.lit(" https://api.digitale-sammlungen.de/iiif/presentation/v2/bsb"), k, F.lit("/manifest "))).when(k % 5 == 1, F.concat(F.lit("https://example.org/"), k))
     return table(spark, sf_dir, "orders").select(
         k.cast("string").alias("entry_id"),
         k.alias("_row_ix"),
-        F.when(k % 17 == 0, " ").otherwise(F.concat_ws(" ", "o_orderpriority", "o_orderstatus", k)).alias("short_title"),
+        F.when(k % 17 == 0, " ").when(k % 19 == 0, "\t\r\n\xa0").otherwise(F.concat_ws(" ", "o_orderpriority", "o_orderstatus", k)).alias("short_title"),
         mark.alias("retrievable"),
         link.alias("direct_link"),
         F.when(k % 7 == 0, F.concat(F.lit("https://host.example.org/iiif/"), k, F.lit("/manifest"))).alias("link"),

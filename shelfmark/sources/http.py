@@ -4,7 +4,8 @@
     spark.read.format("shelfmark_http").option("urls", "https://… https://…").load()
 
 Each partition is one URL.  Transport errors become rows without a status, so a failing
-server never fails the job; retries and breaker decisions are made over the rows.  Nothing
+server never fails the job; retries and breaker decisions are made over the rows.  A body
+beyond ``maxBytes`` is never handed on in part: its row has an error and no body.  Nothing
 in this package uses the source by itself; captured responses are the usual input.
 """
 
@@ -45,10 +46,16 @@ class HttpReader(DataSourceReader):
         from urllib.error import HTTPError
         from urllib.request import Request, urlopen
 
+        def row(status, answer):
+            # one byte more tells a body that is too long from one that just fits
+            body = answer.read(self.most + 1)
+            body, error = (body, None) if len(body) <= self.most else (None, f"the body is longer than {self.most} bytes")
+            return partition.url, status, answer.headers.get("Content-Type"), answer.headers.get("Retry-After"), body, error
+
         try:
             with urlopen(Request(partition.url, headers={"User-Agent": "shelfmark"}), timeout=self.timeout) as r:  # noqa: S310
-                yield partition.url, r.status, r.headers.get("Content-Type"), None, r.read(self.most), None
+                yield row(r.status, r)
         except HTTPError as e:
-            yield partition.url, e.code, e.headers.get("Content-Type"), e.headers.get("Retry-After"), e.read(self.most), None
+            yield row(e.code, e)
         except OSError as e:
             yield partition.url, None, None, None, None, f"{type(e).__name__}: {e}"

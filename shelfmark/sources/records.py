@@ -1,7 +1,7 @@
 """Captured provider responses into candidate records.
 
-A response table has a key, a provider and a body.  JSON bodies become variants, XML bodies
-are read with XPath on local names, HTML bodies by a small Arrow UDF.  A malformed body or
+A response table has a key, a provider and a body.  JSON bodies become variants, SRU and
+HTML bodies go once through a small Arrow UDF.  A malformed body or
 record gives no row and never fails the others.  Every parser returns the same columns:
 key, hit_ix, title, creators, date, source_id, iiif_manifest, item_url, thumbnail_url.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions.ids import first_group
-from ..functions.text import split_creators, strip_tags, with_once
+from ..functions.text import split_creators, strip, strip_tags, with_once
 from ..operators.iiif import node, text_at
 
 NO_LIST = "cast(array() as array<string>)"
@@ -120,7 +121,7 @@ def _dpla(r: Column):
 def _ddb(r: Column):
     title = F.regexp_replace(F.coalesce(first_or_scalar(r, "$.label"), first_or_scalar(r, "$.title")), "</?match>", "")
     role = r"^(.*?)\s*\((?:Verfasser|Autor)\S*\)$"
-    writers = F.transform(F.try_variant_get(r, "$.view", "array<string>"), lambda x: F.nullif(F.trim(F.coalesce(first_group(F.trim(x), role), F.lit(""))), F.lit("")))
+    writers = F.transform(F.try_variant_get(r, "$.view", "array<string>"), lambda x: F.nullif(strip(F.coalesce(first_group(strip(x), role), F.lit(""))), F.lit("")))
     writer = F.get(F.filter(writers, lambda x: x.isNotNull()), F.lit(0))
     name = scalar(r, "$.id")
     return record(title, one(writer), None, name, None, url("https://www.deutsche-digitale-bibliothek.de/item/", name), scalar(r, "$.thumbnail"))
@@ -158,7 +159,7 @@ def _wellcome(r: Column):
     person = first_text(F.try_variant_get(r, "$.contributors", "array<variant>"), lambda c: scalar(c, "$.agent.label"))
     dates = F.flatten(F.transform(F.try_variant_get(r, "$.production", "array<variant>"), lambda p: F.coalesce(F.try_variant_get(p, "$.dates", "array<variant>"), F.expr("cast(array() as array<variant>)"))))
     name = scalar(r, "$.id")
-    return record(scalar(r, "$.title"), one(F.trim(person)), F.trim(first_text(dates, lambda d: scalar(d, "$.label"))), name, manifest, url("https://wellcomecollection.org/works/", name), scalar(r, "$.thumbnail.url"))
+    return record(scalar(r, "$.title"), one(strip(person)), strip(first_text(dates, lambda d: scalar(d, "$.label"))), name, manifest, url("https://wellcomecollection.org/works/", name), scalar(r, "$.thumbnail.url"))
 
 
 def wellcome_locations(r: Column, kind: str) -> Column:
@@ -196,7 +197,7 @@ def _bne(r: Column):
 
 def catalogue_id(value: Column) -> Column:
     """A catalogue resource's bare id from its URI or the id itself."""
-    v = F.trim(value)
+    v = strip(value)
     last = F.element_at(F.split(F.rtrim(v, F.lit("/")), "/"), -1)
     bare = F.when(F.startswith(v, F.lit("http")), F.when(F.contains(v, F.lit("datos.bne.es")), last)).otherwise(v)
     return F.when(bare.rlike("^[A-Za-z]{1,4}[0-9]+$"), bare)
@@ -218,25 +219,43 @@ JSON_PROVIDERS: dict[str, tuple[tuple[str, ...], Callable, Callable | None]] = {
 }
 
 
+def _hits(provider: Column, r: Column) -> Column:
+    """The hits of a response: the array at its provider's path, a doubly nested one flattened."""
+
+    def listed(path: str):
+        return lambda x: F.coalesce(F.try_variant_get(x, path, "array<variant>"), F.expr("cast(array() as array<variant>)"))
+
+    out = None
+    for name, (paths, _, _) in JSON_PROVIDERS.items():
+        found = F.try_variant_get(r, paths[0], "array<variant>")
+        for path in paths[1:]:
+            found = F.flatten(F.transform(found, listed(path)))
+        out = F.when(provider == name, found) if out is None else out.when(provider == name, found)
+    return out
+
+
+def all_json_records(responses: DataFrame, provider: str, key: str, body: str) -> DataFrame:
+    """The records of JSON responses of any provider, each response parsed once and each hit read by its own provider's rules."""
+    who, r = F.col(provider), F.col("r")
+    rows = with_once(responses.filter(who.isin(*JSON_PROVIDERS)), "_v", F.try_parse_json(F.col(body)))
+    rows = rows.select(provider, key, F.posexplode(_hits(who, F.col("_v"))).alias("pos", "r"))
+    keep = F.lit(True)
+    for name, (_, _, test) in JSON_PROVIDERS.items():
+        if test:
+            keep = F.when(who == name, test(r)).otherwise(keep)
+    rows = rows.filter(F.startswith(F.schema_of_variant(r), F.lit("OBJECT")) & keep)
+    rows = with_once(rows, "_f", by_provider(who, {name: build(r) for name, (_, build, _) in JSON_PROVIDERS.items()}))
+    rows = rows.filter(~who.isin("bne", "slub") | F.col("_f.source_id").isNotNull())
+    # an item of bne counts once a response
+    same = Window.partitionBy(provider, key, F.when(who == "bne", F.col("_f.source_id")).otherwise(F.col("pos").cast("string"))).orderBy("pos")
+    rows = rows.withColumn("_n", F.row_number().over(same)).filter("_n = 1")
+    hit = F.row_number().over(Window.partitionBy(provider, key).orderBy("pos")) - 1
+    return rows.select(provider, key, "_f.*", hit.alias("hit_ix"))
+
+
 def json_records(responses: DataFrame, provider: str, key: str, body: str) -> DataFrame:
     """The records of one provider's JSON responses."""
-    paths, build, keep = JSON_PROVIDERS[provider]
-    rows = responses.select(key, F.try_parse_json(F.col(body)).alias("r"))
-    places = []
-    for i, path in enumerate(paths):
-        places.append(f"_p{i}")
-        rows = rows.select(key, *places[:-1], F.posexplode(F.try_variant_get(F.col("r"), path, "array<variant>")).alias(f"_p{i}", "r"))
-    r = F.col("r")
-    rows = rows.filter(F.startswith(F.schema_of_variant(r), F.lit("OBJECT")))
-    if keep:
-        rows = rows.filter(keep(r))
-    out = rows.select(key, *places, *[c.alias(k) for k, c in build(r).items()])
-    if provider in ("bne", "slub"):
-        out = out.filter("source_id is not null")
-    if provider == "bne":
-        once = Window.partitionBy(key, "source_id").orderBy(*places)
-        out = out.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
-    return out.withColumn("hit_ix", F.row_number().over(Window.partitionBy(key).orderBy(*places)) - 1).drop(*places)
+    return all_json_records(responses.select(F.lit(provider).alias("_provider"), key, body), "_provider", key, body).drop("_provider")
 
 
 def hathi_records(responses: DataFrame, key: str, body: str) -> DataFrame:
@@ -265,7 +284,7 @@ def step(*names: str) -> str:
 
 
 def clean(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(strip(text), F.lit(""))
 
 
 def xml_at(xml: Column, path: str) -> Column:
@@ -274,7 +293,7 @@ def xml_at(xml: Column, path: str) -> Column:
 
 
 def xml_all(xml: Column, path: str) -> Column:
-    return F.transform(F.xpath(xml, F.lit(f"{path}/text()")), lambda x: F.trim(x))
+    return F.transform(F.xpath(xml, F.lit(f"{path}/text()")), strip)
 
 
 def xml_parts(xml: Column, name: str) -> Column:
@@ -285,8 +304,10 @@ def xml_parts(xml: Column, name: str) -> Column:
 
 def declared(part: Column) -> Column:
     """An XML part as a document of its own: prefixes are dropped, as local names are all that is read."""
-    bare = F.regexp_replace(F.regexp_replace(part, r"(</?)[\w.-]+:", "$1"), r"\s[\w.-]+:([\w.-]+\s*=)", " $1")
-    return F.regexp_replace(bare, r"\sxmlns(?::[\w.-]+)?\s*=\s*(\"[^\"]*\"|'[^']*')", "")
+    # each rule holds inside a tag alone: what follows, quoted values whole, leads to its end
+    inside = r"(?=(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+>)"
+    bare = F.regexp_replace(part, r"\sxmlns(?::[\w.-]+)?\s*=\s*(\"[^\"]*\"|'[^']*')" + inside, "")
+    return F.regexp_replace(F.regexp_replace(bare, r"(</?)[\w.-]+:", "$1"), r"\s[\w.-]+:([\w.-]+\s*=)(?=\s*[\"'])" + inside, " $1")
 
 
 def _mods_fields(x: Column) -> dict[str, Column]:
@@ -300,43 +321,111 @@ def mods_creator(xml: Column) -> Column:
     return _mods_fields(xml)["creator"]
 
 
+#: What one record of an SRU response says, whatever its format; texts are stripped, empty ones null.
+XML_RECORD = StructType([
+    *[StructField(n, StringType()) for n in ("title", "sub_title", "date", "display_form", "name_part", "extra_id", "prefix", "ppn", "record_id")],
+    *[StructField(n, ArrayType(StringType())) for n in ("creators", "identifiers")],
+])
+#: Providers whose records are MODS; those of the others are Dublin Core.
+MODS_PROVIDERS = ("e_rara", "sbb_digital")
+SRU_PROVIDERS = ("bnf_gallica", "british_library", *MODS_PROVIDERS)
+
+
+def _local(tag) -> str:
+    return tag.rpartition("}")[2] if isinstance(tag, str) else ""
+
+
+def _under(elements: list, *names: str) -> list:
+    """The elements that lie under ``elements`` along these local names."""
+    for name in names:
+        elements = [c for e in elements for c in e if _local(c.tag) == name]
+    return elements
+
+
+def _texts(elements: list) -> list[str]:
+    return [t for e in elements if (t := (e.text or "").strip())]
+
+
+def _first(elements: list) -> str | None:
+    return next(iter(_texts(elements)), None)
+
+
+def _dublin_core(record) -> dict:
+    inside = list(record)
+    title = _under(inside, "title")
+    return {"title": _first(title[:1]), "date": _first(_under(inside, "date")), "creators": _texts(_under(inside, "creator")), "identifiers": _texts(_under(inside, "identifier"))}
+
+
+def _mods(record) -> dict | None:
+    mods = next((e for e in record.iter() if _local(e.tag) == "mods"), None)
+    if mods is None:
+        return None
+    ids = _under([mods], "recordInfo", "recordIdentifier")
+    marked = [e for e in ids if any(_local(k) == "source" and "ppn" in v.lower() for k, v in e.attrib.items())]
+    extra = [e for e in record if _local(e.tag) == "extraRecordData"]
+    return {
+        "title": _first(_under([mods], "titleInfo", "title")), "sub_title": _first(_under([mods], "titleInfo", "subTitle")), "date": _first(_under([mods], "originInfo", "dateIssued")),
+        "display_form": _first(_under([mods], "name", "displayForm")), "name_part": _first(_under([mods], "name", "namePart")),
+        "extra_id": _first(_under(extra, "id")), "prefix": _first(_under(extra, "prefix")), "ppn": _first(marked), "record_id": _first(ids),
+    }
+
+
+@F.pandas_udf(ArrayType(XML_RECORD))
+def xml_records(provider: pd.Series, body: pd.Series) -> pd.Series:
+    """The records of SRU responses, each response parsed once; one that is no XML has none."""
+
+    def records(who: str | None, text: str | None) -> list[dict]:
+        try:
+            root = ElementTree.fromstring(text or "")
+        except (ElementTree.ParseError, ValueError):
+            return []
+        name, read = ("record", _mods) if who in MODS_PROVIDERS else ("recordData", _dublin_core)
+        found = [read(e) for e in root.iter() if _local(e.tag) == name]
+        return [{n: r.get(n) for n in XML_RECORD.names} for r in found if r is not None]
+
+    return pd.Series([records(p, b) for p, b in zip(provider, body, strict=True)], dtype=object)
+
+
+def _sru_fields(x: Column) -> dict[str, dict[str, Column]]:
+    """provider -> the candidate's fields out of an XML record."""
+    ids, people = x["identifiers"], F.coalesce(x["creators"], F.expr(NO_LIST))
+    title, date = F.coalesce(x["title"], F.lit("")), x["date"]
+    ark = F.get(F.filter(F.transform(ids, lambda i: first_group(i, "ark:/12148/([a-zA-Z0-9]+)")), lambda i: i.isNotNull()), F.lit(0))
+    writer = one(F.coalesce(x["display_form"], x["name_part"]))
+    rara = F.when(x["prefix"].isNotNull(), F.concat(F.lit("https://www.e-rara.ch/"), x["prefix"], F.lit("/content/titleinfo/"), x["extra_id"]))
+    ppn = F.coalesce(x["ppn"], x["record_id"])
+    ppn = F.when(F.upper(ppn).startswith("PPN"), ppn).otherwise(F.concat(F.lit("PPN"), ppn))
+    return {
+        "bnf_gallica": record(title, people, date, ark, None, url("https://gallica.bnf.fr/ark:/12148/", ark)),
+        "british_library": record(title, one(F.get(people, F.lit(0))), date, first_group(F.get(ids, F.lit(0)), r"ark:/81055/([^\s/?#]+)")),
+        "e_rara": record(title, writer, date, x["extra_id"], F.concat(F.lit("https://www.e-rara.ch/i3f/v20/"), x["extra_id"], F.lit("/manifest")), rara),
+        "sbb_digital": record(F.concat_ws(" ", title, x["sub_title"]), writer, date, ppn, None, url("https://digital.staatsbibliothek-berlin.de/werkansicht?PPN=", ppn)),
+    }
+
+
+def by_provider(provider: Column, fields: dict[str, dict[str, Column]]) -> Column:
+    """One struct: the fields of the row's own provider; only they are computed."""
+    out = None
+    for name, columns in fields.items():
+        made = F.struct(*[columns[k].alias(k) for k in FIELDS])
+        out = F.when(provider == name, made) if out is None else out.when(provider == name, made)
+    return out
+
+
+def all_sru_records(responses: DataFrame, provider: str, key: str, body: str) -> DataFrame:
+    """Records of SRU responses of any provider: ``bnf_gallica``, ``british_library`` (Dublin Core), ``e_rara``, ``sbb_digital`` (MODS)."""
+    rows = responses.filter(F.col(provider).isin(*SRU_PROVIDERS)).select(provider, key, F.posexplode(xml_records(F.col(provider), F.col(body))).alias("pos", "x"))
+    rows = with_once(rows, "_f", by_provider(F.col(provider), _sru_fields(F.col("x")))).filter("_f.source_id is not null")
+    hit = F.row_number().over(Window.partitionBy(provider, key).orderBy("pos")) - 1
+    return rows.select(provider, key, "_f.*", hit.alias("hit_ix"))
+
+
 def sru_records(responses: DataFrame, provider: str, key: str, body: str) -> DataFrame:
-    """Records of an SRU response: ``bnf_gallica``, ``british_library`` (Dublin Core), ``e_rara``, ``sbb_digital`` (MODS)."""
-    name = "record" if provider in ("e_rara", "sbb_digital") else "recordData"
-    rows = responses.select(key, F.posexplode(xml_parts(F.col(body), name)).alias("pos", "part"))
-    rows = with_once(rows, "x", declared(F.col("part"))).drop("part")
-    x = F.col("x")
-    if provider in ("bnf_gallica", "british_library"):
-        dc = f"/{step('recordData')}/*"
-        ids = xml_all(x, f"{dc}{step('identifier')}")
-        if provider == "bnf_gallica":
-            ark = F.get(F.filter(F.transform(ids, lambda i: first_group(i, "ark:/12148/([a-zA-Z0-9]+)")), lambda i: i.isNotNull()), F.lit(0))
-            people = F.filter(xml_all(x, f"{dc}{step('creator')}"), lambda c: c != "")
-            link = url("https://gallica.bnf.fr/ark:/12148/", ark)
-        else:
-            ark = first_group(F.get(ids, F.lit(0)), r"ark:/81055/([^\s/?#]+)")
-            people, link = one(xml_at(x, f"{dc}{step('creator')}")), None
-        fields = record(xml_at(x, f"{dc}{step('title')}"), people, clean(xml_at(x, f"{dc}{step('date')}")), ark, None, link)
-    else:
-        mods = F.get(xml_parts(x, "mods"), F.lit(0))
-        rows = with_once(rows, "m", mods).filter("m is not null")
-        m, found = F.col("m"), _mods_fields(F.col("m"))
-        if provider == "e_rara":
-            ident = clean(xml_at(x, f"/{step('record', 'extraRecordData', 'id')}"))
-            prefix = clean(xml_at(x, f"/{step('record', 'extraRecordData', 'prefix')}"))
-            link = F.when(prefix.isNotNull(), F.concat(F.lit("https://www.e-rara.ch/"), prefix, F.lit("/content/titleinfo/"), ident))
-            fields = record(found["title"], one(found["creator"]), found["date"], ident, F.concat(F.lit("https://www.e-rara.ch/i3f/v20/"), ident, F.lit("/manifest")), link)
-        else:
-            own = f"/{step('mods')}{step('recordInfo')}"
-            ident = F.coalesce(clean(xml_at(m, f"{own}/*[local-name()='recordIdentifier'][contains(translate(@source,'PN','pn'),'ppn')]")), clean(xml_at(m, f"{own}{step('recordIdentifier')}")))
-            ident = F.when(F.upper(ident).startswith("PPN"), ident).otherwise(F.concat(F.lit("PPN"), ident))
-            sub = clean(xml_at(m, f"/{step('mods')}{step('titleInfo', 'subTitle')}"))
-            fields = record(F.concat_ws(" ", found["title"], sub), one(found["creator"]), found["date"], ident, None, url("https://digital.staatsbibliothek-berlin.de/werkansicht?PPN=", ident))
-    out = rows.select(key, "pos", *[c.alias(k) for k, c in fields.items()]).filter("source_id is not null")
-    return out.withColumn("hit_ix", F.row_number().over(Window.partitionBy(key).orderBy("pos")) - 1).drop("pos")
+    """The records of one provider's SRU responses."""
+    return all_sru_records(responses.select(F.lit(provider).alias("_provider"), key, body), "_provider", key, body).drop("_provider")
 
 
-#: METS file groups, best resolution first.
+# METS file groups, best resolution first.
 GROUP_ORDER = ["MAX", "DEFAULT", "PRESENTATION", "MIN", "THUMBS"]
 
 

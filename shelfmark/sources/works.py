@@ -44,11 +44,9 @@ def year_column(df: DataFrame) -> Column:
 
 
 def line_end(spark: SparkSession, path: str) -> str:
-    """The line end of a text file's first line."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65_536).alias("h")).first()
-    data = bytes(head.h) if head else b""
-    at = data.find(b"\n")
-    return "\r\n" if at > 0 and data[at - 1 : at] == b"\r" else "\n"
+    """The line end of a text file's first line, which alone is read, however long it is."""
+    first = spark.read.option("lineSep", "\n").text(path).first()
+    return "\r\n" if first and first.value.endswith("\r") else "\n"
 
 
 def write_csv(df: DataFrame, path: str, line_sep: str = "\n", one_file: bool = False) -> None:
@@ -76,6 +74,9 @@ def query_frame(spark: SparkSession, title: str, creator: str | None = None) ->
 
 
 def collections(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, rows): the CSV files of a folder with their row counts."""
-    lines = spark.read.options(recursiveFileLookup="true", pathGlobFilter="*.csv").text(folder).select(F.input_file_name().alias("path"))
-    return lines.groupBy("path").agg((F.count(F.lit(1)) - 1).alias("rows"))
+    """(path, rows): the CSV files of a folder with the number of their rows; a quoted line break ends no row."""
+    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.csv").load(folder).select("path")
+    # the header is a record like any other here, so files without rows are seen too
+    records = spark.read.options(**CSV | {"header": "false", "recursiveFileLookup": "true", "pathGlobFilter": "*.csv"}).schema("first string, rest string").csv(folder)
+    counted = records.select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return files.join(counted, "path", "left").select("path", F.greatest(F.coalesce("n", F.lit(0)) - 1, F.lit(0)).alias("rows"))

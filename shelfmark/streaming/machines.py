@@ -16,20 +16,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.state import Breaker, Quota
 
 
-def keyed_fold(events: DataFrame, key: str, order: list[str], start: Callable[[], tuple], step: Callable[[tuple, dict], tuple[tuple, dict]], out: str, state: str) -> DataFrame:
-    """One output row for each event: its own columns and those of ``out``; ``state`` is the DDL of a key's state."""
+def keyed_fold(events: DataFrame, key: str, order: list[str], reads: list[str], start: Callable[[], tuple], step: Callable[..., tuple], out: str, state: str) -> DataFrame:
+    """One output row for each event: its own columns and those of ``out``; ``step`` gets the state and the cells that ``reads`` names; ``state`` is the DDL of a key's state."""
     names = [p.strip().split(" ")[0] for p in out.split(",")]
-    columns = events.columns
 
     def run(_key, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         now = held.get if held.exists else start()
         batch = pd.concat(list(frames)).sort_values(order, kind="stable")
         rows = []
-        for event in batch.to_dict("records"):
-            now, new = step(now, event)
-            rows.append([*[event[c] for c in columns], *[new[n] for n in names]])
+        for cells in zip(*[batch[c].tolist() for c in reads], strict=True):
+            now, *new = step(now, *cells)
+            rows.append(new)
         held.update(now)
-        yield pd.DataFrame(rows, columns=[*columns, *names])
+        yield pd.concat([batch, pd.DataFrame(rows, columns=names, index=batch.index)], axis=1)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
     return events.groupBy(key).applyInPandasWithState(run, f"{schema}, {out}", state, "append", GroupStateTimeout.NoTimeout)
@@ -38,38 +37,38 @@ def keyed_fold(events: DataFrame, key: str, order: list[str], start: Callable[[]
 def breaker(events: DataFrame, key: str, time: str, tie: str, ok: str, threshold: int = 3, cooldown: float = 300.0) -> DataFrame:
     machine = Breaker(threshold, cooldown)
 
-    def step(state, e):
-        state, admitted = machine.step(tuple(state), bool(e[ok]), float(e[time]))
-        return state, {"admitted": admitted, "state": state[0], "failures": state[1]}
+    def step(state, fine, t):
+        state, admitted = machine.step(tuple(state), bool(fine), float(t))
+        return state, admitted, state[0], state[1]
 
-    return keyed_fold(events, key, [time, tie], machine.start, step, "admitted boolean, state string, failures int", "mode string, failures int, since double")
+    return keyed_fold(events, key, [time, tie], [ok, time], machine.start, step, "admitted boolean, state string, failures int", "mode string, failures int, since double")
 
 
 def quota(events: DataFrame, key: str, time: str, tie: str, limit: int, hours: float) -> DataFrame:
     machine = Quota(limit, hours * 3600)
 
-    def step(state, e):
+    def step(state, t):
         begun, used = state
-        new, allowed = machine.step((None if begun is None or begun != begun else begun, int(used)), float(e[time]))
-        return new, {"allowed": allowed, "used": new[1], "period_start": new[0]}
+        new, allowed = machine.step((None if begun is None or begun != begun else begun, int(used)), float(t))
+        return new, allowed, new[1], new[0]
 
-    return keyed_fold(events, key, [time, tie], machine.start, step, "allowed boolean, used int, period_start double", "begun double, used int")
+    return keyed_fold(events, key, [time, tie], [time], machine.start, step, "allowed boolean, used int, period_start double", "begun double, used int")
 
 
 def retries(events: DataFrame, key: str, time: str, tie: str, kind: str, most: int = 5) -> DataFrame:
     """Queue items: ``retry`` events count up to a failure at ``most``; ``done`` and ``fail`` end an item."""
 
-    def step(state, e):
+    def step(state, what):
         status, n = state
         if status in ("pending", "retrying"):
-            if e[kind] == "retry":
+            if what == "retry":
                 n += 1
                 status = "failed" if n >= most else "retrying"
-            elif e[kind] in ("done", "fail"):
-                status = "completed" if e[kind] == "done" else "failed"
-        return (status, n), {"status": status, "retry_count": n}
+            elif what in ("done", "fail"):
+                status = "completed" if what == "done" else "failed"
+        return (status, n), status, n
 
-    return keyed_fold(events, key, [time, tie], lambda: ("pending", 0), step, "status string, retry_count int", "status string, n int")
+    return keyed_fold(events, key, [time, tie], [kind], lambda: ("pending", 0), step, "status string, retry_count int", "status string, n int")
 
 
 def outcome_windows(events: DataFrame, time: str, key: str, outcome: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

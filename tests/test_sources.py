@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import config
 from shelfmark.functions import dialects, ids, payload
+from shelfmark.sources import records, works
 from shelfmark.sources.http import HttpSource
 
 
@@ -57,3 +58,40 @@ def test_payload_edges(spark):
     assert one(spark, "x", payload.target_folder(F.lit(".exe"), [])) == "objects" and one(spark, "x", payload.target_folder(F.lit(".exe"), [".pdf"], False)) is None
     assert one(spark, "1.5", payload.megabytes(F.col("v"))) == 1_572_864 and one(spark, "-1", payload.gigabytes(F.col("v"))) is None
     assert payload.MEDIA_TYPES[".tif"] == one(spark, ".TIF", payload.media_type(F.col("v")))
+
+
+def test_long_bodies_are_errors(spark):
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_port}"
+    spark.dataSource.register(HttpSource)
+
+    def load(most):
+        return spark.read.format("shelfmark_http").option("urls", f"{root}/ok").option("maxBytes", str(most)).load().first()
+
+    fits, cut = load(7), load(6)
+    server.shutdown()
+    assert bytes(fits.body) == b'{"a":1}' and fits.error is None
+    assert cut.body is None and "longer than 6" in cut.error and cut.status == 200
+
+
+def test_line_ends_and_collections(spark, tmp_path):
+    (tmp_path / "wide.csv").write_bytes(b"abcdefgh," * 15_000 + b"b\r\n1,2\r\n")
+    (tmp_path / "plain.csv").write_text('id,t\n1,"two\nlines"\n2,x\n')
+    (tmp_path / "none.csv").write_text("id,t\n")
+    assert works.line_end(spark, str(tmp_path / "wide.csv")) == "\r\n" and works.line_end(spark, str(tmp_path / "plain.csv")) == "\n"
+    found = {r.path.rpartition("/")[2]: r.rows for r in works.collections(spark, str(tmp_path)).collect()}
+    assert found == {"wide.csv": 1, "plain.csv": 2, "none.csv": 0}
+
+
+def test_blanks_of_any_kind_go(spark):
+    for text, want in (("bsb11280551\n", ["mdz"]), ("\tbsb11280551 ", ["mdz"]), ("bsb11280551\r\n", ["mdz"]), ("bsb1\n2", [])):
+        assert one(spark, text, ids.providers_of_identifier(F.col("v"))) == want
+    assert one(spark, "\thttps://x.org/manifest ", ids.is_manifest_url(F.col("v")))
+
+
+def test_tags_alone_lose_their_prefixes(spark):
+    body = '<r xmlns:a="u"><a:recordData><dc><dc:title>Table of rates pct:x = 5 and more, 3 &gt; 2 a:b = 1</dc:title><dc:identifier q:r = "1">ark:/81055/v1</dc:identifier></dc></a:recordData></r>'.replace("<dc>", '<dc xmlns:dc="d" xmlns:q="q">')
+    df = spark.createDataFrame([(1, "british_library", body)], "k int, p string, b string")
+    got = records.sru_records(df, "british_library", "k", "b").collect()
+    assert [r.title for r in got] == ["Table of rates pct:x = 5 and more, 3 > 2 a:b = 1"]

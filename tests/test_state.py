@@ -81,19 +81,38 @@ def test_budget(spark, stop):
     items = [(i, f"w{rng.randrange(5)}", rng.choice(["pdfs", "images"]), rng.randrange(1, 40)) for i in range(200)]
     df = spark.createDataFrame(items, "i long, w string, k string, n long").repartition(4)
     got = {r.i: r.admitted for r in st.budget(df, "w", "k", "n", "i", {"pdfs": 150, "images": None}, {"pdfs": 400, "images": 10**9}, stop).collect()}
-    works, total, tripped = {}, 0, False
+    works, total, ended = {}, 0, False
     for i, w, k, n in items:
         if k == "images":
-            assert got[i]
+            assert got[i] == (not ended)
             continue
-        fits = total + n <= 400 and not tripped
+        fits = total + n <= 400 and not ended
         ok = fits and works.get(w, 0) + n <= 150
-        tripped |= stop and not fits
+        # the first refusal by a total ends the run for every kind
+        ended |= stop and not fits
         if ok:
             works[w], total = works.get(w, 0) + n, total + n
         assert got[i] == ok
 
 
+def test_budget_of_long_works_and_no_size(spark):
+    rows = [(i, "w", "pdfs", 0 if i % 3 == 0 else 10) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, w string, k string, n long")
+    for stop in (False, True):
+        got = {r.i: r.admitted for r in st.budget(df, "w", "k", "n", "i", {"pdfs": 2000}, {"pdfs": 1000}, stop).collect()}
+        assert sum(got[i] for i, *_ in rows if i % 3) == 100 and all(got[i] for i, *_ in rows if i % 3 == 0)
+
+
+def test_null_keys_are_one_key(spark):
+    rows = [(None, i, float(i), False) for i in range(6)] + [(1, i + 6, float(i), False) for i in range(2)]
+    df = spark.createDataFrame(rows, "k long, i long, t double, ok boolean")
+    got = {r.i: (r.admitted, r.state) for r in st.breaker(df, "k", "t", "i", "ok").collect()}
+    assert [got[i] for i in range(6)] == [(True, "closed")] * 2 + [(True, "open")] + [(False, "open")] * 3
+    assert [got[i] for i in (6, 7)] == [(True, "closed")] * 2
+    used = {r.i: r.used for r in st.quota(df, "k", "t", "i", 4, 1).collect()}
+    assert [used[i] for i in range(8)] == [1, 2, 3, 4, 4, 4, 1, 2]
+
+
 def test_islands_early_stop_and_files(spark):
     df = frame(spark, [("a", i, float(i), ok) for i, ok in enumerate([True, False, False, True, False, False, False])])
     runs = sorted((r.length, r.first, r.last) for r in st.islands(df, "k", ["t", "i"], ~F.col("ok")).collect())
