@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import os
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Rows in one Arrow batch sent to Python, so that a batch of long texts stays small.
 BATCH_ROWS = 512
+#: Keys that are broadcast because each holds a large share of all rows; fewer than this.
+HOT_KEYS = 4096
 #: Narrow rows in one file of a stored table.
 ROWS_PER_FILE = 200_000
 #: Characters that a vectorised step handles at once.
@@ -29,7 +36,7 @@ def shared_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not (root := sc.getCheckpointDir()):
             root = os.path.join(tempfile.gettempdir(), "checkpoints", "shelfmark")
@@ -49,7 +56,7 @@ def workspace(spark: SparkSession, what: str) -> str:
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of ``workspace`` early."""
+    """Deletes a folder under ``workspace`` that no table reads any more."""
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
@@ -61,16 +68,66 @@ def stored(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
     ``rows``, about how many narrow rows there are, keeps small tables in few files.
     """
     out = df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
-    out.write.mode("overwrite").parquet(path)
+    with small_batches(df.sparkSession):
+        out.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lowers the session's Arrow batch length to ``rows`` if it is larger."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """What runs inside sends Python at most ``rows`` rows at once; the session's own setting comes back at the end."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
+    own = spark.conf.get(key)
+    if not 0 < int(own) <= rows:
         spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
+def in_small_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
+    """``mapInArrow`` that shows ``run`` at most ``rows`` rows at a time.
+
+    Spark bounds the bytes of a batch; the session's settings stay as they are.
+    """
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.slice(i, rows) for batch in batches for i in range(0, max(batch.num_rows, 1), rows))
+
+    return df.mapInArrow(sliced, schema)
+
+
+def lookup(rows: DataFrame, facts: DataFrame, keys: list[str], total: int, spread: Column, how: str = "left") -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row a key and in ``n`` the number of rows that hold it.
+
+    Keys that hold over 1 / ``HOT_KEYS`` of ``total`` rows, so fewer than ``HOT_KEYS`` of
+    them, are broadcast; all other rows meet their key in a shuffle in which no key is
+    large.  There the rows of hot keys and those with a null key are dealt by ``spread``, a
+    hash of the row.
+    """
+    named = [c for c in facts.columns if c not in keys and c != "n"]
+    most = max(total // HOT_KEYS, 1)
+
+    def side(part: DataFrame, mark: str) -> DataFrame:
+        return part.select(*[F.col(k).alias(f"{mark}{k}") for k in keys], F.struct(F.lit(True).alias("_"), *named).alias(f"{mark}found"))
+
+    hot, rest = side(facts.filter(F.col("n") > most), "_h"), side(facts.filter(F.col("n") <= most), "_r")
+    same = functools.reduce(Column.__and__, [F.col(k) == F.col(f"_h{k}") for k in keys])
+    out = rows.join(F.broadcast(hot), same, "left")
+    known = F.col("_hfound").isNotNull()
+    for k in keys:
+        known = known | F.col(k).isNull()
+    # a row that is to meet nothing has a null key, which matches none, and a deal that places it
+    out = out.withColumn("_deal", F.when(known, spread).otherwise(F.lit(0).cast("long"))).withColumns({f"_k{k}": F.when(~known, F.col(k)) for k in keys})
+    rest = rest.withColumn("_rdeal", F.lit(0).cast("long"))
+    same = F.col("_deal") == F.col("_rdeal")
+    for k in keys:
+        same = same & (F.col(f"_k{k}") == F.col(f"_r{k}"))
+    out = out.join(rest, same, "left").withColumn("_found", F.coalesce("_hfound", "_rfound"))
+    if how == "inner":
+        out = out.filter("_found is not null")
+    return out.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in named])
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -4,11 +4,14 @@ Each document's token ids are cut into pieces of binary length, the longest firs
 of ``max_tokens`` while they fit, then one piece for each bit of the rest.  A piece is a
 sequence of its own, equal lengths form a bucket, so no sequence crosses documents and
 none needs padding.  Sequence ids are dealt inside each input partition from a range of
-its own, so numbering needs no shuffle and a lost task gives the same ids again.
+its own, so numbering needs no shuffle.  A lost task that reads files gives the same ids
+again; behind a shuffle the order of rows, and so the ids, may differ between attempts, so
+write such an input first where ids have to last.
 
 Ids are those of the ``tokenizers`` file.  Plain texts go through the same vocabulary's
 rank file, which gives equal ids several times faster; texts with rarer characters or with
-very long runs without blanks go through ``tokenizers`` itself.  Tests compare the two.
+very long runs without blanks go through ``tokenizers`` itself.  Tests compare the two on
+every pair of admitted characters and on runs around the longest one.
 
 Defined cases: a null or empty text is the single closing id; repeated rows are packed
 each; special-token strings in a text are ordinary text; an empty table gives no pieces.
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, strings
+from .common import in_small_batches, strings
 
 MAX_TOKENS, CLOSING_ID = 2048, 1
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -79,8 +82,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
     ``ids`` holds little-endian unsigned 32-bit ids, ``bucket`` the power of two, ``offset``
     is 0 as a sequence holds one piece.
     """
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -98,7 +99,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
             kinds = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where, pa.int64())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return in_small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, SCHEMA)
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, small_batches, strings
+from .common import code_points, in_small_batches, strings
 
 VOCABULARY, DROPOUT, SEED = "piece_bpe_32k.model", 0.1, 17
 MARK = "▁"
@@ -304,8 +304,6 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``ids`` are little-endian unsigned 32-bit numbers; ``lossless`` says that they decode to
     the very text.
     """
-    small_batches(docs.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = MergeModel(vocabulary)
         for batch in batches:
@@ -320,17 +318,15 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_ids long, ids binary, ids_crc32 long, text_crc32 long, lossless boolean")
+    return in_small_batches(rows, run, "doc_id long, n_ids long, ids binary, ids_crc32 long, text_crc32 long, lossless boolean")
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """(doc_id, text) of rows with ids; null ids give the empty text."""
-    small_batches(encoded.sparkSession)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = MergeModel(vocabulary)
         for batch in batches:
             texts = [decode(model, np.frombuffer(x or b"", "<u4").astype(np.int64)).decode() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return in_small_batches(encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")), run, "doc_id long, text string")

@@ -48,3 +48,34 @@ def test_pack(spark):
         parts = sorted({(r.start, r.length, r.doc_tokens, bytes(r.ids)) for r in by[d]})
         assert b"".join(p[3] for p in parts) == np.array(ids, "<u4").tobytes() and {p[2] for p in parts} == {len(ids)}
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_both_engines_agree_on_every_pair_of_plain_characters():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    exact.encode_special_tokens = True
+    encode = packing.Encoder()
+    plain = [chr(c) for c in range(0x3000) if (c < 128 and c in packing._PLAIN_BYTES) or (c > 127 and packing._PLAIN_CHARS.fullmatch(chr(c)))]
+    assert len(plain) > 1000
+    for a in plain:
+        for text in (" ".join(a + b for b in plain), "\n".join(b + a for b in plain), "x" + "1".join(a + b + a for b in plain[::7])):
+            for piece in (text[i : i + 300] for i in range(0, len(text), 300)):
+                assert encode.fast.encode_ordinary(piece) == exact.encode(piece, add_special_tokens=False).ids, repr(piece)
+
+
+def test_engines_agree_around_the_longest_run():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    exact.encode_special_tokens = True
+    encode = packing.Encoder()
+    for unit in ("a", "ab1", "é", "ж", "-", "7", "'s", "the", "–", "xY."):
+        for n in (398, 399, 400, 401, 1200):
+            run = (unit * n).encode()[:n].decode(errors="ignore")
+            for text in (run, f"start {run} end", f"{run}\n{run}"):
+                ids = exact.encode(text, add_special_tokens=False).ids
+                assert encode(text).tolist() == ids
+                assert encode.fast.encode_ordinary(text) == ids
