@@ -2,8 +2,9 @@
 
 The writer turns page rows into ``response`` and ``revisit`` records, one gzip member each,
 in one archive per task (more when an archive grows past a limit).  An archive is written
-under a temporary name in the shared folder and renamed when complete, so a lost or
-repeated task leaves whole archives only.  The reader streams: 64 KiB of compressed bytes
+under a temporary name in the shared folder and renamed when complete, each attempt of a
+task to a name of its own; the manifest, which Spark commits once a task, says which
+attempt's archives count, so lost, repeated and speculative tasks do no harm.  The reader streams: 64 KiB of compressed bytes
 at a time, members inflated incrementally, blocks framed by Content-Length, payload and
 block digests verified as the bytes pass.
 
@@ -27,15 +28,15 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, utf8, workspace
+from .common import in_small_batches, lookup, stored, utf8, workspace
 
 MIN_BYTES = 100
 CHUNK = 1 << 16
 #: Longest header block that is read: three bytes for each of the 2^31 bytes that a url may have at most, and the other fields.
 HEADER_BYTES = 3 * (1 << 31) + CHUNK
+#: Longest HTTP head of a block.
+HTTP_HEAD_BYTES = 1 << 20
 ARCHIVE_BYTES = 256 << 20
-#: Parts into which the pages of one payload are dealt.
-SALTS = 16
 MANIFEST_FILES = 4
 DATE = "1970-01-01T00:00:00Z"
 
@@ -160,15 +161,18 @@ def read_records(stream, keep_payload: bool = False) -> Iterator[Record]:
         if not headers.get("content-length", "").isdigit():
             raise WarcError("a record has no Content-Length")
         block, payload, kept = hashlib.sha256(), hashlib.sha256(), []
-        length, size, http_head, inside = int(headers["content-length"]), 0, b"", False
+        length, size, http_head, inside = int(headers["content-length"]), 0, bytearray(), False
         for piece in members.exactly(length):
             block.update(piece)
             if not inside:
+                at = max(len(http_head) - 3, 0)
                 http_head += piece
-                at = http_head.find(b"\r\n\r\n")
+                at = http_head.find(b"\r\n\r\n", at)
                 if at < 0:
+                    if len(http_head) > HTTP_HEAD_BYTES:
+                        raise WarcError("a block's HTTP head is too long")
                     continue
-                piece, http_head, inside = http_head[at + 4 :], http_head[: at + 4], True
+                piece, http_head, inside = bytes(http_head[at + 4 :]), http_head[: at + 4], True
             payload.update(piece)
             size += len(piece)
             if keep_payload:
@@ -178,7 +182,7 @@ def read_records(stream, keep_payload: bool = False) -> Iterator[Record]:
             rest += more
         if rest != b"\r\n\r\n":
             raise WarcError("a record does not end after its block")
-        http = _fields(http_head)
+        http = _fields(bytes(http_head))
         if headers.get("warc-block-digest", "") not in ("", f"sha256:{block.hexdigest()}"):
             raise WarcError("a block does not have its digest")
         named = headers.get("warc-payload-digest", "").removeprefix("sha256:")
@@ -197,27 +201,23 @@ def _open(uri: str):
 def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
     """(page_id, url, html, first): ``first`` is the page that this one revisits, else null.
 
-    The smallest page_id of each payload comes from a partial aggregation over digests;
-    the pages of one payload are salted before they meet it, so no payload lands in one task.
+    The smallest page_id of each payload comes from a partial aggregation over digests; it
+    is broadcast for payloads of very many pages, so no payload's pages meet in one task.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.when(F.octet_length("html") >= min_bytes, F.unhex(F.sha2(F.encode("html", "UTF-8"), 256))))
     firsts = (
         rows.filter("digest is not null").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1 and first is not null")
-        .select(F.col("digest").alias("_digest"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     )
-    # a payload without digest joins nothing; its own hash spreads it
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
-    spread = F.coalesce(F.col("digest"), F.concat(F.lit(b"-"), F.col("page_id").cast("string").cast("binary"), F.lit(b"")))
-    joined = rows.withColumn("spread", spread).withColumn("salt", salt).join(firsts, (F.col("spread") == F.col("_digest")) & (F.col("salt") == F.col("_salt")), "left")
+    firsts = stored(firsts, workspace(pages.sparkSession, "payloads"))
+    total = firsts.agg(F.sum("n")).first()[0] or 0
+    joined = lookup(rows, firsts, ["digest"], total, F.xxhash64("page_id", "url"))
     return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
 
 
 def write_archives(plan: DataFrame, folder: str, level: int = 6, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the planned records under ``folder``; returns (archive, records, bytes) of each archive."""
-    small_batches(plan.sparkSession, 256)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -229,7 +229,7 @@ def write_archives(plan: DataFrame, folder: str, level: int = 6, archive_bytes:
         def close():
             nonlocal out, number
             out[0].close()
-            final = f"{root}/part-{task.partitionId():06d}-{number:04d}.warc.gz"
+            final = f"{root}/part-{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}.warc.gz"
             files.move(out[1], final)
             done.append((f"{folder}/{final.rpartition('/')[2]}", out[2], out[3]))
             out, number = None, number + 1
@@ -251,7 +251,7 @@ def write_archives(plan: DataFrame, folder: str, level: int = 6, archive_bytes:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.int64()], strict=True)], ["archive", "records", "bytes"])
 
     # one short row for each archive: a few files hold them all
-    return stored(plan.mapInArrow(run, "archive string, records long, bytes long").repartition(MANIFEST_FILES), f"{folder}/manifest")
+    return stored(in_small_batches(plan, run, "archive string, records long, bytes long", 256).repartition(MANIFEST_FILES), f"{folder}/manifest")
 
 
 def read_archives(manifest: DataFrame, keep_payload: bool = False) -> DataFrame:
@@ -283,10 +283,14 @@ def read_archives(manifest: DataFrame, keep_payload: bool = False) -> DataFrame:
                 if rows:
                     yield out(rows)
 
-    spark = manifest.sparkSession
     tasks = max(1, min(manifest.count(), 100_000))
-    small_batches(spark)
-    return manifest.select("archive").repartition(tasks, "archive").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return in_small_batches(manifest.select("archive").repartition(tasks, "archive"), run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+
+
+def unfounded_revisits(records: DataFrame) -> DataFrame:
+    """The revisits among read records whose named page is no response with the same payload digest and length."""
+    said = records.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    return records.filter("record_type = 'revisit'").join(said, ["refers_to", "payload_digest", "payload_bytes"], "left_anti")
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
