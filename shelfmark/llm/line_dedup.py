@@ -1,14 +1,18 @@
 """Line deduplication in DataFrame functions only.
 
-Lines are exploded and reduced to two 64-bit hashes of their normalised key; documents per
-hash pair are counted in two partial aggregations (first per line and document, then per
-line), so a line that a third of all documents hold never meets in one task.  Only hashes
-and positions travel; each text is shuffled at most once, and only to meet its own drops.
+Lines are exploded once, reduced to two 64-bit hashes of their normalised key and written,
+narrow, to the work folder.  One aggregation finds each line's rows, its largest document
+and a set of 64 document buckets, so a line that a third of all documents hold is one row of
+every task before anything is shuffled.  As many buckets as documents wanted prove a line
+frequent; the documents of the few other repeated lines are counted one by one.  Lines then
+look their keeper up: very frequent ones in a broadcast of bounded size, the others in a
+shuffle.  Each text is shuffled at most once, and only to meet its own drops.
 
 Defined cases: a null or empty text is one empty line; a text whose lines all go becomes
 the empty text; rows that share doc_id and text are treated alike and all stay; rows that
 share a doc_id count as one document; a row without doc_id keeps all its lines and counts
-for no line.  Other columns are passed through or ignored, whatever their names.
+for no line; a line of any length is one line.  Other columns are passed through or
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lookup, stored, workspace
+
 BLANKS = "\t\n\x0b\x0c\r "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Parts into which the partners of one line are dealt when drops are looked up.
-SALTS = 16
+#: Buckets of documents that a line's set has.
+DOC_BUCKETS = 64
 
 
 def ascii_lower(text: Column) -> Column:
@@ -33,6 +39,7 @@ def _row_key(text: Column) -> Column:
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc_id, row_key, drops): positions of the lines that each row loses; rows that lose none are absent."""
+    path = workspace(docs.sparkSession, "lines")
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = (
         docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
@@ -42,19 +49,17 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .filter(F.length("key") >= min_chars)
         .select("doc_id", "row_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
     )
-    frequent = (
-        lines.select("h1", "h2", "doc_id").distinct()
-        .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
-        .filter(F.col("n") >= min_docs)
-        .select("h1", "h2", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    return (
-        lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        .join(frequent, ["h1", "h2", "salt"])
-        .filter(F.col("doc_id") != F.col("keeper"))
-        .groupBy("doc_id", "row_key")
-        .agg(F.collect_set("pos").alias("drops"))
-    )
+    lines = stored(lines, f"{path}/lines")
+    bucket = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {DOC_BUCKETS}) as int))")
+    repeated = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"), F.bit_count(F.bit_or(bucket)).alias("buckets"))
+    repeated = stored(repeated.filter(F.col("n") >= min_docs), f"{path}/repeated")
+    sure, open_ = repeated.filter(F.col("buckets") >= min_docs), repeated.filter(F.col("buckets") < min_docs)
+    counted = lines.join(open_.select("h1", "h2"), ["h1", "h2"], "left_semi").select("h1", "h2", "doc_id").distinct()
+    counted = counted.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= min_docs).select("h1", "h2")
+    frequent = sure.unionByName(open_.join(counted, ["h1", "h2"], "left_semi")).select("h1", "h2", "n", "keeper")
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    found = lookup(lines, frequent, ["h1", "h2"], total, F.xxhash64("doc_id", "pos"), "inner")
+    return found.filter(F.col("doc_id") != F.col("keeper")).groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("drops"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -70,7 +75,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select(F.col(f"row.{id_col}").alias("doc_id"), _row_key(text).alias("row_key"), "row")
     lines = F.split(text, "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops")), lambda i: F.get(lines, i))
-    return rows.join(drops.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("row_key") == F.col("_key")), "left").select(
+    return rows.join(drops, (F.col("doc_id") == F.col("_id")) & (F.col("row_key") == F.col("_key")), "left").select(
         "doc_id",
         "row",
         F.when(F.col("drops").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
