@@ -12,6 +12,8 @@ Equal fingerprints are one class before any pair is looked at, keys held by many
 are dealt out as pairs of bounded blocks, and a block pair yields a spanning forest, at
 most one edge a member, never its pairs.  Components come from alternating star
 contractions over written tables; nothing that grows with the corpus reaches the driver.
+Rows meet their class, their key or their hub in a lookup that broadcasts only the few very
+frequent ones, so none is met by one task.
 
 Defined cases: a text that is null or holds no word has fingerprint 0 and links like any
 other; one or two words form one shingle; repeated rows get equal results; a row without
@@ -29,14 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, small_batches, stored, utf8, workspace
+from .common import ASCII_LOWER, discard, in_small_batches, lookup, stored, utf8, workspace
 
 SEGMENT, SEGMENTS, MAX_BITS = 16, 4, 3
 #: Running budgets of a chain of one to four segments.
 BUDGETS = tuple(MAX_BITS * n // SEGMENTS for n in range(1, SEGMENTS + 1))
 #: Members of one block of a frequent key; two blocks at most meet in one comparison.
 BLOCK = 1024
-SALTS = 8
 #: Shingles hashed before their bits are summed.
 SHINGLE_CHUNK = 1 << 16
 
@@ -64,14 +65,14 @@ def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint of every row as a signed long."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(x) for x in utf8(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return in_small_batches(rows, run, "doc_id long, fp long")
 
 
 def _turn(fp, segment: int):
@@ -150,11 +151,9 @@ def forest(group: np.ndarray, fp: np.ndarray, start: np.ndarray) -> tuple[np.nda
 def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): edges between class representatives that span every component of the links."""
     keys = ring_keys(classes)
-    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    counts = counts.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     dealt = (
-        keys.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-        .join(counts, ["key", "salt"])
+        lookup(keys, counts, ["key"], 2 * SEGMENTS * classes.count(), F.xxhash64("fp", "key"), "inner")
         .withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "rep")
@@ -201,21 +200,26 @@ def components(edges: DataFrame, path: str, nodes: int | None = None, rounds: in
     def key(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
+    def turned(e: DataFrame, total: int) -> DataFrame:
+        """(a, b, m): the edges with the smallest node ``m`` that ``a`` has as neighbour."""
+        low = e.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        return lookup(e, low, ["a"], total, F.xxhash64("a", "b"))
+
     # an edge is kept as (larger, smaller)
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), f"{path}/round-0", nodes)
     mark = key(now)
     for i in range(1, rounds + 1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.join(low, both.a == low.n).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        small_low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        turned = large.join(small_low, large.a == small_low.n)
-        small = turned.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_low.select(F.col("n").alias("a"), F.col("m").alias("b")))
+        large = turned(both, 2 * mark[0]).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a <> b").distinct()
+        # the smallest neighbour itself gives the edge that keeps the node; any other gives the edge between the two
+        small = turned(large, mark[0]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         new = stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{path}/round-{i}", mark[0])
         new_mark = key(new)
-        if new_mark == mark:
+        discard(edges.sparkSession, f"{path}/round-{i - 1}")
+        now, done = new, new_mark == mark
+        if done:
             break
-        now, mark = new, new_mark
+        mark = new_mark
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -226,28 +230,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     path = workspace(docs.sparkSession, "simhash")
     rows = stored(fingerprints(docs, id_col, text_col), f"{path}/rows")
     n = rows.count()
-    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), f"{path}/classes", n)
+    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), f"{path}/classes", n)
     edges = links(classes.filter("rep is not null"), block)
     # one doc_id may stand in several classes; its edges then meet in the same node
-    stars = components(edges, path, n)
+    stars = components(edges, f"{path}/stars", n)
     same = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").limit(1)
     if not same.isEmpty():
-        shared = rows.join(classes, "fp").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-        stars = components(stored(edges.unionByName(shared), f"{path}/all-edges", n), f"{path}/again", n)
-    owned = stored(classes.join(stars, classes.rep == stars.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id")), f"{path}/owned", n)
-    return rows.join(owned, "fp").select("doc_id", "fp", "component_id")
+        shared = lookup(rows, classes, ["fp"], n, F.xxhash64("doc_id")).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        stars = components(edges.unionByName(shared), f"{path}/stars-again", n)
+    owned = stored(classes.join(stars, classes.rep == stars.node, "left").select("fp", "n", F.coalesce("root", "rep").alias("component_id")), f"{path}/owned", n)
+    for used in ("classes", "stars", "stars-again"):
+        discard(docs.sparkSession, f"{path}/{used}")
+    return lookup(rows, owned, ["fp"], n, F.xxhash64("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id.
 
-    Of rows that share this doc_id the one with the smallest text hash stays; rows without
-    doc_id all stay.
+    Of rows that share this doc_id the one with the smallest text hash stays, then the one
+    whose row is smallest as JSON; rows without doc_id all stay.
     """
     found = near_duplicates(docs, id_col, text_col, block)
     heads = found.filter("doc_id = component_id").select(F.col("doc_id").alias("head")).distinct()
     # each row travels as one struct, so no column name of the table can clash
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    order = Window.partitionBy("head").orderBy(F.xxhash64(F.col(f"row.`{text_col}`")))
+    order = Window.partitionBy("head").orderBy(F.xxhash64(F.col(f"row.`{text_col}`")), F.to_json("row"))
     kept = rows.join(heads, F.col(f"row.`{id_col}`").cast("long") == F.col("head")).withColumn("place", F.row_number().over(order)).filter("place = 1")
     return kept.select("row.*").unionByName(docs.filter(F.col(id_col).isNull()))
