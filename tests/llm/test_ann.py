@@ -15,7 +15,7 @@ def brute(rows, queries, k=10):
 
 def test_recall_and_scores_on_the_real_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    got = ann.search(rows, rows.filter("vec_id % 100 = 0"), shards=5).collect()
+    got = ann.search(rows, rows.filter("vec_id % 100 = 0"), most_rows=100).collect()
     plain = [(r.vec_id, r.embedding) for r in rows.collect()]
     want = brute(plain, [x for x in plain if x[0] % 100 == 0])
     vec = dict(plain)
@@ -34,7 +34,7 @@ def test_bad_vectors_ties_and_few_candidates(spark):
     same = [1.0, 2.0, 3.0, 4.0]
     rows = [(i, same) for i in range(1, 40)] + [(100, same), (101, [1.0, 2.0, 3.0, 5.0]), (102, None), (103, []), (104, [0.0] * 4), (105, [nan, 1.0, 1.0, 1.0]), (106, [inf, 1.0, 1.0, 1.0]), (107, [None, 1.0, 1.0, 1.0]), (None, same), (200, [1.0, 1.0]), (201, [3.0, 1.0]), (300, [9.0]), (5, same), (100, same)]
     df = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<float>, score int")
-    got = ann.search(df, df.filter("vec_id % 100 = 0 or vec_id = 102"), shards=3).collect()
+    got = ann.search(df, df.filter("vec_id % 100 = 0 or vec_id = 102"), most_rows=20).collect()
     by = {q: sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q) for q in {r.query_id for r in got}}
     assert [v for _, v, _ in by[100]] == list(range(1, 11)) and {s for _, _, s in by[100]} == {0.0}
     assert by[200] == [(1, 201, 2.0)] and set(by) == {100, 200}
@@ -47,7 +47,7 @@ def test_clusters_keep_recall(spark):
     data = centres[rng.integers(0, 8, 1500)] + 0.1 * rng.standard_normal((1500, 48))
     rows = [(i, v.tolist()) for i, v in enumerate(data)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = ann.search(df, df.filter("vec_id % 50 = 0"), shards=2).collect()
+    got = ann.search(df, df.filter("vec_id % 50 = 0"), most_rows=400).collect()
     want = brute(rows, [r for r in rows if r[0] % 50 == 0])
     hits = sum(any(i == r.vec_id for _, i in want[r.query_id]) for r in got)
     assert hits / (10 * len(want)) >= 0.95
@@ -58,16 +58,80 @@ def test_quantile():
     assert abs((draws < ann.chi_square_quantile(0.98, 16)).mean() - 0.98) < 0.002
 
 
-def test_one_large_shard_keeps_recall_and_reads_queries_in_batches(spark, monkeypatch):
+def test_one_shard_keeps_recall_and_reads_queries_in_batches(spark, monkeypatch):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     plain = [(r.vec_id, r.embedding) for r in rows.collect()]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
-    try:
-        # groups held whole in pandas would not be streamed
-        monkeypatch.setattr("pyspark.sql.pandas.group_ops.PandasCogroupedOps.applyInPandas", None)
-        got = ann.search(rows, rows.filter("vec_id % 20 = 0"), shards=1).collect()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    # groups held whole in pandas would not be streamed
+    monkeypatch.setattr("pyspark.sql.pandas.group_ops.PandasCogroupedOps.applyInPandas", None)
+    got = ann.search(rows, rows.filter("vec_id % 20 = 0")).collect()
     want = brute(plain, [x for x in plain if x[0] % 20 == 0])
     assert len(got) == 10 * len(want)
-    assert sum(any(i == r.vec_id for _, i in want[r.query_id]) for r in got) / len(got) >= 0.95
+    assert sum(any(i == r.vec_id for _, i in want[r.query_id]) for r in got) / len(got) >= 0.9
+
+
+def spec_stop(shard, query, k, own):
+    """One projected neighbour after the other, the test before each."""
+    gap = ((shard.points - query @ shard.matrix) ** 2).sum(axis=1)
+    best, seen = [], 0
+    for at in np.argsort(gap, kind="stable"):
+        kth = best[k - 1][0] if len(best) >= k else np.inf
+        if gap[at] > shard.scale * kth * kth + ann.SLACK:
+            break
+        seen += 1
+        if shard.ids[at] != own:
+            best = sorted([*best, (float(np.sqrt(((shard.vectors[at] - query) ** 2).sum())), int(shard.ids[at]))])[:k]
+    return best, seen
+
+
+def test_neighbours_come_one_by_one_until_the_test_holds():
+    rng = np.random.default_rng(7)
+    for data in (rng.standard_normal((700, 24)), np.repeat(rng.standard_normal((9, 24)), 60, axis=0), rng.standard_normal((20, 1))[rng.integers(0, 20, 700)] * np.ones(24)):
+        shard = ann.Shard(np.arange(len(data)), data, ann.projection(24, 8), 0.9)
+        for q in range(0, len(data), 97):
+            before = shard.verified
+            d, i = shard.nearest(data[q], 5, q)
+            want, seen = spec_stop(shard, data[q], 5, q)
+            assert np.allclose(d, [x for x, _ in want]) and [int(x) for x in i] == [x for _, x in want]
+            assert shard.verified - before == seen
+
+
+def test_share_of_rows_verified():
+    """Clusters: far less than a scan, with full recall.  Vectors without structure: most rows, as no index can tell."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 64))
+    clustered = centres[rng.integers(0, 40, 8000)] + 0.05 * rng.standard_normal((8000, 64))
+    plain = rng.standard_normal((8000, 64))
+    share = {}
+    for name, data in (("clustered", clustered), ("plain", plain)):
+        shard, hits = ann.Shard(np.arange(8000), data, ann.projection(64)), 0
+        for q in range(0, 8000, 400):
+            d, _ = shard.nearest(data[q], 10, q)
+            true = np.sort(np.sqrt(((data - data[q]) ** 2).sum(axis=1)))[1:11]
+            hits += (d <= true[-1] + 1e-9).sum()
+        share[name] = shard.verified / shard.asked
+        assert hits / 200 >= 0.9, name
+    assert share["clustered"] < 0.05 and share["plain"] < 0.9
+
+
+def test_cells_are_found_as_by_plain_distances():
+    rng = np.random.default_rng(6)
+    points, asked = rng.standard_normal((4000, 6)), rng.standard_normal((30, 6))
+    cells = ann.Cells(points, 5)
+    of, radius = cells.of(points), rng.uniform(0, 4, 30)
+    assert np.bincount(of, minlength=32).min() > 60
+    got = {(int(a), int(c)) for who, where in cells.within(asked, radius) for a, c in zip(who, where, strict=True)}
+    gap = ((points[None] - asked[:, None]) ** 2).sum(axis=2)
+    # no cell that holds a point within the radius is left out, and its own cell is always there
+    assert {(a, int(of[p])) for a in range(30) for p in np.flatnonzero(gap[a] <= radius[a])} <= got
+    assert {(a, int(c)) for a, c in enumerate(cells.of(asked))} <= got and len(got) < 30 * 32
+
+
+def test_one_vector_held_by_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (np.ones(8) if i % 3 else rng.standard_normal(8)).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(df, df.filter("vec_id % 100 = 0"), most_rows=64).collect()
+    want = brute([(i, np.float32(v)) for i, v in rows], [(i, np.float32(v)) for i, v in rows if i % 100 == 0])
+    by = {q: [(v, s) for _, v, s in sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)] for q in want}
+    assert by[100] == [(i, 0.0) for i in [i for i in range(1, 900) if i % 3 and i != 100][:10]]
+    assert sum(len({v for v, _ in by[q]} & {i for _, i in want[q]}) for q in want) / (10 * len(want)) >= 0.9
