@@ -1,12 +1,14 @@
 """URL filtering: host and path rules, then logistic regression on hashed character n-grams.
 
 The classifier is trained on the driver from a small labelled URL table (below, or the
-caller's); its weights, a fixed 2^16 numbers, travel with the task.  Rules are found by
-looking up each suffix of the host, so their number does not matter.
+caller's); its weights, a fixed 2^16 numbers, travel with the task.  A batch's n-grams are
+hashed and summed at once.  Rules are found by looking up each suffix of the host, so their
+number does not matter.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and gets the
 method's verdict on nothing, which is allow; ties between rules of equal length go to the
-first in the list; repeated rows get equal verdicts; other columns are ignored.
+first in the list; a url of any length is read whole; repeated rows get equal verdicts;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,36 +22,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SparseRows, fit_logistic, sigmoid, small_batches
+from .common import SparseRows, fit_logistic, in_small_batches, sigmoid
 
 BUCKETS = 1 << 16
 ORDERS = (3, 4, 5)
+STEPS = 200
+PATH_WEIGHT = 0.25
+#: Share of urls to block that the classifier is trained for.
+BLOCKED_SHARE = 0.4
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-#: The labelled table: 1 marks urls to block (spam, gambling, adult, tracking), 0 others.
-LABELLED = tuple(
-    [(u, 1) for u in (
-        "http://cheap-pills.example.com/en/12", "http://www.cheap-meds.example.com/buy", "http://pills-online.example.org/order?id=3", "http://viagra-shop.example.com/", "http://discount-pharmacy.example.org/pills/7",
-        "http://cheap-watches.example.org/sale", "http://replica-bags.example.com/cheap", "http://casino-win.example.com/en/8", "http://online-casino.example.org/slots", "http://best-casino.example.com/bonus",
-        "http://poker-cash.example.com/play", "http://jackpot-slots.example.org/en/4", "http://free-bets.example.com/odds/2", "http://bets-now.example.org/sport", "http://betting-tips.example.com/en/77",
-        "http://lottery-win.example.com/claim", "http://spam-farm.example.com/en/9", "http://link-farm.example.org/page/1", "http://spam-blog.example.com/post", "http://seo-links.example.com/buy-links",
-        "http://adult-x.example.com/en/3", "http://adult-cams.example.org/live", "http://xxx-videos.example.com/free", "http://porn-tube.example.org/watch/5", "http://sex-chat.example.com/room",
-        "http://hot-singles.example.org/meet", "http://escort-girls.example.com/city", "http://ads-track.example.com/pixel", "http://ad-click.example.org/track?u=1", "http://click-track.example.com/redirect",
-        "http://track-pixel.example.org/en/6", "http://popup-ads.example.com/show", "http://free-money.example.org/now", "http://payday-loans.example.com/apply", "http://quick-cash.example.org/loan",
-        "http://crypto-profit.example.com/join", "http://free-iphone.example.org/claim", "http://warez-crack.example.com/keygen", "http://torrent-free.example.org/download", "http://phish-login.example.com/verify-account",
-    )]
-    + [(u, 0) for u in (
-        "http://tionble.example.com/en/12", "http://www.thering.example.org/en/45", "http://ththan.example.com/fr/9", "http://blog.therou.example.org/de/3", "http://m.tiontion.example.com/es/88",
-        "http://therati.example.org/en/734", "http://thersh.example.com/de/5.html", "http://ththis.example.org/es/61", "http://www.ththe.example.com/fr/230", "http://blog.thent.example.com/en/17",
-        "http://news.example.com/2020/05/article", "http://www.example.org/about", "http://docs.example.com/guide/install", "http://wiki.example.org/wiki/History", "http://library.example.org/catalogue/item/5",
-        "http://university.example.org/research/papers", "http://blog.example.com/2019/travel-notes", "http://museum.example.org/exhibits", "http://recipes.example.com/soup", "http://weather.example.com/today",
-        "http://garden.example.org/plants/roses", "http://school.example.org/timetable", "http://city.example.com/council/minutes", "http://physics.example.org/lectures/3", "http://poetry.example.org/poems/42",
-        "http://www.example.com/en/products/lamp", "http://forum.example.org/thread/991", "http://music.example.com/albums/folk", "http://history.example.org/fr/revolution", "http://hospital.example.org/departments",
-        "http://science.example.com/de/artikel", "http://press.example.org/releases/12", "http://archive.example.org/texts/1890", "http://maps.example.com/route", "http://data.example.org/tables/3",
-        "http://open-data.example.org/sets/4", "http://slow-food.example.com/en/1", "http://travel-notes.example.org/fr/8", "http://law.example.org/cases/2001", "http://books.example.com/es/novela", "http://math.example.org/proofs/primes", "http://radio.example.com/schedule", "http://art.example.org/en/gallery",
-    )]
-)
+#: What hosts to block are about: gambling, medicine, adult, link and tracking farms, fraud.
+BLOCKED_WORDS = (
+    "casino slots jackpot poker bets betting lotto roulette bingo pills viagra cialis pharmacy weightloss replica loans payday adult dating xxx porn sex webcam escort nude singles "
+    "linkfarm spam backlinks clicks popup ads adserver tracker tracking redirect banner freemoney cash winner prize giveaway crypto forex phish warez crack keygen torrent"
+).split()
+#: What other hosts are about, and syllables that names without any meaning are made of.
+ALLOWED_WORDS = (
+    "library museum history archive books review poetry maps atlas recipes food garden roses birds mountain sailing cycling travel railway weather physics math chemistry astronomy geology medicine hospital clinic school "
+    "university college research science news herald post times radio film theatre orchestra music art gallery photography council parliament law courts data statistics census energy water forestry fisheries farmers woodwork "
+    "ceramics textiles architecture housing kitchen bakery coffee tea brewery software docs wiki manuals forum community charity parish genealogy castle harbour lighthouse ferry airport trains bridges rivers lakes"
+).split()
+#: What both are combined with.
+COMPANIONS = "online best my free world city shop club king royal easy quick daily top one net blog 24 home star".split()
+SYLLABLES = "ar ath ble cor dan en er eth fal gor ha hin ing is ka la len lor ly man mer mon nd nor on or ost per ra ren rin ros sel sh son sta ter tha the ti tion tor und ver vin wen wh zor".split()
+HOST_ENDS = ("example.com", "example.org", "example.net", "com", "org", "net", "info", "example.com")
+HOST_STARTS = ("", "www.", "m.", "blog.", "news.")
+PATHS = ("/", "/en/{0}", "/de/{0}.html", "/fr/{0}?page=2", "/es/{0}/", "/articles/{0}", "/page/{0}#top", "/2021/05/{0}", "/index.php?id={0}", "")
+
+
+def labelled_urls() -> tuple[tuple[str, int], ...]:
+    """The labelled table: 1 marks urls to block, 0 others.  Ends and paths are dealt by a hash of the name, so only names tell."""
+    made = ["".join(SYLLABLES[(7 * i + 11 * k + i * k * k) % len(SYLLABLES)] for k in range(2 + i % 3)) for i in range(120)]
+
+    def names(words: list[str], each: int) -> list[str]:
+        """Every word with a few companions, before or after it, with a hyphen or without."""
+        out = []
+        for i, word in enumerate(words):
+            for k in range(each):
+                other = COMPANIONS[(5 * i + 3 * k) % len(COMPANIONS)]
+                out.append(("-" if (i + k) % 2 else "").join((other, word) if zlib.crc32(word.encode()) + k & 1 else (word, other)))
+        return out
+
+    out = []
+    for label, hosts in ((1, names(BLOCKED_WORDS, 6)), (0, names(ALLOWED_WORDS, 4) + made)):
+        for i, name in enumerate(hosts):
+            h = zlib.crc32(name.encode())
+            host = f"{HOST_STARTS[h % 5]}{name}.{HOST_ENDS[h // 5 % 8]}"
+            out.append((f"http{'s' * (h // 400 % 2)}://{host}{PATHS[h // 40 % 10].format(i * 37 % 1000)}", label))
+    return tuple(out)
+
+
+LABELLED = labelled_urls()
 
 
 @dataclass
@@ -102,47 +127,73 @@ def match_rule(table: dict, host: str, path: str) -> tuple[str | None, str | Non
     return (best[1], best[2]) if best else (None, None)
 
 
-def features(host: str, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of ``^host$`` and of the path, each kind scaled to unit length."""
-    index, value = [], []
-    for kind, text in ((b"h", f"^{host}$"), (b"p", f"{path}$")):
-        raw = text.encode("utf-8", "replace")
-        grams = [zlib.crc32(kind + raw[i : i + n]) % BUCKETS for n in ORDERS for i in range(len(raw) - n + 1)]
-        if grams:
-            at, n = np.unique(np.array(grams, np.int64), return_counts=True)
-            index.append(at)
-            value.append(n / np.sqrt((n * n).sum()) * (1.0 if kind == b"h" else 0.5))
-    return (np.concatenate(index), np.concatenate(value)) if index else (np.zeros(0, np.int64), np.zeros(0))
-
-
-def fit(labelled=LABELLED, ridge: float = 1e-3) -> UrlModel:
+def _grams(texts: list[bytes], salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, buckets) of every n-gram of every text, each hashed with its length and ``salt``."""
+    flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint32)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    rows, buckets = [], []
+    for n in ORDERS:
+        m = len(flat) - n + 1
+        if m <= 0:
+            break
+        h = np.full(m, (salt * 31 + n) * 0x27D4EB2F & 0xFFFFFFFF, np.uint32)
+        for k in range(n):
+            h = (h ^ flat[k : k + m]) * np.uint32(0x9E3779B1)
+            h ^= h >> np.uint32(15)
+        inside = owner[:m] == owner[n - 1 :]
+        rows.append(owner[:m][inside])
+        buckets.append((h[inside] % np.uint32(BUCKETS)).astype(np.int64))
+    return (np.concatenate(rows), np.concatenate(buckets)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, buckets, values): n-grams of each ``^host$`` and path, each kind scaled to unit length, a path's weighing less."""
+    out = []
+    for salt, weight, texts in ((1, 1.0, [f"^{h}$" for h in hosts]), (2, PATH_WEIGHT, [f"{p}$" for p in paths])):
+        row, bucket = _grams([t.encode("utf-8", "replace") for t in texts], salt)
+        key, n = np.unique(row * BUCKETS + bucket, return_counts=True)
+        row, bucket = key // BUCKETS, key % BUCKETS
+        length = np.sqrt(np.bincount(row, n.astype(float) ** 2, len(texts)))
+        out.append((row, bucket, weight * n / length[row]))
+    row, bucket, value = (np.concatenate(x) for x in zip(*out, strict=True))
+    return row, bucket, value
+
+
+def fit(labelled=LABELLED, ridge: float = 1e-5) -> UrlModel:
     """Trains on (url, blocked) pairs; the table is small and lives on the driver."""
-    rows = [features(*split_url(u)) for u, _ in labelled]
+    hosts, paths = zip(*(split_url(u) for u, _ in labelled), strict=True)
+    row, bucket, value = features(list(hosts), list(paths))
     y = np.array([b for _, b in labelled], float)
-    w, b = fit_logistic(SparseRows([r[0] for r in rows], [r[1] for r in rows], BUCKETS), y, np.ones(len(y)), ridge)
+    own = [np.flatnonzero(row == i) for i in range(len(y))]
+    weight = np.where(y == 1, BLOCKED_SHARE / max(y.sum(), 1), (1 - BLOCKED_SHARE) / max((1 - y).sum(), 1))
+    w, b = fit_logistic(SparseRows([bucket[i] for i in own], [value[i] for i in own], BUCKETS), y, weight, ridge, STEPS)
     return UrlModel(w.astype(np.float32), b)
 
 
+def probabilities(model: UrlModel, hosts: list[str], paths: list[str]) -> np.ndarray:
+    """Probability that each url is to be blocked; nothing to judge gives 0."""
+    row, bucket, value = features(hosts, paths)
+    p = sigmoid(np.bincount(row, model.weights[bucket] * value, len(hosts)) + model.intercept)
+    return np.where([bool(h) for h in hosts], p, 0.0)
+
+
 def probability(model: UrlModel, host: str, path: str) -> float:
-    """Probability that the url is to be blocked; nothing to judge gives 0."""
-    index, value = features(host, path)
-    return float(sigmoid(np.array([model.weights[index] @ value + model.intercept]))[0]) if host else 0.0
+    return float(probabilities(model, [host], [path])[0])
 
 
 def judge(pages: DataFrame, model: UrlModel | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, p_block) of every row; a rule overrides the model."""
-    small_batches(pages.sparkSession)
     model, table = model or fit(), rule_table(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            parts = [split_url(url) for url in batch.column(1).to_pylist()]
+            p = probabilities(model, [h for h, _ in parts], [x for _, x in parts]).tolist()
             out = []
-            for url in batch.column(1).to_pylist():
-                host, path = split_url(url)
+            for (host, path), q in zip(parts, p, strict=True):
                 rule, verdict = match_rule(table, host, path)
-                p = probability(model, host, path)
-                out.append((host, path, rule, verdict or ("block" if p >= model.threshold else "allow"), p))
+                out.append((host, path, rule, verdict or ("block" if q >= model.threshold else "allow"), q))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), t) for c, t in zip(columns, [pa.string()] * 4 + [pa.float64()], strict=True)]], ["page_id", "host", "path", "rule", "verdict", "p_block"])
 
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, p_block double")
+    return in_small_batches(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")), run, "page_id long, host string, path string, rule string, verdict string, p_block double")
