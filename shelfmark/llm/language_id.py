@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import char_chunks, code_points, small_batches, strings, sums
+from .common import char_chunks, code_points, in_small_batches, strings, sums
 
 BUCKETS = 1 << 17
 ORDERS = (1, 2, 3)
 #: Expected number of rows that each language is learned from.
 SAMPLE_PER_LANGUAGE = 4000
+#: Labels that a model may have; at 2^17 buckets they fill 64 MB.
+MOST_LANGUAGES = 128
 UNKNOWN = "und"
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _letters: np.ndarray | None = None
@@ -85,16 +87,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
     """Learns from rows outside the held-out quarter, about ``sample`` of each language.
 
     The sample is by a hash of doc_id; it bounds the driver's and the counting work alike.
+    Raises ValueError beyond ``most_languages`` labels, as the matrix grows with them.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = dict(sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect()))
+    counts = dict(sorted((r["lang"], r["count"]) for r in rows.groupBy("lang").count().limit(most_languages + 1).collect()))
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages; the model holds {BUCKETS} numbers for each of them")
     if not counts:
         return LanguageModel([], np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
     scale = 1 << 20
@@ -113,7 +116,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], ["lang", "bucket", "n"])
 
-    found = chosen.select("text", "lang").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = in_small_batches(chosen.select("text", "lang"), count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros((BUCKETS, len(languages)))
     total[found["bucket"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
     smooth = total + 0.1
@@ -141,7 +144,6 @@ def score(model: LanguageModel, texts: list[str]) -> tuple[list[str], np.ndarray
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,12 +152,11 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(p, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return in_small_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def with_known_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text has a language of the model, by a posterior of ``least`` at least."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -164,4 +165,4 @@ def with_known_language(docs: DataFrame, model: LanguageModel, text_col: str = "
             lang, p = score(shared.value, strings(batch.column(at)))
             yield batch.filter(pa.array((np.array(lang, object) != UNKNOWN) & (p >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs, run, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SparseRows, char_chunks, code_points, fit_logistic, fit_platt, sigmoid, small_batches, sums, utf8
+from .common import SparseRows, char_chunks, code_points, fit_logistic, fit_platt, in_small_batches, sigmoid, sums, utf8
 
 WORD_BUCKETS = CHAR_BUCKETS = 1 << 16
 #: Labelled rows that the model is trained on, for each label value at most.
@@ -177,24 +177,29 @@ def probabilities(model: QualityModel, texts: list[bytes], words: WordBatch) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_PER_LABEL) -> QualityModel:
-    """Trains on the ``sample`` labelled rows of each label with the smallest id hashes; a quarter of them calibrates."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    """Trains on the ``sample`` labelled ids of each label with the smallest hashes; a quarter of them calibrates.
+
+    Of several texts of an id the one with the smallest hash counts, so the driver holds at
+    most twice ``sample`` rows of features.
+    """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)")
     shares = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if len(shares) < 2:
         return QualityModel(None)
+    known = known.distinct()
     parts = [known.filter(F.col("y") == y).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(vectors(utf8(batch.column(3))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], ["doc_id", "y", "h", "index", "value"])
+            found = list(vectors(utf8(batch.column(1))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.astype(np.int32).tobytes() for a, _ in found], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())], ["doc_id", "index", "value"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    # the sample has at most twice ``sample`` rows of three numbers
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "h", "text").mapInArrow(run, "doc_id long, y int, h long, index binary, value binary").toArrow().to_pylist()
+    # the sample has at most twice ``sample`` rows of three numbers; each of its ids gives one text, however often it stands in ``docs``
+    wanted = texts.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = {r["doc_id"]: r for r in in_small_batches(wanted.select("doc_id", "text"), run, "doc_id long, index binary, value binary").toArrow().to_pylist()}
+    rows = [found[r["doc_id"]] | r.asDict() for r in chosen.collect() if r["doc_id"] in found]
     rows.sort(key=lambda r: (r["h"], r["doc_id"], r["y"], r["index"]))
     y = np.array([r["y"] for r in rows], float)
     late = np.array([r["h"] >> 3 & 3 == 0 for r in rows], bool)
@@ -243,7 +248,6 @@ SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_line
 
 def judge(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_PROBABILITY) -> DataFrame:
     """Counts, probability and verdict of every row."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,12 +256,11 @@ def judge(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
                 found = assess(shared.value, utf8(batch.column(1)), least)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.values())], ["doc_id", *found])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return in_small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, SCHEMA)
 
 
 def with_good_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", least: float = LEAST_PROBABILITY) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,4 +268,4 @@ def with_good_quality(docs: DataFrame, model: QualityModel, text_col: str = "tex
             if batch.num_rows:
                 yield batch.filter(pa.array(assess(shared.value, utf8(batch.column(at)), least)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs, run, docs.schema)

@@ -78,3 +78,39 @@ def test_long_text_in_chunks_scores_like_one(monkeypatch, docs):
     monkeypatch.setattr(lid, "char_chunks", lambda t, o: __import__("shelfmark.llm.common", fromlist=["x"]).char_chunks(t, o, 7))
     parts = lid.score(model, texts)
     assert whole[0] == parts[0]
+
+
+def test_counts_and_priors_against_a_plain_count(spark):
+    """Every n-gram of every learned text, counted one by one."""
+    rows = [(i, t, l) for i, (t, l) in enumerate([("Été, 12!", "fr"), ("ab  cd", "en"), ("a", "en"), ("ß-x", "de"), ("", "de"), (None, "fr"), ("öde", None)] * 3)]
+    model = lid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learned = [(t or "", l) for i, t, l in rows if l and zlib.crc32(str(i).encode()) % 4 != 2]
+    languages = sorted({l for _, l in learned})
+    counts = np.zeros((lid.BUCKETS, len(languages)))
+    for text, label in learned:
+        folded = "".join(c if c.isalpha() else " " for c in text.lower())
+        for n in (1, 2, 3):
+            for i in range(len(folded) - n + 1):
+                gram = folded[i : i + n]
+                if {1: gram == " ", 2: gram == "  ", 3: gram[1:2] == " "}[n]:
+                    continue
+                h = n * 0x27D4EB2F & 0xFFFFFFFF
+                for c, m in zip(gram, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), strict=False):
+                    h = (h ^ ord(c)) * m & 0xFFFFFFFF
+                    h ^= h >> 15
+                counts[h >> 3 & (lid.BUCKETS - 1), languages.index(label)] += 1
+    assert model.languages == languages
+    assert np.allclose(np.exp(model.prior), [sum(l == x for _, l in learned) / len(learned) for x in languages])
+    smooth = counts + 0.1
+    assert np.allclose(model.logp, np.log(smooth / smooth.sum(axis=0)), atol=1e-5)
+
+
+def test_ties_and_too_many_languages(spark):
+    rows = [(i, "same words", l) for i, l in enumerate(["bb", "aa"] * 40)]
+    even = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    half = min(sum(r[2] == x for r in even) for x in ("aa", "bb"))
+    even = [r for x in ("aa", "bb") for r in [r for r in even if r[2] == x][:half]]
+    docs = spark.createDataFrame(even, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in lid.predict(docs, lid.fit(docs)).collect()} == {"aa"}
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        lid.fit(docs, most_languages=1)

@@ -2,11 +2,13 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shelfmark.llm import quality as ql
 
@@ -64,3 +66,39 @@ def test_model_and_edge_cases(spark):
     assert ql.judge(odd.limit(0), model).count() == 0
     none = ql.fit(docs, labels.limit(0))
     assert none.weights is None and all(r.kept != r.base_failed for r in ql.judge(odd, none).collect())
+
+
+def plain_probability(model, text):
+    """The calibrated probability from plain sums over single n-grams."""
+    mask = 0xFFFFFFFF
+    words = [zlib.crc32(w.encode()) for w in re.findall("[^\x20\x09-\x0d]+", text)]
+    grams = [(h * 0x9E3779B1 & mask) >> 16 for h in words] + [((a * 0x85EBCA77 + b * 0xC2B2AE3D) & mask) >> 16 for a, b in zip(words, words[1:], strict=False)]
+    chars = []
+    for a, b, c in zip(text, text[1:], text[2:], strict=False):
+        h = (ord(a) * 0x9E3779B1 + ord(b) * 0x85EBCA77 + ord(c) * 0xC2B2AE3D) & mask
+        chars.append(ql.WORD_BUCKETS + (((h ^ (h >> 15)) * 0x27D4EB2F & mask) >> 16))
+    z = model.intercept + sum(sum(float(model.weights[g]) for g in kind) / max(len(kind), 1) for kind in (grams, chars))
+    return 1 / (1 + np.exp(-(model.slope * z + model.shift)))
+
+
+def test_probabilities_and_verdicts_against_plain_sums(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = ql.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in ql.judge(docs, model).collect():
+        p, (n, *_, repeats) = plain_probability(model, texts[r.doc_id]), spec(texts[r.doc_id])
+        assert abs(p - r.p_quality) < 1e-4
+        assert abs(p - 0.5) < 1e-4 or r.kept == (n >= 10 and 100 * repeats <= 20 * n and p >= 0.5)
+
+
+def test_an_id_that_repeats_gives_one_text(spark, monkeypatch):
+    docs = spark.range(5000).select((F.col("id") % 4).alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"))
+    labels = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (0, 0), (2, 0), (3, 1)], "doc_id long, quality int")
+    held = []
+    monkeypatch.setattr(ql, "fit_logistic", lambda x, y, *a, **k: held.append(x.n) or (np.zeros(x.width), 0.0))
+    monkeypatch.setattr(ql, "fit_platt", lambda z, y, w: held.append(len(z)) or (1.0, 0.0))
+    ql.fit(docs, labels)
+    assert sum(held) in (0, 5)  # one row for each label of each id, none where the fit gives up
+    held.clear()
+    ql.fit(docs, labels.unionByName(labels))
+    assert sum(held) in (0, 5)
