@@ -159,3 +159,41 @@ def resolve_settings(rows: DataFrame, settings: DataFrame, provider_col: str, na
 def resolved_threshold(own: Column, general: Column, default: float) -> Column:
     """The first of two texts that is a number, else the default."""
     return F.coalesce(own.try_cast("double"), general.try_cast("double"), F.lit(float(default)))
+
+
+# Download settings that a configuration leaves out.
+DOWNLOAD_DEFAULTS = {
+    "prefer_pdf_over_images": True, "download_manifest_renderings": True, "max_renderings_per_manifest": 1, "rendering_mime_whitelist": ["application/pdf", "application/epub+zip"],
+    "overwrite_existing": False, "include_metadata": True,
+}
+RESUME_MODES = ["skip_completed", "reprocess_all", "skip_if_has_objects", "resume_from_csv"]
+
+
+def download_settings(config: dict) -> dict:
+    return DOWNLOAD_DEFAULTS | (config.get("download") or {})
+
+
+def resume_mode(config: dict) -> str:
+    """How finished works are left out; an unknown mode is the first."""
+    mode = str((config.get("download") or {}).get("resume_mode") or RESUME_MODES[0]).lower()
+    return mode if mode in RESUME_MODES else RESUME_MODES[0]
+
+
+def whole_number(value, default: int | None) -> int | None:
+    try:
+        return int(value)
+    except (TypeError, ValueError):
+        return default
+
+
+def max_pages(config: dict, provider: str) -> int | None:
+    """Pages of a work that a provider may give; null for no limit.  Where pages are not named, images are."""
+    value = provider_setting(config, provider, "max_pages")
+    if value is None:
+        value = provider_setting(config, provider, "max_images")
+    return whole_number(value, None)
+
+
+def parallel_downloads(config: dict, override: int | None = None) -> int:
+    """Works downloaded side by side, one at least; an override of 0 leaves the setting."""
+    return max(1, whole_number(override or (config.get("download") or {}).get("max_parallel_downloads") or 1, 1))

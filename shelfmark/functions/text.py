@@ -248,3 +248,28 @@ def strip_tags(text: Column) -> Column:
 
 def fold_spanish(text: Column) -> Column:
     return F.translate(F.lower(text), "áéíóúüñ", "aeiouun")
+
+
+# Short names of providers in file names, and their display abbreviations.
+PROVIDER_SLUGS = {
+    "bnf_gallica": "gallica", "british_library": "bl", "mdz": "mdz", "europeana": "europeana", "wellcome": "wellcome", "loc": "loc", "ddb": "ddb", "polona": "polona", "bne": "bne", "dpla": "dpla",
+    "internet_archive": "ia", "google_books": "gb", "hathitrust": "hathi", "annas_archive": "annas", "slub": "slub", "e_rara": "erara", "sbb_digital": "sbb",
+}
+PROVIDER_ABBREVIATIONS = {
+    "gallica": "GAL", "british_library": "BL", "mdz": "MDZ", "europeana": "EUROPEANA", "wellcome": "WELLCOME", "loc": "LOC", "ddb": "DDB", "polona": "POLONA", "bne": "BNE", "dpla": "DPLA",
+    "internet_archive": "IA", "google_books": "GB", "bnf_gallica": "GAL", "hathitrust": "HATHI", "annas_archive": "ANNAS", "slub": "SLUB", "e_rara": "ERARA", "sbb_digital": "SBB",
+}
+
+
+def _named(key: Column, names: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[key]
+
+
+def provider_slug(preferred: Column, by_url: Column) -> Column:
+    """The short name of a provider in file names; one without a name of its own is its key in snake case."""
+    key = F.coalesce(F.nullif(preferred, F.lit("")), F.nullif(by_url, F.lit("")), F.lit("unknown"))
+    return F.coalesce(_named(key, PROVIDER_SLUGS), snake_case(key))
+
+
+def provider_abbreviation(key: Column) -> Column:
+    return F.coalesce(_named(key, PROVIDER_ABBREVIATIONS), F.upper(key))

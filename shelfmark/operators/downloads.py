@@ -45,19 +45,22 @@ def link_attempts(links: DataFrame, key: str, kind: str, order: str, most: int =
     return links.filter(place > 0).withColumn("attempt", F.row_number().over(w)).filter(F.col("attempt") <= most)
 
 
-def run_plan(tasks: DataFrame, provider: str, fetch: Callable[[dict], bool]) -> DataFrame:
-    """(task columns, ok): runs ``fetch`` for each task; a provider's tasks run one after the other.
+def run_plan(tasks: DataFrame, provider: str, fetch: Callable[[dict], object], out: str = "ok boolean") -> DataFrame:
+    """(task columns, ``out``): runs ``fetch`` for each task; a provider's tasks run one after the other.
 
     The tasks of one provider are streamed through one partition, as its servers want them
     one at a time; no task list is held in memory.
     """
 
+    columns, name = tasks.columns, out.split(" ")[0]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(ok=[bool(fetch(t)) for t in frame.to_dict("records")])
+            cells = zip(*[frame[c].tolist() for c in columns], strict=True)
+            yield frame.assign(**{name: [fetch(dict(zip(columns, t, strict=True))) for t in cells]})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema.fields)
-    return tasks.repartition(provider).mapInPandas(run, f"{schema}, ok boolean")
+    return tasks.repartition(provider).mapInPandas(run, f"{schema}, {out}")
 
 
 def outcomes(attempts: DataFrame, work: str) -> DataFrame:

@@ -170,6 +170,18 @@ def image_url_ladder(base: Column, info: Column | None = None) -> Column:
     return F.array_distinct(F.when(info.isNull(), F.array(*common)).when(png, with_png).otherwise(ladder))
 
 
+def with_image_info(services: DataFrame, base: str, infos: DataFrame, info_base: str, info_body: str) -> DataFrame:
+    """Adds ``tries``, the URLs tried before a service's info.json is known, and ``urls``, its whole ladder once it is.
+
+    ``infos`` are captured info.json documents by service; a service without one keeps the plain ladder.
+    """
+    bare = F.rtrim(F.col(info_base), F.lit("/"))
+    dim = infos.groupBy(bare.alias("_b")).agg(F.min(info_body).alias("_j")).select("_b", F.try_parse_json("_j").alias("_info"))
+    out = services.join(dim, F.rtrim(F.col(base), F.lit("/")) == F.col("_b"), "left")
+    plain = image_url_ladder(F.col(base))
+    return out.withColumn("tries", F.slice(plain, 1, 3)).withColumn("urls", F.when(F.col("_info").isNull(), plain).otherwise(image_url_ladder(F.col(base), F.col("_info")))).drop("_b", "_info")
+
+
 def first_pages(pages: DataFrame, most: int | None) -> DataFrame:
     """The first ``most`` pages of each manifest, all where it is not positive."""
     return pages.filter(F.col("ord") <= most) if most and most > 0 else pages

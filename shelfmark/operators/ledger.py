@@ -46,6 +46,11 @@ def pending(works: DataFrame, mode: str = "all") -> DataFrame:
     return works.filter(status == {"new": PENDING, "failed": FAILED}[mode])
 
 
+def completed_entries(works: DataFrame) -> DataFrame:
+    """(entry_id): the completed entries, once each."""
+    return works.filter(parse_status(F.col("retrievable")) == COMPLETED).select("entry_id").distinct()
+
+
 def only_entries(works: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows whose entry_id is wanted."""
     return works.join(wanted.select("entry_id"), "entry_id", "left_semi")
@@ -91,8 +96,11 @@ def apply_status(works: DataFrame, events: DataFrame) -> DataFrame:
     """The works table after status events (entry_id, ts, seq, outcome, item_url, provider).
 
     Every row of an entry takes its last event: success sets the link and the provider,
-    failure and deferral set the status alone.
+    failure and deferral set the status alone.  Ledger columns that the table lacks are added.
     """
+    for c in ("retrievable", "link", "download_provider", "download_timestamp"):
+        if c not in works.columns:
+            works = works.withColumn(c, F.lit(None).cast("string"))
     last = latest(events, ["entry_id"], ["ts", "seq"]).select("entry_id", F.struct("ts", "outcome", "item_url", "provider").alias("_e"))
     ok = F.col("_e.outcome") == "success"
     seen = F.col("_e").isNotNull()

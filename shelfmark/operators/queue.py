@@ -57,6 +57,21 @@ def outdated(now: Column, days: int = KEEP_DAYS) -> Column:
     return F.col("status").isin("completed", "failed") & (at.isNull() | (at < now - F.make_dt_interval(days=F.lit(days))))
 
 
+def first_waiting(queue: DataFrame, order: str, most: int = 10) -> DataFrame:
+    """The first active items, as they are shown to a reader."""
+    return queue.filter(F.col("status").isin(ACTIVE)).orderBy(order).limit(most)
+
+
+def by_provider(queue: DataFrame) -> DataFrame:
+    """(provider_key, n, waiting): items and active items of each provider."""
+    return queue.groupBy("provider_key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status").isin(ACTIVE)).alias("waiting"))
+
+
+def counts(queue: DataFrame) -> DataFrame:
+    """(status, n, retries): items and recorded retries by status."""
+    return queue.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("retry_count").alias("retries"))
+
+
 def next_ready(queue: DataFrame) -> DataFrame:
     """One row: the earliest reset time of active items."""
     return queue.filter(F.col("status").isin(ACTIVE)).agg(F.min(instant(F.col("reset_time"))).alias("next_ready"))

@@ -167,6 +167,11 @@ def budget(items: DataFrame, work: str, kind: str, size: str, order: str, per_wo
     return loose.unionByName(fold_sorted(items.filter(F.col(kind).isin(tight)), kind, [order], [work, kind, size], lambda: ({}, 0), by_kind, "admitted boolean"))
 
 
+def used_bytes(items: DataFrame, work: str, kind: str, size: str) -> DataFrame:
+    """(work, kind, bytes): what each work holds of each kind."""
+    return items.groupBy(work, kind).agg(F.sum(size).alias("bytes"))
+
+
 #: Ranges of the order that a long running sum is cut into.
 RANGES = 128
 

@@ -13,17 +13,47 @@ from pyspark.sql import functions as F
 from ..functions.payload import magic_problem
 from ..functions.text import strip
 
-#: Statuses whose files are expected to be there.
-EXPECTED = ["completed", "partial"]
+# Statuses of index rows that are checked, and of folders that are not.
+EXPECTED = ["completed", "partial", ""]
+UNDOWNLOADED = ["no_match", "failed", "deferred"]
+
+
+def _location(uri: str):
+    return pafs.FileSystem.from_uri(re.sub(r"^(\w+):/(?!/)", r"\1:///", uri))
 
 
 def work_folders(spark: SparkSession, root: str) -> DataFrame:
-    """(work_dir): the folders right under ``root``, listed by Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [(s.getPath().toString(),) for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
-    return spark.createDataFrame(names, "work_dir string")
+    """(work_dir, document): the work folders right under ``root``, those with an ``objects`` folder or a ``work.json``.
+
+    One executor lists the root and streams the names on; others look into the folders.
+    ``document`` is the text of the work.json, null where there is none.
+    """
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                fs, path = _location(uri)
+                found = fs.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+                held = [f"{uri.rstrip('/')}/{f.base_name}" for f in found if f.type == pafs.FileType.Directory]
+                for i in range(0, len(held), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(held[i : i + 10_000], pa.string())], ["work_dir"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[str, str | None]] = []
+            for uri in batch.column(0).to_pylist():
+                fs, path = _location(uri)
+                objects, work = fs.get_file_info([f"{path}/objects", f"{path}/work.json"])
+                if work.type == pafs.FileType.File:
+                    with fs.open_input_stream(work.path, compression=None) as stream:
+                        out.append((uri, stream.read().decode("utf-8", "replace")))
+                elif objects.type == pafs.FileType.Directory:
+                    out.append((uri, None))
+            columns = list(zip(*out, strict=True)) or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], ["work_dir", "document"])
+
+    listed = spark.createDataFrame([(root,)], "work_dir string").mapInArrow(names, "work_dir string")
+    return listed.repartition(spark.sparkContext.defaultParallelism).mapInArrow(look, "work_dir string, document string")
 
 
 def stored_files(folders: DataFrame, head: int = 512) -> DataFrame:
@@ -36,7 +66,7 @@ def stored_files(folders: DataFrame, head: int = 512) -> DataFrame:
         for batch in batches:
             out: list[tuple[str, str, int, bytes]] = []
             for folder in batch.column(0).to_pylist():
-                fs, path = pafs.FileSystem.from_uri(re.sub(r"^(\w+):/(?!/)", r"\1:///", folder))
+                fs, path = _location(folder)
                 for f in fs.get_file_info(pafs.FileSelector(f"{path}/objects", allow_not_found=True)):
                     if f.type == pafs.FileType.File and not f.base_name.endswith(".part"):
                         with fs.open_input_stream(f.path, compression=None) as stream:
@@ -58,18 +88,19 @@ def normal_path(path: Column, windows: bool = False) -> Column:
 
 
 def works_to_verify(index: DataFrame, folders: DataFrame, windows: bool = False) -> DataFrame:
-    """(path, status, origin): index rows of expected statuses, and folders that the index does not name.
+    """(path, status, origin): index rows of expected statuses, and the other folders whose work was downloaded.
 
     ``path`` is as the index, or else the folder, spells it; of several spellings the first in order.
     """
 
-    def side(rows: DataFrame, path: str, status: str) -> DataFrame:
-        keyed = rows.select(normal_path(F.col("work_dir"), windows).alias("_key"), F.col("work_dir").alias("p"), F.lower(strip(F.col("status"))).alias("s"))
-        return keyed.groupBy("_key").agg(F.min("p").alias(path), F.max("s").alias(status))
+    def side(rows: DataFrame, keep) -> DataFrame:
+        s = F.lower(strip(F.coalesce("status", F.lit(""))))
+        keyed = rows.select(normal_path(F.col("work_dir"), windows).alias("_key"), F.col("work_dir").alias("p"), s.alias("s")).filter("_key is not null")
+        return keyed.filter(keep(F.col("s"))).groupBy("_key").agg(F.min("p").alias("path"), F.max("s").alias("status"))
 
-    both = side(index, "path", "status").join(side(folders, "found", "found_status"), "_key", "full_outer")
-    out = both.select(F.coalesce("path", "found").alias("path"), F.coalesce("status", "found_status").alias("status"), F.when(F.col("status").isNotNull(), "index").otherwise("folder").alias("origin"))
-    return out.filter(F.col("status").isin(EXPECTED))
+    listed, found = side(index, lambda s: s.isin(EXPECTED)), side(folders, lambda s: ~s.isin(UNDOWNLOADED))
+    rest = found.join(listed.select("_key"), "_key", "left_anti")
+    return listed.withColumn("origin", F.lit("index")).unionByName(rest.withColumn("origin", F.lit("folder"))).drop("_key")
 
 
 def verdicts(works: DataFrame, files: DataFrame, key: str) -> DataFrame:
@@ -93,5 +124,25 @@ def verdicts(works: DataFrame, files: DataFrame, key: str) -> DataFrame:
     return out.select(key, reason.isNull().alias("ok"), reason.alias("reason"))
 
 
+def verify(spark: SparkSession, root: str, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(checked, changes) of all works under ``root`` and in the index.
+
+    ``checked``: path, ok, reason.  ``changes``: path, status ``partial`` and, where the work
+    has a readable work.json, its new text, for every work that is not whole.  Works that
+    were never downloaded are left out.
+    """
+    from .audit import changed_status
+
+    found = work_folders(spark, root).withColumn("status", F.get_json_object("document", "$.status"))
+    listed = index if index is not None else spark.createDataFrame([], "work_dir string, status string")
+    works = works_to_verify(listed.select("work_dir", "status"), found.select("work_dir", "status"))
+    said = found.select(F.col("work_dir").alias("path"), "document")
+    works = works.join(said, "path", "left").withColumn("pages_expected", F.get_json_object("document", "$.pages_expected").try_cast("int"))
+    files = stored_files(works.select(F.col("path").alias("work_dir"))).withColumnRenamed("work_dir", "path")
+    checked = verdicts(works, files, "path")
+    bad = works.join(checked.filter(~F.col("ok")).select("path"), "path").select("path", F.lit("partial").alias("status"), "document")
+    return checked, changed_status(bad, F.lit("partial"), F.current_timestamp())
+
+
 def verdict_totals(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count(F.lit(1)).alias("total"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("partial"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-MODULES = ("matching", "ledgers", "machines", "urls", "manifests", "responses")
+MODULES = ("matching", "ledgers", "machines", "urls", "manifests", "responses", "transfers", "files")
 
 
 def load() -> ModuleType:

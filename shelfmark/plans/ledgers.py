@@ -165,7 +165,7 @@ def now():
 
 @query("SELECT status, count(*) AS n, CAST(sum(retry_count) AS BIGINT) AS retries FROM queue GROUP BY 1", QUEUE)
 def queue_counts(spark, sf_dir):
-    return queue(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("retry_count").alias("retries"))
+    return dq.counts(queue(spark, sf_dir))
 
 
 @query(f"SELECT id FROM queue WHERE status IN ('pending', 'retrying') AND (try_cast(reset_time AS TIMESTAMP) IS NULL OR try_cast(reset_time AS TIMESTAMP) <= TIMESTAMP '{NOW}')", QUEUE)
@@ -255,15 +255,14 @@ def retry_after(spark, sf_dir):
 
 
 @query(
-    """SELECT coalesce(i.path, f.path) AS path, coalesce(i.status, f.status) AS status, CASE WHEN i.status IS NOT NULL THEN 'index' ELSE 'folder' END AS origin
-    FROM (SELECT CASE WHEN o_custkey % 4 = 0 THEN '/W/' ELSE '/w/' END || o_custkey AS path, max(CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'partial' ELSE 'failed' END) AS status FROM orders GROUP BY 1) i
-    FULL JOIN (SELECT '/w/' || (user_id * 13) AS path, max(CASE WHEN event_id % 2 = 0 THEN 'completed' ELSE 'deferred' END) AS status FROM events GROUP BY 1) f USING (path)
-    WHERE coalesce(i.status, f.status) IN ('completed', 'partial')"""
+    """WITH i AS (SELECT path, max(status) AS status FROM (SELECT CASE WHEN o_custkey % 4 = 0 THEN '/W/' ELSE '/w/' END || o_custkey AS path, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'partial' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'failed' ELSE '' END END AS status FROM orders) WHERE status <> 'failed' GROUP BY 1),
+    f AS (SELECT path, max(status) AS status FROM (SELECT '/w/' || (user_id * 13) AS path, CASE event_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'deferred' ELSE 'no_candidates' END AS status FROM events) WHERE status <> 'deferred' GROUP BY 1)
+    SELECT path, status, 'index' AS origin FROM i UNION ALL SELECT path, status, 'folder' FROM f WHERE path NOT IN (SELECT path FROM i)"""
 )
 def verify_union(spark, sf_dir):
     s = F.col("o_orderstatus")
-    index = table(spark, sf_dir, "orders").select(F.concat(F.when(F.col("o_custkey") % 4 == 0, "/W/").otherwise("/w/"), F.col("o_custkey")).alias("work_dir"), F.when(s == "F", "\tCompleted\n").when(s == "O", "partial").otherwise("failed").alias("status"))
-    folders = table(spark, sf_dir, "events").select(F.concat(F.lit("/w/"), F.col("user_id") * 13).alias("work_dir"), F.when(F.col("event_id") % 2 == 0, "completed").otherwise("deferred").alias("status"))
+    index = table(spark, sf_dir, "orders").select(F.concat(F.when(F.col("o_custkey") % 4 == 0, "/W/").otherwise("/w/"), F.col("o_custkey")).alias("work_dir"), F.when(s == "F", "\tCompleted\n").when(s == "O", "partial").when(F.col("o_orderkey") % 2 == 0, "failed").alias("status"))
+    folders = table(spark, sf_dir, "events").select(F.concat(F.lit("/w/"), F.col("user_id") * 13).alias("work_dir"), F.when(F.col("event_id") % 3 == 0, "completed").when(F.col("event_id") % 3 == 1, "deferred").otherwise("no_candidates").alias("status"))
     return vf.works_to_verify(index, folders)
 
 

@@ -115,7 +115,7 @@ def budget_stop(spark, sf_dir):
 @query("SELECT work, kind, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT l_orderkey AS work, l_returnflag AS kind, CAST(trunc(l_extendedprice) AS BIGINT) AS size FROM lineitem) GROUP BY 1, 2")
 def budget_totals(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("work"), F.col("l_returnflag").alias("kind"), F.col("l_extendedprice").cast("long").alias("size"))
-    return li.groupBy("work", "kind").agg(F.sum("size").alias("bytes"))
+    return st.used_bytes(li, "work", "kind", "size")
 
 
 @query(

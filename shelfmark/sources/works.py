@@ -55,7 +55,19 @@ def write_csv(df: DataFrame, path: str, line_sep: str = "\n", one_file: bool = F
     out = out.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in out.columns])
     if one_file:
         out = out.coalesce(1)
-    out.write.mode("overwrite").options(header="true", quote='"', escape='"', lineSep=line_sep, emptyValue="").csv(path)
+    out.write.mode("overwrite").options(header="true", quote='"', escape='"', lineSep=line_sep, emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+
+
+def backup(spark: SparkSession, path: str, stamp: str) -> str | None:
+    """Copies a works file or folder beside itself, once a run before its first change; null where there is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, copy = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.backup_{stamp}")
+    fs = source.getFileSystem(conf)
+    if not fs.exists(source):
+        return None
+    if not fs.exists(copy):
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, fs, copy, False, conf)
+    return copy.toString()
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
