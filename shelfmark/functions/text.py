@@ -5,17 +5,17 @@ from __future__ import annotations
 import functools
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Latin letters without a decomposition, and what stands for them.
 LETTERS = {"ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d", "ð": "d", "þ": "th"}
 # Device names that no file may have.
 RESERVED = ["con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10))]
-#: Folded natively: all below U+3000, Latin and other extensions, ligatures, and width forms.
-COVERED = ((0x80, 0x3000), (0xA640, 0xAC00), (0xF900, 0xFB50), (0xFE20, 0xFFF0))
+#: Blocks that hold characters with a decomposition; Hangul syllables, which follow a rule, lie outside.
+COVERED = ((0x80, 0x3400), (0xA640, 0xAC00), (0xF900, 0x10000), (0x10000, 0x12000), (0x16A00, 0x17000), (0x1B000, 0x20000), (0x2F800, 0x2FA20))
+# The Hangul letters that syllables are made of, by the standard's rule.
+HANGUL_FIRST, HANGUL_LEADS, HANGUL_VOWELS, HANGUL_TAILS = 0xAC00, 0x1100, 0x1161, 0x11A7
 #: All blanks and line ends of Unicode, as a text's ends may hold them.
 BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ILLEGAL = r'[<>:"/\\|?*\x00-\x1f]'
@@ -47,19 +47,25 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     return "".join(source + marks), "".join(target), longer
 
 
-def strip_accents(text: Column) -> Column:
-    """Compatibility decomposition without its combining marks; null gives the empty text.
+def _hangul(c: Column) -> Column:
+    """A Hangul syllable as its letters, any other character as it is."""
+    leads, vowels, tails = ("".join(map(chr, range(first, first + n))) for first, n in ((HANGUL_LEADS, 19), (HANGUL_VOWELS, 21), (HANGUL_TAILS + 1, 27)))
+    at = F.ascii(c) - HANGUL_FIRST
+    letters = F.concat(F.substr(F.lit(leads), F.floor(at / 588).cast("int") + 1, F.lit(1)), F.substr(F.lit(vowels), F.floor(at % 588 / 28).cast("int") + 1, F.lit(1)))
+    tail = F.when(at % 28 > 0, F.substr(F.lit(tails), (at % 28).cast("int"), F.lit(1))).otherwise("")
+    return F.when(c.between(chr(HANGUL_FIRST), chr(HANGUL_FIRST + 11171)), F.concat(letters, tail)).otherwise(c)
 
-    Covers the characters of ``COVERED``; ``strip_accents_any`` covers the rest by an Arrow UDF.
-    """
+
+def strip_accents(text: Column) -> Column:
+    """Compatibility decomposition without its combining marks, over all of Unicode; null gives the empty text."""
     text = F.coalesce(text.cast("string"), F.lit(""))
     source, target, longer = _folding()
     simple = F.translate(text, source, target)
     table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
-    each = F.transform(F.split(text, ""), lambda c: F.coalesce(table[c], c))
+    each = F.transform(F.split(text, ""), lambda c: F.coalesce(table[c], _hangul(c)))
     # a class of two ranges settles most texts before the long class is tried
     near = "".join(f"\\x{{{ord(c):x}}}" for c in longer if ord(c) < 0x250)
-    rare = text.rlike(f"[{near}\\x{{250}}-\\x{{10ffff}}]") & text.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in longer) + "]")
+    rare = text.rlike(f"[{near}\\x{{250}}-\\x{{10ffff}}]") & text.rlike("[\\x{ac00}-\\x{d7a3}" + "".join(f"\\x{{{ord(c):x}}}" for c in longer) + "]")
     return (
         F.when(F.octet_length(text) == F.length(text), text)
         .when(rare, F.translate(F.array_join(each, ""), source, target))
@@ -67,12 +73,6 @@ def strip_accents(text: Column) -> Column:
     )
 
 
-@F.pandas_udf(StringType())
-def strip_accents_any(text: pd.Series) -> pd.Series:
-    """``strip_accents`` over all of Unicode."""
-    return text.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t or "") if not unicodedata.combining(c)))
-
-
 def transliterate(text: Column) -> Column:
     """Replaces the letters of ``LETTERS`` (lower case only)."""
     single = {k: v for k, v in LETTERS.items() if len(v) == 1}
@@ -92,11 +92,16 @@ def normalize_text(text: Column) -> Column:
 
     A text with letters that ASCII cannot hold keeps all its letters, digits and marks instead.
     """
-    s = folded(text)
-    plain = F.trim(F.regexp_replace(s, "[^0-9a-z]+", " "))
-    wide = F.trim(F.regexp_replace(F.regexp_replace(s, r"(?U)[^\w\s]|_", " "), r"(?U)\s+", " "))
-    foreign = (F.octet_length(s) != F.length(s)) & s.rlike(r"[\p{L}&&[^\x00-\x7F]]")
-    return F.when((plain != "") & ~foreign, plain).otherwise(wide)
+
+    def keyed(s: Column) -> Column:
+        plain = F.trim(F.regexp_replace(s, "[^0-9a-z]+", " "))
+        wide = F.trim(F.regexp_replace(F.regexp_replace(s, r"(?U)[^\w\s]|_", " "), r"(?U)\s+", " "))
+        foreign = (F.octet_length(s) != F.length(s)) & s.rlike(r"[\p{L}&&[^\x00-\x7F]]")
+        return F.when((plain != "") & ~foreign, plain).otherwise(wide)
+
+    # plain ASCII needs no folding, and no other letters are in it; elsewhere the folded text is computed once
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.trim(F.regexp_replace(F.lower(text), "[^0-9a-z]+", " "))).otherwise(let(folded(text), keyed))
 
 
 def with_once(df: DataFrame, name: str, column: Column) -> DataFrame:

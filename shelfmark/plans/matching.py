@@ -9,6 +9,7 @@ from ..config import Selection, resolve_settings, resolved_threshold
 from ..functions import dates, text
 from ..functions.similarity import creator_score, with_title_score, with_token_bounds
 from ..operators import select as sel
+from ..session import kept
 from .registry import query
 from .views import BLANK, HIERARCHY, HITS, PROVIDERS, SENTENCES, TWIN_HITS, WORKS, hits, norm_sql, providers, table, tokens_sql, works
 
@@ -262,7 +263,8 @@ def first_hit(spark, sf_dir):
     *ALL,
 )
 def ranked_fallbacks(spark, sf_dir):
-    scored = lower_bound_scores(spark, sf_dir)
+    # the scores are read twice
+    scored = kept(lower_bound_scores(spark, sf_dir), "scores")
     best = sel.select_best(scored, "entry_id", gate())
     return sel.fallbacks(scored, best, "entry_id", gate(), providers(spark)).select("entry_id", "source_id", "rank")
 
@@ -279,7 +281,7 @@ def candidate_cap(spark, sf_dir):
     *ALL,
 )
 def top10_display(spark, sf_dir):
-    return sel.display_top(lower_bound_scores(spark, sf_dir), "entry_id").select("entry_id", "source_id", "place", F.col("more").cast("long"))
+    return sel.display_top(kept(lower_bound_scores(spark, sf_dir), "scores"), "entry_id").select("entry_id", "source_id", "place", F.col("more").cast("long"))
 
 
 @query(

@@ -170,14 +170,41 @@ def spread(df: DataFrame) -> DataFrame:
 TWIN_HITS = 5
 
 
-def hits(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None, most: int | None = TWIN_HITS) -> DataFrame:
+#: Wanted runs that are broadcast; about 40 bytes each.
+BROADCAST_RUNS = 500_000
+
+
+def found_sentences(sentences: DataFrame, asked: DataFrame, most: int = BROADCAST_RUNS) -> DataFrame:
+    """(entry_id, doc_id, pos, source, lang, title, norm, shared): the sentences that share runs of words with a work.
+
+    ``sentences``: doc_id, pos, source, lang, title, not yet normalised; ``asked``:
+    entry_id, run.  Up to ``most`` wanted runs, which are counted, are broadcast, so nothing
+    but hits is shuffled.  Beyond, runs meet by two hashes beside the sentence's place
+    alone, and a sentence's text joins its hits afterwards, once.
+    """
+    keys = ["doc_id", "pos"]
+    normed = with_once(sentences, "norm", normalize_text(F.col("title"))).filter("norm <> ''")
+    words = with_once(normed, "words", F.split("norm", " "))
+    if asked.count() <= most:
+        offered = words.select(*keys, "source", "lang", "title", "norm", F.explode(shingles(F.col("words"))).alias("run"))
+        carried = ("source", "lang", "title", "norm")
+        return offered.join(F.broadcast(asked), "run").groupBy("entry_id", *keys).agg(F.count(F.lit(1)).alias("shared"), *[F.first(c).alias(c) for c in carried])
+
+    def hashed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"h1": F.xxhash64("run"), "h2": F.hash("run")}).drop("run")
+
+    offered = hashed(words.select(*keys, F.explode(shingles(F.col("words"))).alias("run")))
+    shared = offered.join(hashed(asked), ["h1", "h2"]).groupBy("entry_id", *keys).agg(F.count(F.lit(1)).alias("shared"))
+    return with_once(shared.join(sentences, keys), "norm", normalize_text(F.col("title")))
+
+
+def hits(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None, most: int | None = TWIN_HITS, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
     """The hits of the wanted works: the ``most`` first of each work and provider, or all."""
     wanted = works(spark, sf_dir) if wanted is None else wanted
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", F.posexplode(F.split("text", "[.!?\n]+")).alias("pos", "title"))
-    sentences = with_once(docs.withColumn("title", F.trim("title")).filter("title <> ''"), "norm", normalize_text(F.col("title"))).filter("norm <> ''")
+    sentences = docs.withColumn("title", F.trim("title")).filter("title <> ''")
     asked = with_once(wanted.filter("norm <> ''"), "words", F.split("norm", " ")).select("entry_id", F.explode(shingles(F.col("words"))).alias("run"))
-    offered = with_once(sentences, "words", F.split("norm", " ")).select("doc_id", "pos", "source", "lang", "title", "norm", F.explode(shingles(F.col("words"))).alias("run"))
-    found = offered.join(asked, "run").groupBy("entry_id", "doc_id", "pos").agg(F.count(F.lit(1)).alias("shared"), *[F.first(c).alias(c) for c in ("source", "lang", "title", "norm")])
+    found = found_sentences(sentences, asked, broadcast_runs)
     w = Window.partitionBy("entry_id", "source").orderBy(F.col("shared").desc(), "doc_id", "pos")
     kept = found.withColumn("hit_ix", (F.row_number().over(w) - 1).cast("int"))
     if most is not None:

@@ -86,3 +86,16 @@ def test_scraped_titles(spark):
     assert [g[0] for g in run(spark, raw, text.clean_title(F.col("v")))] == want
     texts = F.array(F.col("v"), F.lit("  Émile  Zola"), F.lit("emile zola"), F.lit("d41d8cd98f00b204e9800998ecf8427e"), F.lit("Download"), F.lit("ab"))
     assert run(spark, ["A Title "], text.title_candidates(texts)) == [(["A Title", "Émile Zola"],)]
+
+
+def test_decomposition_over_all_of_unicode(spark):
+    """Every character that decomposes, and every mark, against the standard library's tables."""
+    texts = []
+    for first in range(0x80, 0x30000, 64):
+        run = "".join(chr(c) for c in range(first, first + 64) if not 0xD800 <= c <= 0xDFFF)
+        if unicodedata.normalize("NFKD", run) != run or any(map(unicodedata.combining, run)):
+            texts.append(f"x {run} y")
+    texts += ["각 한국어 텍스트", "\U0001d400\U0001d7ff", "ﬃ ½ ㎏"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.strip_accents(F.col("t")).alias("s")).collect()
+    for r in rows:
+        assert r.s == "".join(c for c in unicodedata.normalize("NFKD", r.t) if not unicodedata.combining(c)), r.t
