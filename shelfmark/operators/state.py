@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DatetimeType, NumericType
 
 
 def fold_sorted(events: DataFrame, key: str, order: list[str], reads: list[str], start: Callable[[], object], step: Callable[..., tuple], out: str) -> DataFrame:
@@ -83,13 +84,24 @@ def limiter(events: DataFrame, key: str, time: str, tie: str, interval: float) -
     """Adds ``started`` and ``waited``: requests of a key start at least ``interval`` apart.
 
     The n-th start is the largest of every earlier arrival plus the intervals since, so it
-    is a running maximum and needs no fold.
+    is a running maximum and needs no fold.  Time is cut into ranges that are summed up
+    apart; what earlier ranges bring, their number of requests and their latest lead, is one
+    row a range, so a key's requests never meet in one task.
     """
-    w = Window.partitionBy(key).orderBy(time, tie)
-    n = F.row_number().over(w)
-    lead = F.max(F.col(time) - F.col("_n") * interval).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = events.withColumn("_n", n.cast("double")).withColumn("started", lead + F.col("_n") * interval)
-    return out.withColumn("waited", F.col("started") - F.col(time)).drop("_n")
+    cut = events.withColumn("_range", ranges(events, time))
+    w = Window.partitionBy(key, "_range").orderBy(time, tie)
+    cut = cut.withColumn("_n", F.row_number().over(w).cast("double"))
+    # a lead is an arrival less the intervals before it, counted from the range's first request
+    cut = cut.withColumn("_lead", F.col(time) - F.col("_n") * interval)
+    parts = cut.groupBy(F.col(key).alias("_k"), F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_c"), F.max("_lead").alias("_m"))
+    before = Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)).cast("double"))
+    parts = parts.withColumn("_far", F.max(F.col("_m") - F.col("_before") * interval).over(before)).select("_k", "_r", "_before", "_far")
+    out = cut.join(parts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r")))
+    here = F.max("_lead").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_before") * interval
+    lead = F.greatest(here, F.col("_far"))
+    out = out.withColumn("started", lead + (F.col("_before") + F.col("_n")) * interval)
+    return out.withColumn("waited", F.col("started") - F.col(time)).select(*events.columns, "started", "waited")
 
 
 @dataclass
@@ -177,7 +189,13 @@ RANGES = 128
 
 
 def ranges(rows: DataFrame, order: str, parts: int = RANGES) -> Column:
-    """The number of the order's range that a row lies in; the bounds are approximate quantiles, a few numbers."""
+    """The number of the order's range that a row lies in; the bounds are approximate quantiles, a few numbers.
+
+    Rows of equal order lie in one range, so a tie-breaking column need not be looked at.
+    An order that is no number, date or time is one range.
+    """
+    if not isinstance(rows.schema[order].dataType, (NumericType, DatetimeType)):
+        return F.lit(0)
     cuts = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
     return F.when(F.col(order).isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order)))) if cuts else F.lit(0)
@@ -200,10 +218,19 @@ def running_sum(rows: DataFrame, keys: list[str], order: str, value: Column, out
 
 
 def islands(events: DataFrame, key: str, order: list[str], bad: Column) -> DataFrame:
-    """(key, run, length, first, last): maximal runs of bad events; ``order`` ends with a unique column."""
-    w = Window.partitionBy(key).orderBy(*order)
-    marked = events.withColumn("_bad", bad).withColumn("_run", F.sum(F.when(F.col("_bad"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = marked.filter("_bad").groupBy(key, F.col("_run").alias("run")).agg(F.count(F.lit(1)).alias("length"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
+    """(key, run, length, first, last): maximal runs of bad events; ``order`` ends with a unique column.
+
+    A run's number is that of the good events before it: those of earlier ranges of the
+    order, summed apart, and those of its own range, so a key's events never meet in one task.
+    """
+    cut = events.withColumns({"_range": ranges(events, order[0]), "_bad": bad})
+    parts = cut.groupBy(F.col(key).alias("_k"), F.col("_range").alias("_r")).agg(F.count_if(~F.coalesce("_bad", F.lit(False))).alias("_good"))
+    earlier = F.sum("_good").over(Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("_k", "_r", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    w = Window.partitionBy(key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    here = F.sum(F.when(F.col("_bad"), 0).otherwise(1)).over(w)
+    marked = cut.withColumn("_here", here).filter("_bad").join(parts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r")))
+    runs = marked.groupBy(key, (F.col("_before") + F.col("_here")).alias("run")).agg(F.count(F.lit(1)).alias("length"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
     return runs.select(key, "run", "length", "first", "last")
 
 

@@ -103,6 +103,21 @@ def test_budget_of_long_works_and_no_size(spark):
         assert sum(got[i] for i, *_ in rows if i % 3) == 100 and all(got[i] for i, *_ in rows if i % 3 == 0)
 
 
+def test_long_keys_are_cut_into_ranges(spark, monkeypatch):
+    """Limiter and runs of failures are the same however the order is cut."""
+    rows = [(k if i % 50 else None, i, float(rng), i % 7 > 2) for i, (k, rng) in enumerate((k, random.Random(i).randrange(4000)) for i, k in enumerate("ab" * 400))]
+    df = frame(spark, rows)
+    out = {}
+    for parts in (1, 3, 64):
+        monkeypatch.setattr(st, "RANGES", parts)
+        monkeypatch.setattr(st.ranges, "__defaults__", (parts,))
+        out[parts] = (
+            sorted((r.i, round(r.started, 6), round(r.waited, 6)) for r in st.limiter(df, "k", "t", "i", 3.0).collect()),
+            sorted(map(str, st.islands(df, "k", ["t", "i"], ~F.col("ok")).collect())),
+        )
+    assert out[1] == out[3] == out[64] and len(out[1][0]) == 800
+
+
 def test_null_keys_are_one_key(spark):
     rows = [(None, i, float(i), False) for i in range(6)] + [(1, i + 6, float(i), False) for i in range(2)]
     df = spark.createDataFrame(rows, "k long, i long, t double, ok boolean")
