@@ -36,6 +36,7 @@ SHAPES = {
     "google_books": ("struct(id, struct(title, array(person) as authors, year as publishedDate) as volumeInfo, struct(if(doc_id % 3 = 0, 'ALL_PAGES', 'PARTIAL') as viewability, doc_id % 3 = 1 as publicDomain) as accessInfo)", '{{"items":{0}}}'),
     "wellcome": ("struct(id, title, array(struct(struct(person as label) as agent)) as contributors, array(struct(array(struct(concat('[', year, ']') as label)) as dates)) as production, array(struct(array(struct(struct(if(doc_id % 3 = 0, 'iiif-image', if(doc_id % 3 = 1, 'iiif-presentation', 'shelf')) as id) as locationType, concat('https://l/', id, '/info.json') as url)) as locations)) as items)", '{{"results":{0}}}'),
     "slub": ("struct(concat('https://data/', id) as `@id`, struct(title as preferredName) as title, array(struct(person as name)) as contributor, if(doc_id % 2 = 0, 'Online', 'print') as accessMode)", "{0}"),
+    "british_library": ("struct(struct(title as value) as title, struct(person as value) as creatorName, if(doc_id % 3 = 0, struct(concat('http://x/ark:/81055/', id, ' z') as value), struct('http://other/' as value)) as same, if(doc_id % 3 < 2, struct(concat('ark:/81055/i', id) as value), null) as ident)", '{{"results":{{"bindings":{0}}}}}'),
     "bne": ("struct(struct(title as value) as title, struct(person as value) as creator, struct(year as value) as date, struct(concat('http://bd/card?id=', lower(concat_ws('-', '0000ABCD', '0000', '0000', '0000', lpad(cast(doc_id div 2 as string), 12, '0'))))  as value) as digital)", '{{"results":{{"bindings":{0}}}}}'),
 }
 
@@ -63,6 +64,7 @@ EXPECTED = {
     "google_books": ("title", "person", "year", "id", "NULL", "'https://books.google.com/books?id=' || id", "NULL", "doc_id % 3 < 2"),
     "wellcome": ("title", "person", "'[' || year || ']'", "id", "CASE WHEN doc_id % 3 = 1 THEN 'https://l/' || id || '/info.json' END", "'https://wellcomecollection.org/works/' || id", "NULL", "doc_id % 3 < 2"),
     "slub": ("title", "person", "NULL", "id", "NULL", "NULL", "NULL", "doc_id % 2 = 0"),
+    "british_library": ("title", "person", "NULL", "CASE WHEN doc_id % 3 = 0 THEN id ELSE 'i' || id END", "NULL", "NULL", "NULL", "doc_id % 3 < 2"),
     "bne": ("title", "person", "year", "'0000abcd-0000-0000-0000-' || lpad(CAST(doc_id // 2 AS VARCHAR), 12, '0')", "NULL", "'http://bd/card?id=0000abcd-0000-0000-0000-' || lpad(CAST(doc_id // 2 AS VARCHAR), 12, '0')", "NULL", "doc_id % 2 = 0"),
 }
 
@@ -75,7 +77,7 @@ def expected(provider: str) -> str:
 
 @query("\nUNION ALL ".join(expected(p) for p in EXPECTED), BASE)
 def json_records(spark, sf_dir):
-    """Eleven JSON providers in their own shapes, read back as candidate records."""
+    """Twelve JSON providers in their own shapes, read back as candidate records."""
     out = rec.all_json_records(responses(spark, sf_dir), "provider_key", "resp", "body")
     return out.withColumn("creators", F.array_join("creators", "|")).withColumn("hit_ix", F.col("hit_ix").cast("int"))
 

@@ -195,6 +195,13 @@ def _bne(r: Column):
     return record(value("title"), one(value("creator")), value("date"), uuid, None, value("digital"))
 
 
+def _bnb(r: Column):
+    """A binding of the British Library's linked data: the first of its links that names an ark."""
+    value = lambda k: scalar(r, f"$.{k}.value")
+    ark = F.coalesce(*[first_group(value(k), r"ark:/81055/([^\s\"'<>]+)") for k in ("same", "ident", "work")])
+    return record(value("title"), one(value("creatorName")), None, ark)
+
+
 def catalogue_id(value: Column) -> Column:
     """A catalogue resource's bare id from its URI or the id itself."""
     v = strip(value)
@@ -215,6 +222,7 @@ JSON_PROVIDERS: dict[str, tuple[tuple[str, ...], Callable, Callable | None]] = {
     "google_books": (("$.items",), _google_books, google_free),
     "wellcome": (("$.results",), _wellcome, lambda r: (F.size(wellcome_locations(r, "iiif-image")) > 0) | (F.size(wellcome_locations(r, "iiif-presentation")) > 0)),
     "slub": (("$",), _slub, slub_online),
+    "british_library": (("$.results.bindings",), _bnb, lambda r: _bnb(r)["source_id"].isNotNull()),
     "bne": (("$.results.bindings",), _bne, lambda r: F.coalesce(scalar(r, "$.digital.value"), F.lit("")).rlike("(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")),
 }
 

@@ -35,6 +35,37 @@ def test_http_rows(spark):
     assert bytes(by["ok"].body) == b'{"a":1}' and by["slow"].status == 429 and by["slow"].retry_after == "7" and by[""].status is None and by[""].error
 
 
+class Flaky(Handler):
+    """Busy until a path was asked for three times."""
+
+    seen: dict = {}
+
+    def do_GET(self):
+        n = Flaky.seen[self.path] = Flaky.seen.get(self.path, 0) + 1
+        self.send_response(404 if self.path == "/gone" else 200 if n > 2 else 503)
+        self.send_header("Retry-After", "0")
+        self.end_headers()
+        self.wfile.write(b"done" if n > 2 else b"")
+
+
+def test_http_attempts(spark):
+    server = HTTPServer(("127.0.0.1", 0), Flaky)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_port}"
+    spark.dataSource.register(HttpSource)
+
+    def load(urls, attempts):
+        rows = spark.read.format("shelfmark_http").option("urls", urls).option("attempts", str(attempts)).option("backoff", "0.01").option("timeout", "5").load().collect()
+        return {r.url.rpartition("/")[2]: r for r in rows}
+
+    got = load(f"{root}/a {root}/gone http://127.0.0.1:9/", 5)
+    assert (got["a"].status, bytes(got["a"].body), got["a"].attempts) == (200, b"done", 3)
+    assert (got["gone"].status, got["gone"].attempts) == (404, 1) and (got[""].status, got[""].attempts) == (None, 2)
+    got = load(f"{root}/b", 2)
+    assert (got["b"].status, got["b"].attempts) == (503, 2)
+    server.shutdown()
+
+
 def one(spark, value, column):
     return spark.createDataFrame([(value,)], "v string").select(column).first()[0]
 
