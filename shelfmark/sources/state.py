@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import functools
+import json
+import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 # Fields of a quota record and of a deferred item, with what stands for a missing one.
 QUOTA_FIELDS = {"provider_key": ("string", "unknown"), "daily_limit": ("int", 10), "reset_hours": ("int", 24), "downloads_used": ("int", 0), "period_start": ("string", None), "exhausted_at": ("string", None)}
 ITEM_FIELDS = {
@@ -46,20 +52,190 @@ def _records(rows: DataFrame, v: Column, fields: dict[str, tuple]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "_v"], *[_field(v_, n, k, d).alias(n) for n, (k, d) in fields.items()], raw.alias("raw_data"))
 
 
-def parse_state(documents: DataFrame, document: str = "document") -> tuple[DataFrame, DataFrame]:
-    """(quotas, items) of state documents; a section of the wrong kind is empty, a malformed record is passed over.
+def _quotas(objects: DataFrame) -> DataFrame:
+    """The quota table of (at, _v): JSON objects of records.
+
+    The key of a quota record counts over what the record itself says, the last of equal keys over the others.
+    """
+    entries = objects.select("at", F.explode(F.map_entries(F.try_variant_get("_v", "$", "map<string,variant>"))).alias("e"))
+    last = entries.groupBy(F.col("e.key").alias("_key")).agg(F.max_by(F.col("e.value"), "at").alias("_q"))
+    return _records(last, F.col("_q"), QUOTA_FIELDS).withColumn("provider_key", F.col("_key")).select(*QUOTA_FIELDS)
+
+
+def _items(arrays: DataFrame) -> DataFrame:
+    """The item table of (at, _v): JSON arrays of records; ``ord`` rises with the place in the file."""
+    listed = arrays.select("at", F.posexplode(F.try_variant_get("_v", "$", "array<variant>")).alias("_n", "_i"))
+    items = _records(listed.select((F.col("at") + F.col("_n")).alias("ord"), "_i"), F.col("_i"), ITEM_FIELDS)
+    return items.withColumn("id", F.coalesce("id", F.uuid())).select("ord", *ITEM_FIELDS, "raw_data")
+
+
+#: Up to the next bracket outside strings, and up to the end of a string.
+BRACKET = re.compile(rb'[^"{}\[\]]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"[^"{}\[\]]*+)*+[{}\[\]]', re.S)
+STRING_END = re.compile(rb'[^"\\]*+(?:\\.[^"\\]*+)*+"', re.S)
+
+
+def _cut(spark: SparkSession, path: str) -> DataFrame:
+    """(block, size, value): a file's text in pieces that end before each ``}``, read in parallel blocks."""
+    return spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"))
+
+
+def _runs(batches):
+    """(block, size, text) of the pieces, each with its ``}``, in order."""
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a < b:
+                yield int(block[a]), batch.column(1)[a].as_py(), b"}".join(batch.column(2).slice(a, b - a).to_pylist()) + b"}"
+
+
+def _after(text: bytes, inside: bool, depth: int) -> tuple[bool, int]:
+    """Whether the text ends inside a string, and at which depth."""
+    pos = 0
+    if inside:
+        if not (m := STRING_END.match(text)):
+            return True, depth
+        pos = m.end()
+    while m := BRACKET.match(text, pos):
+        pos = m.end()
+        depth += 1 if text[pos - 1] in b"{[" else -1
+    # the text ends with a bracket, so only a string is left open
+    return pos < len(text), depth
+
+
+def _ends(batches):
+    """(block, size, length, in0, depth0, in1, depth1): how each block ends if it begins outside or inside a string."""
+    found: dict[int, list] = {}
+    for block, size, text in _runs(batches):
+        b = found.setdefault(block, [size, 0, (False, 0), (True, 0)])
+        b[1:] = b[1] + len(text), _after(text, *b[2]), _after(text, *b[3])
+    rows = [(k, size, n, *out, *inside) for k, (size, n, out, inside) in found.items()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.bool_() if i in (3, 5) else pa.int64()) for i in range(7)], names=["block", "size", "length", "in0", "depth0", "in1", "depth1"])
+
+
+PIECES = "at long, section boolean, begins boolean, ends boolean, first boolean, last boolean, text binary"
+
+
+def _pieces(starts: dict[int, tuple[int, bool, int]]):
+    """Cuts blocks, whose place, string state and depth at their start are given, into ``PIECES``.
 
-    The key of a quota record counts over what the record itself says.
+    A section is what a top-level bracket holds.  It is cut behind each record, so a piece is a comma and some values of
+    which only the last is no plain one.  A piece that crosses blocks comes in parts.  What is in no section comes as it
+    is; ``ends`` then tells that a section follows.
     """
-    v = F.try_parse_json(F.col(document))
-    base = documents.select(v.alias("_s")).filter(F.startswith(F.schema_of_variant(F.col("_s")), F.lit("OBJECT")))
-    entries = base.select(F.explode(F.map_entries(F.try_variant_get("_s", "$.quotas", "map<string,variant>"))).alias("e"))
-    quotas = _records(entries.select(F.col("e.key").alias("_key"), F.col("e.value").alias("_q")), F.col("_q"), QUOTA_FIELDS)
-    quotas = quotas.withColumn("provider_key", F.col("_key")).select(*QUOTA_FIELDS)
-    listed = base.select(F.posexplode(F.try_variant_get("_s", "$.deferred_items", "array<variant>")).alias("ord", "_i"))
-    items = _records(listed, F.col("_i"), ITEM_FIELDS)
-    items = items.withColumn("id", F.coalesce("id", F.uuid())).select("ord", *ITEM_FIELDS, "raw_data")
-    return quotas, items
+
+    def run(batches):
+        state: dict[int, list] = {}
+        for block, _, text in _runs(batches):
+            if state and block not in state:
+                yield from left(state)
+            at, inside, depth = starts[block]
+            at, inside, depth, begins, first, held = state.pop(block, (at, inside, depth, depth < 2, False, b""))
+            rows, start, pos, text = [], 0, len(held), held + text
+            opened = not inside
+            if inside and (m := STRING_END.match(text, pos)):
+                pos, opened = m.end(), True
+            while opened and (m := BRACKET.match(text, pos)):
+                pos = m.end()
+                if text[pos - 1] in b"{[":
+                    depth += 1
+                    if depth == 2:
+                        rows.append((at + start, False, True, True, False, False, text[start:pos]))
+                        start, begins, first = pos, True, True
+                else:
+                    depth -= 1
+                    if depth == 2:
+                        rows.append((at + start, True, begins, True, first, False, text[start:pos]))
+                        start, begins, first = pos, True, False
+                    elif depth == 1:
+                        rows.append((at + start, True, begins, True, first, True, text[start : pos - 1]))
+                        start, begins, first = pos - 1, True, False
+            state[block] = [at + start, pos < len(text), depth, begins, first, text[start:]]
+            yield from batch(rows)
+        yield from left(state)
+
+    def left(state):
+        for at, _, depth, begins, first, held in state.values():
+            if depth >= 2 or held:
+                yield from batch([(at, depth >= 2, begins, False, first, False, held)])
+        state.clear()
+
+    def batch(rows):
+        kinds = [pa.int64(), *[pa.bool_()] * 5, pa.binary()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["at", "section", "begins", "ends", "first", "last", "text"])
+
+    return run
+
+
+def read_state(spark: SparkSession, path: str, listed: str = "deferred_items") -> tuple[DataFrame, DataFrame] | None:
+    """(quotas, items) of a state document in a file, of whatever size and layout; none where it holds no JSON object.
+
+    The text is never held whole.  One pass finds how each block of it ends, a second cuts it behind each record.  Equal
+    keys of the whole object count by the last; a section of the wrong kind is empty, a malformed record is passed over.
+    """
+    blocks = sorted(_cut(spark, path).mapInArrow(_ends, "block long, size long, length long, in0 boolean, depth0 long, in1 boolean, depth1 long").collect())
+    at, inside, depth, starts = 0, False, 0, {}
+    for b in blocks:
+        starts[b.block] = (at, inside, depth)
+        at, inside, depth = at + b.length, b.in1 if inside else b.in0, depth + (b.depth1 if inside else b.depth0)
+    # a text that does not end with } got one
+    added = at - blocks[0].size if blocks else -1
+    if added not in (0, 1) or inside or depth != -added:
+        return None
+    pieces = kept(_cut(spark, path).mapInArrow(_pieces(starts), PIECES), "state-pieces")
+    bare, sections = b"", []
+    for r in pieces.filter("not section").orderBy("at").toLocalIterator():
+        if sections and sections[-1][1] is None:
+            sections[-1][1] = r.at
+        bare += r.text
+        if r.ends:
+            keyed = bare.endswith(b"{")
+            bare += b'"":%d' % len(sections) if keyed else b"%d" % len(sections)
+            sections.append([r.at + len(r.text), None, keyed])
+    try:
+        root = json.loads(bare[: len(bare) - added].decode())
+    except ValueError:
+        return None
+    if not isinstance(root, dict):
+        return None
+    parts = pieces.filter("section")
+    crossing = parts.filter("not (begins and ends)")
+    places = sorted((r.at, not r.begins) for r in crossing.select("at", "begins").collect())
+    whole = []
+    for place, inner in places:
+        whole.append((place, not inner, whole[-1][2] if inner else place))
+    joined = crossing.join(F.broadcast(spark.createDataFrame(whole, "at long, begins boolean, whole long")), ["at", "begins"]).groupBy("whole").agg(
+        F.max("first").alias("first"), F.max("last").alias("last"), F.array_sort(F.collect_list(F.struct("at", (~F.col("begins")).alias("i"), "text"))).alias("all")
+    )
+    joined = joined.select(F.col("whole").alias("at"), "first", "last", F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["text"])).alias("text"))
+    units = parts.filter("begins and ends").select("at", "first", "last", "text").unionByName(joined).withColumn("text", F.trim(F.col("text").cast("string"), F.lit(" \t\r\n")))
+    body = F.when(F.col("first"), F.col("text")).when(F.startswith("text", F.lit(",")), F.trim(F.substr("text", F.lit(2)), F.lit(" \t\r\n")))
+    units = units.filter("text != '' or not last").select("at", body.alias("text"))
+
+    def read(keyed: bool, rows: DataFrame) -> DataFrame:
+        ends = "{}" if keyed else "[]"
+        return rows.select("at", F.when(F.col("text") != "", F.try_parse_json(F.concat(F.lit(ends[0]), "text", F.lit(ends[1])))).alias("_v"))
+
+    def of(section) -> DataFrame:
+        return read(section[2], units.filter(F.col("at").between(section[0], section[1])))
+
+    for section in sections:
+        if not of(section).filter("_v is null").isEmpty():
+            return None
+
+    def chosen(name: str, keyed: bool) -> DataFrame:
+        value = root.get(name)
+        if isinstance(value, dict if keyed else list) and value:
+            return of(sections[value[""] if keyed else value[0]])
+        return read(keyed, units.filter(F.lit(False)))
+
+    return _quotas(chosen("quotas", True)), _items(chosen(listed if listed in root else "deferred_items", False))
+
+
+def empty_state(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    kinds = lambda fields: ", ".join(f"{n} {k}" for n, (k, _) in fields.items())
+    return spark.createDataFrame([], kinds(QUOTA_FIELDS)), spark.createDataFrame([], f"ord long, {kinds(ITEM_FIELDS)}, raw_data string")
 
 
 def state_document(quotas: DataFrame, items: DataFrame, order: str, now: Column) -> DataFrame:
@@ -96,24 +272,17 @@ def load_state(spark: SparkSession, path: str, legacy: tuple[str, str] | None =
     taken over.  A file that cannot be read is an error, so that nothing writes over it.
     """
     fs, target = _fs(spark, path)
-
-    def document(where: str) -> DataFrame:
-        return spark.read.text(where, wholetext=True).select(F.col("value").alias("document"))
-
-    empty = spark.createDataFrame([("{}",)], "document string")
     if fs.exists(target):
-        found = document(path)
-        good = F.startswith(F.schema_of_variant(F.try_parse_json("document")), F.lit("OBJECT"))
-        if found.filter(good).isEmpty():
+        found = read_state(spark, path)
+        if found is None:
             jvm = spark.sparkContext._jvm
             copy = jvm.org.apache.hadoop.fs.Path((path.rpartition(".")[0] if "." in path.rpartition("/")[2] else path) + ".corrupt")
             jvm.org.apache.hadoop.fs.FileUtil.copy(fs, target, fs, copy, False, spark.sparkContext._jsc.hadoopConfiguration())
-            return ("corrupt", *parse_state(empty))
-        return ("loaded", *parse_state(found))
+            return ("corrupt", *empty_state(spark))
+        return ("loaded", *found)
     old = [p for p in legacy or () if _fs(spark, p)[0].exists(_fs(spark, p)[1])]
     if not old:
-        return ("fresh", *parse_state(empty))
+        return ("fresh", *empty_state(spark))
     # the old queue's list has another name
-    parts = [document(p).select(F.regexp_replace("document", r'^(\s*\{[^\[{]*)"items"(\s*:)', '$1"deferred_items"$2').alias("document")) for p in old]
-    quotas, items = zip(*(parse_state(p) for p in parts), strict=True)
+    quotas, items = zip(*(read_state(spark, p, "items") or empty_state(spark) for p in old), strict=True)
     return "migrated", functools.reduce(DataFrame.unionByName, quotas), functools.reduce(DataFrame.unionByName, items)
