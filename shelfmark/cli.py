@@ -230,7 +230,7 @@ def quota(spark, args) -> int:
     if args.cleanup:
         left = items.filter(F.col("status") != "completed")
         before, after = items.count(), left.count()
-        ss.save_state(spark, args.state, ss.state_document(quotas, left, "ord", now).first().document)
+        ss.write_state(spark, args.state, quotas, left, "ord", now)
         print(f"removed: {before - after}", f"left: {after}", sep="\n")
         return OK
     for r in dq.quota_view(quotas, now).orderBy("provider_key").toLocalIterator():

@@ -103,16 +103,14 @@ def index_scan(spark, sf_dir):
 ITEMS = "items AS (SELECT CAST(substr(id, 2) AS BIGINT) AS n, * FROM queue)"
 
 
-def saved(spark, sf_dir, name: str, document=None) -> str:
+def saved(spark, sf_dir, name: str) -> str:
     path = f"{scratch(spark, 'state')}/{name}"
-    if document is None:
-        q = queue(spark, sf_dir).withColumn("ord", F.substring("id", 2, 20).cast("long"))
-        none = F.lit(None).cast("string")
-        given = {c: F.col(c) if c in q.columns else none for c in ss.ITEM_FIELDS}
-        items = q.select("ord", *[v.alias(c) for c, v in given.items()], F.concat(F.lit('{"n":['), "ord", F.lit("]}")).alias("raw_data"))
-        quota = quotas(spark, sf_dir).select("provider_key", "daily_limit", F.col("reset_hours").cast("int").alias("reset_hours"), "downloads_used", "period_start", none.alias("exhausted_at"))
-        document = ss.state_document(quota, items, "ord", now()).first().document
-    ss.save_state(spark, path, document)
+    q = queue(spark, sf_dir).withColumn("ord", F.substring("id", 2, 20).cast("long"))
+    none = F.lit(None).cast("string")
+    given = {c: F.col(c) if c in q.columns else none for c in ss.ITEM_FIELDS}
+    items = q.select("ord", *[v.alias(c) for c, v in given.items()], F.concat(F.lit('{"n":['), "ord", F.lit("]}")).alias("raw_data"))
+    quota = quotas(spark, sf_dir).select("provider_key", "daily_limit", F.col("reset_hours").cast("int").alias("reset_hours"), "downloads_used", "period_start", none.alias("exhausted_at"))
+    ss.write_state(spark, path, quota, items, "ord", now())
     return path
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import json
 import re
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import kept
+from ..session import kept, scratch
 
 # Fields of a quota record and of a deferred item, with what stands for a missing one.
 QUOTA_FIELDS = {"provider_key": ("string", "unknown"), "daily_limit": ("int", 10), "reset_hours": ("int", 24), "downloads_used": ("int", 0), "period_start": ("string", None), "exhausted_at": ("string", None)}
@@ -238,25 +239,14 @@ def empty_state(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame([], kinds(QUOTA_FIELDS)), spark.createDataFrame([], f"ord long, {kinds(ITEM_FIELDS)}, raw_data string")
 
 
-def state_document(quotas: DataFrame, items: DataFrame, order: str, now: Column) -> DataFrame:
-    """(document): one state document of all quotas and items; the state is a few thousand records by its nature."""
-    none = {"ignoreNullFields": "false"}
-    q = quotas.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("provider_key", F.struct(*QUOTA_FIELDS).alias("q"))))).alias("quotas"))
-    each = F.to_json(F.struct(*ITEM_FIELDS), none)
-    listed = F.array_sort(F.collect_list(F.struct(order, each.alias("j"), F.coalesce("raw_data", F.lit("{}")).alias("raw"))))
-    whole = F.transform(listed, lambda x: F.concat(F.left(x["j"], F.length(x["j"]) - 1), F.lit(',"raw_data":'), x["raw"], F.lit("}")))
-    i = items.agg(F.array_join(whole, ",").alias("items"))
-    stamp = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return q.withColumn("_one", F.lit(1)).join(i.withColumn("_one", F.lit(1)), "_one").select(F.concat(F.lit(f'{{"version":"{VERSION}","last_updated":"'), stamp, F.lit('","quotas":'), F.to_json("quotas", none), F.lit(',"deferred_items":['), F.col("items"), F.lit("]}")).alias("document"))
-
-
-def save_state(spark: SparkSession, path: str, document: str) -> None:
-    """Writes a state document whole: to a name beside ``path`` first, which then takes its place."""
+@contextlib.contextmanager
+def _replacing(spark: SparkSession, path: str):
+    """A stream to a name beside ``path``, which takes its place once all is written."""
     fs, target = _fs(spark, path)
     part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
     out = fs.create(part, True)
     try:
-        out.write(bytearray(document.encode()))
+        yield out
     finally:
         out.close()
     fs.delete(target, False)
@@ -264,6 +254,46 @@ def save_state(spark: SparkSession, path: str, document: str) -> None:
         raise OSError(f"could not write {path}")
 
 
+def _append(spark: SparkSession, folder: str, out) -> None:
+    """Moves a folder of text lines that begin with a comma into a stream, without the first comma."""
+    fs, target = _fs(spark, folder)
+    io, first = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils, True
+    parts = [f.getPath() for f in fs.listStatus(target) if f.getPath().getName().startswith("part-") and f.getLen()]
+    for p in sorted(parts, key=lambda p: int(p.getName().split("-")[1])):
+        source = fs.open(p)
+        if first:
+            source.read()
+        io.copyBytes(source, out, 1 << 20, False)
+        source.close()
+        fs.delete(p, False)
+        first = False
+
+
+def write_state(spark: SparkSession, path: str, quotas: DataFrame, items: DataFrame, order: str, now: Column) -> None:
+    """Writes the state document of all quotas and items, a record a line; its text passes by the driver as a stream.
+
+    Of quotas with one key the greatest record counts.
+    """
+    none, folder = {"ignoreNullFields": "false"}, scratch(spark, "state-lines")
+    q = quotas.groupBy("provider_key").agg(F.max(F.struct(*QUOTA_FIELDS)).alias("q")).orderBy("provider_key").select(F.to_json(F.create_map("provider_key", "q"), none).alias("j"))
+    q.select(F.concat(F.lit(","), F.substr("j", F.lit(2), F.length("j") - 2)).alias("value")).write.text(f"{folder}/quotas")
+    rows = items.orderBy(order, *ITEM_FIELDS, "raw_data").select(F.to_json(F.struct(*ITEM_FIELDS), none).alias("j"), F.coalesce("raw_data", F.lit("{}")).alias("raw"))
+    rows.select(F.concat(F.lit(","), F.left("j", F.length("j") - 1), F.lit(',"raw_data":'), "raw", F.lit("}")).alias("value")).write.text(f"{folder}/items")
+    stamp = spark.range(1).select(F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")).first()[0]
+    with _replacing(spark, path) as out:
+        out.write(bytearray(f'{{"version":"{VERSION}","last_updated":"{stamp}","quotas":{{\n'.encode()))
+        _append(spark, f"{folder}/quotas", out)
+        out.write(bytearray(b'},"deferred_items":[\n'))
+        _append(spark, f"{folder}/items", out)
+        out.write(bytearray(b"]}"))
+
+
+def save_state(spark: SparkSession, path: str, document: str) -> None:
+    """Writes a state document given as a text."""
+    with _replacing(spark, path) as out:
+        out.write(bytearray(document.encode()))
+
+
 def load_state(spark: SparkSession, path: str, legacy: tuple[str, str] | None = None) -> tuple[str, DataFrame, DataFrame]:
     """(how, quotas, items) of the state file: ``loaded``, ``corrupt``, ``migrated`` or ``fresh``.
 

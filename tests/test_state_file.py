@@ -1,9 +1,10 @@
-"""The state file: any size and layout, cut in blocks."""
+"""The state file: any size and layout, cut in blocks, written as a stream."""
 
 import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.sources import state as ss
 
@@ -71,3 +72,33 @@ def test_a_document_beyond_one_value(spark, tmp_path):
         f.write("]}")
     how, quotas, items = ss.load_state(spark, str(tmp_path / "s.json"))
     assert how == "loaded" and [r.id for r in items.orderBy("ord").select("id").collect()] == [str(i) for i in range(140)]
+
+
+def test_written_and_read(spark, tmp_path):
+    none = F.lit(None)
+    items = spark.range(500).repartition(7).select(
+        *[F.when(F.col("id") % 3 == 0, f'{c} "x"\n').cast("string").alias(c) if k == "string" else F.col("id").cast("int").alias(c) for c, (k, _) in ss.ITEM_FIELDS.items()],
+        (500 - F.col("id")).alias("place"), F.when(F.col("id") % 2 == 0, F.concat(F.lit('{"n":'), "id", F.lit("}"))).alias("raw_data"),
+    )
+    quotas = spark.createDataFrame([("b", 1, 24, 0, None, None), ('a"', 2, 24, 1, "p", "e"), ("b", 3, 24, 0, None, None)], "provider_key string, daily_limit int, reset_hours int, downloads_used int, period_start string, exhausted_at string")
+    path = f"{tmp_path}/s.json"
+    ss.write_state(spark, path, quotas, items, "place", F.lit("2024-01-15 12:00:00").cast("timestamp"))
+    doc = json.loads((tmp_path / "s.json").read_text())
+    assert doc["version"] == "1.0" and doc["last_updated"] == "2024-01-15T12:00:00Z"
+    assert list(doc["quotas"]) == ['a"', "b"] and doc["quotas"]["b"] == {"provider_key": "b", "daily_limit": 3, "reset_hours": 24, "downloads_used": 0, "period_start": None, "exhausted_at": None}
+    assert [x["retry_count"] for x in doc["deferred_items"]] == list(range(499, -1, -1))
+    assert doc["deferred_items"][0]["raw_data"] == {} and doc["deferred_items"][1]["raw_data"] == {"n": 498} and doc["deferred_items"][1]["title"] == 'title "x"\n'
+    how, back_quotas, back = ss.load_state(spark, path)
+    assert back_quotas.count() == 2 and back.count() == 500
+    # over the file that it was read from, and with nothing left
+    ss.write_state(spark, path, back_quotas, back.filter(none.isNotNull()), "ord", F.current_timestamp())
+    assert json.loads((tmp_path / "s.json").read_text())["deferred_items"] == []
+
+
+def test_no_record_passes_through_the_driver(spark, tmp_path, monkeypatch):
+    """The state queries neither collect the document nor hold it in one row."""
+    from shelfmark.plans import files
+
+    monkeypatch.setattr(ss, "save_state", lambda *_: pytest.fail("the document is one text"))
+    spark.range(3000).select(F.col("id").alias("event_id"), F.lit("2024-01-15 12:00:00").cast("timestamp").alias("ts"), (F.col("id") % 9).alias("user_id"), F.lit("click").alias("event_type")).write.parquet(f"{tmp_path}/events.parquet")
+    assert files.state_items(spark, str(tmp_path)).count() == 3000 and files.state_quotas(spark, str(tmp_path)).count() == 9
