@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import BLANKS, strip
 
 # Fragments of a content type and the extension each gives, in order.
 TYPE_EXTENSIONS = [
@@ -105,16 +107,24 @@ def magic_problem(head: Column, extension: Column) -> Column:
 
 def disposition_filename(header: Column) -> Column:
     """The file name of a Content-Disposition header; an extended value is decoded."""
-    parts = F.transform(F.slice(F.split(header, ";"), F.lit(2), F.size(F.split(header, ";"))), strip)
 
-    def named(key: str) -> Column:
-        own = F.filter(parts, lambda p: F.lower(strip(F.substring_index(p, "=", 1))) == key)
-        value = F.get(F.transform(own, lambda p: F.trim(strip(F.regexp_replace(p, "^[^=]*=", "")), F.lit('"'))), F.size(own) - 1)
-        return F.nullif(value, F.lit(""))
+    def bound(value: Column, f) -> Column:
+        # computed once, however often f reads it
+        return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    found = F.coalesce(named("filename*"), named("filename"))
-    plain = F.replace(found, F.lit("+"), F.lit("%2B"))
-    return F.when(F.contains(found, F.lit("''")), F.try_url_decode(F.regexp_replace(plain, "^.*?''", ""))).otherwise(found)
+    def named(key: str) -> Column:
+        # the last parameter of that name, found from the end without taking the header apart
+        own = F.regexp_extract(header, f"(?is)^.*;([{BLANKS}]*+{re.escape(key)}[{BLANKS}]*+(?:=[^;]*+)?+)(?:;|\\z)", 1)
+        if key.endswith("*"):
+            # most headers have no star, which is sooner seen
+            own = F.when(F.contains(header, F.lit("*")), own)
+        return bound(F.trim(strip(F.regexp_replace(own, "^[^=]*=", "")), F.lit('"')), lambda v: F.nullif(v, F.lit("")))
+
+    def decoded(found: Column) -> Column:
+        plain = F.replace(found, F.lit("+"), F.lit("%2B"))
+        return F.when(F.contains(found, F.lit("''")), F.try_url_decode(F.regexp_replace(plain, "^.*?''", ""))).otherwise(found)
+
+    return bound(F.coalesce(named("filename*"), named("filename")), decoded)
 
 
 def placeholder_image(content: Column, digests: list[str] | None = None) -> Column:
